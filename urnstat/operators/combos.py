@@ -16,17 +16,17 @@ SAMPLE = 1000
 SCORE_UNIT = 10**12
 
 
-def _race(grid: Column, slot: int, high: int, seed: int) -> Column:
-    """All numbers of a slot by arrival time ``-ln(u) / p``.
+def _race(slot: Column, high: int, seed: int) -> Column:
+    """All numbers of a slot with their arrival time ``-ln(u) / p``.
 
     The first arrival is distributed by p, and the first one that is unused is
     distributed by p conditioned on being unused.
     """
-    row = F.get(grid, F.lit(slot - 1))
+    row = F.get("_grid", slot - 1)
     runners = F.transform(
         F.sequence(F.lit(1), F.lit(high)),
         lambda n: F.struct(
-            (-F.ln(chance.uniform(seed, F.col("cand_id"), F.lit(slot), n)) / F.get(row, n - 1)).alias("t"),
+            (-F.ln(chance.uniform(seed, F.col("cand_id"), slot, n)) / F.get(row, n - 1)).alias("t"),
             n.alias("number"),
             F.get(row, n - 1).alias("p"),
         ),
@@ -35,17 +35,23 @@ def _race(grid: Column, slot: int, high: int, seed: int) -> Column:
 
 
 def _weighted(cands: DataFrame, probs: DataFrame, spec: GameSpec, seed: int) -> DataFrame:
-    df = cands.withColumn("_grid", L.prob_grid(probs, spec))
-    df = df.withColumns({"_used": F.expr("array_repeat(0, 0)"), "_sum": F.lit(0.0)})
-    for s in range(1, spec.bonus_slot + 1):
-        runners = _race(F.col("_grid"), s, spec.domain_high(s), seed)
-        if s != spec.bonus_slot:
-            runners = F.filter(runners, lambda r: ~F.array_contains(F.col("_used"), r["number"]))
-        df = df.withColumn("_pick", F.array_min(runners)).withColumn("_sum", F.col("_sum") + F.col("_pick.p"))
-        if s != spec.bonus_slot:
-            df = df.withColumn("_used", F.concat("_used", F.array("_pick.number")))
-    return df.select(
-        "cand_id", F.sort_array("_used").alias("balls"), F.col("_pick.number").alias("bonus"), F.col("_sum").alias("_total")
+    """One combination per candidate, slot after slot inside the row: each
+    slot's pick joins an accumulator that the next slot's race must avoid."""
+    nothing = F.slice(F.array(F.struct(F.lit(0.0).alias("t"), F.lit(0).alias("number"), F.lit(0.0).alias("p"))), 1, 0)
+
+    def step(picks: Column, slot: Column) -> Column:
+        free = F.filter(_race(slot, spec.high, seed), lambda r: ~F.exists(picks, lambda q: q["number"] == r["number"]))
+        return F.concat(picks, F.array(F.array_min(free)))
+
+    picks = F.aggregate(F.sequence(F.lit(1), F.lit(spec.slots)), nothing, step)
+    bonus = F.array_min(_race(F.lit(spec.bonus_slot), spec.bonus_high, seed))
+    drawn = cands.withColumn("_grid", L.prob_grid(probs, spec)).select("cand_id", picks.alias("_picks"), bonus.alias("_bonus"))
+    parts = [F.get("_picks.p", F.lit(i)) for i in range(spec.slots)]
+    return drawn.select(
+        "cand_id",
+        F.sort_array("_picks.number").alias("balls"),
+        F.col("_bonus.number").alias("bonus"),
+        (B.total(parts) + F.col("_bonus.p")).alias("_total"),
     )
 
 

@@ -6,8 +6,6 @@ number of the domain, whoever made it (relative frequencies or forests).
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,22 +129,17 @@ def greedy_combo(probs: DataFrame, spec: GameSpec = G5, places: int = 2) -> Data
     slot without unused numbers in the table makes the combination null.
     """
     entry = F.struct((-F.col("p")).alias("q"), "number")
-    lists = in_domain(probs, spec).groupBy().agg(
-        *[
-            F.sort_array(F.collect_list(F.when(F.col("slot") == s, entry))).alias(f"_s{s}")
-            for s in range(1, spec.bonus_slot + 1)
-        ]
-    )
-    picked = lists.withColumns({"_used": F.expr("array_repeat(0, 0)"), "_ps": F.expr("array_repeat(0d, 0)")})
-    for s in range(1, spec.slots + 1):
-        free = F.filter(f"_s{s}", lambda e: ~F.array_contains(F.col("_used"), e["number"]))
-        picked = picked.withColumn("_pick", F.get(free, F.lit(0))).withColumns(
-            {
-                "_used": F.concat("_used", F.array("_pick.number")),
-                "_ps": F.concat("_ps", F.array(-F.col("_pick.q"))),
-            }
-        )
-    bonus = F.get(f"_s{spec.bonus_slot}", F.lit(0))
-    parts = [F.get("_ps", F.lit(i)) for i in range(spec.slots)] + [-bonus["q"]]
-    score = F.round(reduce(lambda a, b: a + b, parts) / (spec.slots + 1) * 100, places)
-    return picked.select(F.sort_array("_used").alias("balls"), bonus["number"].alias("bonus"), score.alias("score"))
+    ranked = [
+        F.sort_array(F.collect_list(F.when(F.col("slot") == s, entry))) for s in range(1, spec.bonus_slot + 1)
+    ]
+    lists = in_domain(probs, spec).agg(F.array(*ranked[:-1]).alias("_mains"), ranked[-1].alias("_bonus"))
+    nothing = F.slice(F.array(F.struct(F.lit(0.0).alias("q"), F.lit(0).alias("number"))), 1, 0)
+
+    def step(picks: Column, numbers: Column) -> Column:
+        free = F.filter(numbers, lambda e: ~F.exists(picks, lambda q: q["number"] == e["number"]))
+        return F.concat(picks, F.array(F.get(free, F.lit(0))))
+
+    picked = lists.select(F.aggregate("_mains", nothing, step).alias("_picks"), F.get("_bonus", F.lit(0)).alias("_bonus"))
+    parts = [-F.get("_picks.q", F.lit(i)) for i in range(spec.slots)] + [-F.col("_bonus.q")]
+    score = F.round(B.total(parts) / (spec.slots + 1) * 100, places)
+    return picked.select(F.sort_array("_picks.number").alias("balls"), F.col("_bonus.number").alias("bonus"), score.alias("score"))
