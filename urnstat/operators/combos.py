@@ -45,7 +45,10 @@ def _weighted(cands: DataFrame, probs: DataFrame, spec: GameSpec, seed: int) ->
 
     picks = F.aggregate(F.sequence(F.lit(1), F.lit(spec.slots)), nothing, step)
     bonus = F.array_min(_race(F.lit(spec.bonus_slot), spec.bonus_high, seed))
-    drawn = cands.withColumn("_grid", L.prob_grid(probs, spec)).select("cand_id", picks.alias("_picks"), bonus.alias("_bonus"))
+    # Going through a generator keeps later uses of the picks from repeating the race.
+    drawn = cands.withColumn("_grid", L.prob_grid(probs, spec)).select(
+        "cand_id", F.inline(F.array(F.struct(picks.alias("_picks"), bonus.alias("_bonus"))))
+    )
     parts = [F.get("_picks.p", F.lit(i)) for i in range(spec.slots)]
     return drawn.select(
         "cand_id",
