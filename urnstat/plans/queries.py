@@ -68,41 +68,41 @@ def combo(df: DataFrame, *first: str, spec: GameSpec = G5, last: tuple[str, ...]
 
 @query("clean_g5")
 def clean_g5(spark, sf_dir):
-    clean = raw.clean_raw_g5(T.raw_g5(T.draws(spark, sf_dir)))
+    clean = raw.clean_raw_g5(T.raw_g5(T.stored_draws(spark, sf_dir)))
     tokens = [F.get("tokens", F.lit(i)).alias(f"n{i + 1}") for i in range(6)]
     return clean.select(*KEYS, "draw_date_raw", *tokens, "jackpot", "outcome")
 
 
 @query("clean_g6")
 def clean_g6(spark, sf_dir):
-    clean = raw.clean_raw_g6(T.raw_g6(T.draws(spark, sf_dir, G6)))
+    clean = raw.clean_raw_g6(T.raw_g6(T.stored_draws(spark, sf_dir, G6)))
     tokens = [F.get("tokens", F.lit(i)).alias(f"n{i + 1}") for i in range(7)]
     return clean.select("draw_id", "year", "date", *tokens)
 
 
 @query("tolerant_parse")
 def tolerant_parse(spark, sf_dir):
-    clean = raw.clean_raw_g5(T.raw_g5(T.draws(spark, sf_dir)))
+    clean = raw.clean_raw_g5(T.raw_g5(T.stored_draws(spark, sf_dir)))
     quoted = clean.withColumn("tokens", F.transform("tokens", lambda t: F.concat(F.lit(' "'), t, F.lit('" '))))
     return combo(raw.parse_balls(quoted), *KEYS)
 
 
 @query("parse_dates")
 def parse_dates(spark, sf_dir):
-    dated = raw.with_draw_date(T.date_texts(T.draws(spark, sf_dir)))
+    dated = raw.with_draw_date(T.date_texts(T.stored_draws(spark, sf_dir)))
     return dated.select(*KEYS, "draw_date_raw", iso())
 
 
 @query("day_name")
 def day_name(spark, sf_dir):
-    dated = raw.with_day(raw.clean_raw_g6(T.raw_g6(T.draws(spark, sf_dir, G6))))
+    dated = raw.with_day(raw.clean_raw_g6(T.raw_g6(T.stored_draws(spark, sf_dir, G6))))
     return dated.select("draw_id", iso(), "day")
 
 
 @query("append_draw")
 def append_draw(spark, sf_dir):
-    history = T.draws(spark, sf_dir).withColumn("jackpot", F.concat(F.lit("R"), F.format_number("jackpot", 2)))
-    new = pipeline.typed(quality.validate_draws(T.new_draws(T.draws(spark, sf_dir))))
+    history = T.stored_draws(spark, sf_dir).withColumn("jackpot", F.concat(F.lit("R"), F.format_number("jackpot", 2)))
+    new = pipeline.typed(quality.validate_draws(T.new_draws(T.stored_draws(spark, sf_dir))))
     new = new.withColumn("draw_id", F.col("draw_id") + NEW_ID_SHIFT)
     return store.union_draws(history, new).select(*KEYS, iso(), *B.wide(F.col("balls"), G5), "bonus", "jackpot", "outcome")
 
@@ -113,50 +113,50 @@ def append_draw(spark, sf_dir):
 @query("row_stats")
 @query("row_stats_g6", spec=G6)
 def row_stats(spark, sf_dir, spec=G5):
-    return features.row_stats(T.draws(spark, sf_dir, spec), spec).select(*KEYS, *show(STATS))
+    return features.row_stats(T.stored_draws(spark, sf_dir, spec), spec).select(*KEYS, *show(STATS))
 
 
 @query("parity_counts")
 @query("parity_counts_g6", spec=G6)
 def parity_counts(spark, sf_dir, spec=G5):
-    return features.parity_counts(T.draws(spark, sf_dir, spec), spec).select(*KEYS, "even_count", "odd_count")
+    return features.parity_counts(T.stored_draws(spark, sf_dir, spec), spec).select(*KEYS, "even_count", "odd_count")
 
 
 @query("range_counts")
 @query("range_counts_g6", spec=G6)
 def range_counts(spark, sf_dir, spec=G5):
-    return features.range_counts(T.draws(spark, sf_dir, spec), spec).select(*KEYS, "low_range_count", "high_range_count")
+    return features.range_counts(T.stored_draws(spark, sf_dir, spec), spec).select(*KEYS, "low_range_count", "high_range_count")
 
 
 @query("has_consecutive")
 def has_consecutive(spark, sf_dir):
-    return features.has_consecutive(T.draws(spark, sf_dir)).select(*KEYS, "has_consecutive")
+    return features.has_consecutive(T.stored_draws(spark, sf_dir)).select(*KEYS, "has_consecutive")
 
 
 @query("avg_gap")
 def avg_gap(spark, sf_dir):
-    return features.avg_gap(T.draws(spark, sf_dir)).select(*KEYS, r6("avg_gap_between_numbers"))
+    return features.avg_gap(T.stored_draws(spark, sf_dir)).select(*KEYS, r6("avg_gap_between_numbers"))
 
 
 @query("indicators")
 def indicators(spark, sf_dir):
-    df = features.indicators(T.draws(spark, sf_dir), TREND_NUMBERS)
+    df = features.indicators(T.stored_draws(spark, sf_dir), TREND_NUMBERS)
     return df.select(*KEYS, *[f"number_{n}" for n in TREND_NUMBERS])
 
 
 @query("pattern_table")
 def pattern_table(spark, sf_dir):
-    return features.pattern_table(T.draws(spark, sf_dir))
+    return features.pattern_table(T.stored_draws(spark, sf_dir))
 
 
 @query("format_prediction")
 def format_prediction(spark, sf_dir):
-    return features.format_prediction(T.candidates(T.draws(spark, sf_dir)))
+    return features.format_prediction(T.candidates(T.stored_draws(spark, sf_dir)))
 
 
 @query("explode_slots")
 def explode_slots(spark, sf_dir):
-    return features.explode_slots(T.draws(spark, sf_dir))
+    return features.explode_slots(T.stored_draws(spark, sf_dir))
 
 
 # ---- filters and quality ---------------------------------------------------
@@ -164,34 +164,34 @@ def explode_slots(spark, sf_dir):
 
 @query("filter_dates")
 def filter_dates(spark, sf_dir):
-    return filters.filter_dates(T.draws(spark, sf_dir), SLICE_START, SLICE_END).select(*KEYS, iso())
+    return filters.filter_dates(T.stored_draws(spark, sf_dir), SLICE_START, SLICE_END).select(*KEYS, iso())
 
 
 @query("filter_recent")
 def filter_recent(spark, sf_dir):
-    return filters.filter_recent(T.draws(spark, sf_dir), 500).select(*KEYS, iso())
+    return filters.filter_recent(T.stored_draws(spark, sf_dir), 500).select(*KEYS, iso())
 
 
 @query("trainable_series")
 def trainable_series(spark, sf_dir):
-    return filters.require_rows(T.draws(spark, sf_dir), 1000).select(*KEYS)
+    return filters.require_rows(T.stored_draws(spark, sf_dir), 1000).select(*KEYS)
 
 
 @query("date_range_info")
 def date_range_info(spark, sf_dir):
-    dated = raw.with_draw_date(T.date_texts(T.draws(spark, sf_dir)))
+    dated = raw.with_draw_date(T.date_texts(T.stored_draws(spark, sf_dir)))
     return filters.date_range_info(dated).select(iso("earliest"), iso("latest"), "total_draws")
 
 
 @query("drop_undated")
 def drop_undated(spark, sf_dir):
-    dated = raw.with_draw_date(T.date_texts(T.draws(spark, sf_dir)))
+    dated = raw.with_draw_date(T.date_texts(T.stored_draws(spark, sf_dir)))
     return filters.drop_undated(dated).select(*KEYS, iso())
 
 
 @query("recent_10")
 def recent_10(spark, sf_dir):
-    return combo(filters.recent(T.draws(spark, sf_dir), 10).withColumn("draw_date", iso()), *KEYS, "draw_date")
+    return combo(filters.recent(T.stored_draws(spark, sf_dir), 10).withColumn("draw_date", iso()), *KEYS, "draw_date")
 
 
 CALCULATED = [
@@ -209,18 +209,18 @@ CALCULATED = [
 
 @query("recent_100")
 def recent_100(spark, sf_dir):
-    return filters.recent_calculated(T.draws(spark, sf_dir), 100).select(*KEYS, iso(), *show(CALCULATED))
+    return filters.recent_calculated(T.stored_draws(spark, sf_dir), 100).select(*KEYS, iso(), *show(CALCULATED))
 
 
 @query("validate_draws")
 def validate_draws(spark, sf_dir):
-    checked = quality.validate_draws(T.new_draws(T.draws(spark, sf_dir)))
+    checked = quality.validate_draws(T.new_draws(T.stored_draws(spark, sf_dir)))
     return checked.select(*KEYS, "valid", F.array_join("errors", "; ").alias("errors"))
 
 
 @query("reject_counts")
 def reject_counts(spark, sf_dir):
-    return quality.reject_counts(quality.validate_draws(T.new_draws(T.draws(spark, sf_dir))))
+    return quality.reject_counts(quality.validate_draws(T.new_draws(T.stored_draws(spark, sf_dir))))
 
 
 # ---- order and look-back ---------------------------------------------------
@@ -228,12 +228,12 @@ def reject_counts(spark, sf_dir):
 
 @query("with_seq")
 def with_seq(spark, sf_dir):
-    keys = T.draws(spark, sf_dir).select("series", "draw_id", "draw_date")
+    keys = T.stored_draws(spark, sf_dir).select("series", "draw_id", "draw_date")
     return order.with_seq(keys).select(*KEYS, "seq")
 
 
 def placed(spark, sf_dir, spec=G5):
-    return order.with_seq(T.draws(spark, sf_dir, spec).drop("jackpot", "outcome"))
+    return order.with_seq(T.stored_draws(spark, sf_dir, spec).drop("jackpot", "outcome"))
 
 
 @query("prev_common_count")
@@ -272,7 +272,7 @@ def join_by_seq(spark, sf_dir):
 @query("calculated_draws")
 @query("calculated_draws_g6", spec=G6)
 def calculated_draws(spark, sf_dir, spec=G5):
-    df = pipeline.calculate(T.draws(spark, sf_dir, spec), spec)
+    df = pipeline.calculate(T.stored_draws(spark, sf_dir, spec), spec)
     return df.select(*KEYS, "seq", *B.wide(F.col("balls"), spec), "bonus", *show(CALCULATED))
 
 
@@ -280,7 +280,7 @@ def calculated_draws(spark, sf_dir, spec=G5):
 @query("feature_matrix_13", kind=13)
 @query("feature_matrix_12", kind=12)
 def feature_matrix(spark, sf_dir, kind):
-    calculated = pipeline.calculate(T.draws(spark, sf_dir).drop("jackpot", "outcome"))
+    calculated = pipeline.calculate(T.stored_draws(spark, sf_dir).drop("jackpot", "outcome"))
     names = features.feature_columns(kind)
     matrix = features.feature_matrix(calculated, kind)
     return matrix.select(*KEYS, *show(names), *[f"b{i + 1}" for i in range(5)], "bonus")
@@ -289,14 +289,14 @@ def feature_matrix(spark, sf_dir, kind):
 @query("scoring_row", which="latest")
 @query("scoring_row_oldest", which="oldest")
 def scoring_row(spark, sf_dir, which):
-    calculated = pipeline.calculate(T.draws(spark, sf_dir).drop("jackpot", "outcome"))
+    calculated = pipeline.calculate(T.stored_draws(spark, sf_dir).drop("jackpot", "outcome"))
     names = features.feature_columns(14)
     return order.scoring_row(calculated, which, ["seq", "draw_id", *names]).select("series", "seq", "draw_id", *show(names))
 
 
 @query("train_split")
 def train_split(spark, sf_dir):
-    return forest.train_split(T.draws(spark, sf_dir)).select(*KEYS, "is_train")
+    return forest.train_split(T.stored_draws(spark, sf_dir)).select(*KEYS, "is_train")
 
 
 # ---- frequencies and patterns ----------------------------------------------
@@ -305,36 +305,36 @@ def train_split(spark, sf_dir):
 @query("freq_all")
 @query("freq_all_g6", spec=G6)
 def freq_all(spark, sf_dir, spec=G5):
-    return freq.order_by_number(freq.frequency(T.draws(spark, sf_dir, spec), spec))
+    return freq.order_by_number(freq.frequency(T.stored_draws(spark, sf_dir, spec), spec))
 
 
 @query("freq_slots")
 def freq_slots(spark, sf_dir):
-    return freq.order_by_number(freq.frequency(T.draws(spark, sf_dir), slots=[2, 3, 4, 5, 6]))
+    return freq.order_by_number(freq.frequency(T.stored_draws(spark, sf_dir), slots=[2, 3, 4, 5, 6]))
 
 
 @query("freq_ranked")
 def freq_ranked(spark, sf_dir):
-    return freq.rank_frequency(freq.frequency(T.draws(spark, sf_dir)))
+    return freq.rank_frequency(freq.frequency(T.stored_draws(spark, sf_dir)))
 
 
 @query("fill_domain")
 def fill_domain(spark, sf_dir):
-    return freq.fill_domain(freq.main_frequency(T.draws(spark, sf_dir, G6), G6), G6.high)
+    return freq.fill_domain(freq.main_frequency(T.stored_draws(spark, sf_dir, G6), G6), G6.high)
 
 
 @query("main_grid")
 def main_grid(spark, sf_dir):
-    return freq.main_grid(T.draws(spark, sf_dir))
+    return freq.main_grid(T.stored_draws(spark, sf_dir))
 
 
 @query("bonus_grid")
 def bonus_grid(spark, sf_dir):
-    return freq.bonus_grid(T.draws(spark, sf_dir))
+    return freq.bonus_grid(T.stored_draws(spark, sf_dir))
 
 
 def _distribution(spark, sf_dir, column):
-    return freq.distribution(features.pattern_table(T.draws(spark, sf_dir)), column)
+    return freq.distribution(features.pattern_table(T.stored_draws(spark, sf_dir)), column)
 
 
 for _name, _column in (
@@ -348,18 +348,18 @@ for _name, _column in (
 
 @query("sum_histogram")
 def sum_histogram(spark, sf_dir):
-    sums = T.draws(spark, sf_dir).select(B.ball_sum(F.col("balls"), G5).alias("sum_without_bonus"))
+    sums = T.stored_draws(spark, sf_dir).select(B.ball_sum(F.col("balls"), G5).alias("sum_without_bonus"))
     return freq.histogram(sums, "sum_without_bonus").select("bin", r6("left_edge"), r6("right_edge"), "frequency")
 
 
 @query("consecutive_share")
 def consecutive_share(spark, sf_dir):
-    return freq.share(features.has_consecutive(T.draws(spark, sf_dir)), "has_consecutive")
+    return freq.share(features.has_consecutive(T.stored_draws(spark, sf_dir)), "has_consecutive")
 
 
 @query("history_profile")
 def history_profile(spark, sf_dir):
-    return freq.history_profile(features.row_stats(T.draws(spark, sf_dir))).select(*show(STATS[:6]))
+    return freq.history_profile(features.row_stats(T.stored_draws(spark, sf_dir))).select(*show(STATS[:6]))
 
 
 # ---- combinations against the history --------------------------------------
@@ -368,19 +368,19 @@ def history_profile(spark, sf_dir):
 @query("already_drawn")
 @query("already_drawn_g6", spec=G6)
 def already_drawn(spark, sf_dir, spec=G5):
-    history = T.draws(spark, sf_dir, spec)
+    history = T.stored_draws(spark, sf_dir, spec)
     return matching.already_drawn(T.candidates(history, spec), history, spec).select("cand_id", "drawn")
 
 
 @query("exclude_drawn")
 def exclude_drawn(spark, sf_dir):
-    history = T.draws(spark, sf_dir)
+    history = T.stored_draws(spark, sf_dir)
     return combo(matching.exclude_drawn(T.candidates(history), history), "cand_id")
 
 
 @query("dedupe_combos")
 def dedupe_combos(spark, sf_dir):
-    history = T.draws(spark, sf_dir)
+    history = T.stored_draws(spark, sf_dir)
     drawn = history.select((F.col("draw_id") * 2 + 1).alias("cand_id"), "balls", "bonus")
     cands = T.candidates(history).withColumn("cand_id", F.col("cand_id") * 2)
     return combo(matching.dedupe_combos(cands.unionByName(drawn)), "cand_id")
@@ -388,25 +388,25 @@ def dedupe_combos(spark, sf_dir):
 
 @query("complete_prediction")
 def complete_prediction(spark, sf_dir):
-    return combo(matching.complete_prediction(T.rough_predictions(T.draws(spark, sf_dir))), "pred_id")
+    return combo(matching.complete_prediction(T.rough_predictions(T.stored_draws(spark, sf_dir))), "pred_id")
 
 
 @query("avoid_drawn")
 def avoid_drawn(spark, sf_dir):
-    history = T.draws(spark, sf_dir)
+    history = T.stored_draws(spark, sf_dir)
     preds = T.candidates(history).withColumnRenamed("cand_id", "pred_id")
     return combo(matching.avoid_drawn(preds, history), "pred_id", last=("replaced",))
 
 
 @query("combo_profile")
 def combo_profile(spark, sf_dir):
-    history = T.draws(spark, sf_dir)
+    history = T.stored_draws(spark, sf_dir)
     return combos.combo_profile(T.candidates(history), history)
 
 
 @query("hypothetical_features")
 def hypothetical_features(spark, sf_dir):
-    history = T.draws(spark, sf_dir)
+    history = T.stored_draws(spark, sf_dir)
     out = combos.hypothetical_features(T.candidates(history), features.row_stats(history))
     return out.select("cand_id", *show(features.feature_columns(13)))
 
@@ -415,7 +415,7 @@ def hypothetical_features(spark, sf_dir):
 
 
 def probs_of(spark, sf_dir, spec=G5):
-    return L.empirical_probs(T.draws(spark, sf_dir, spec), spec)
+    return L.empirical_probs(T.stored_draws(spark, sf_dir, spec), spec)
 
 
 @query("number_likelihood")
@@ -446,12 +446,12 @@ def predict_slots(spark, sf_dir):
 
 @query("lookup_probs")
 def lookup_probs(spark, sf_dir):
-    cands = T.candidates(T.draws(spark, sf_dir))
+    cands = T.candidates(T.stored_draws(spark, sf_dir))
     return L.lookup_probs(cands, probs_of(spark, sf_dir)).select("cand_id", "slot", "number", r6("p"))
 
 
 def scored(spark, sf_dir):
-    return L.score_combos(T.candidates(T.draws(spark, sf_dir)), probs_of(spark, sf_dir), places=PLACES)
+    return L.score_combos(T.candidates(T.stored_draws(spark, sf_dir)), probs_of(spark, sf_dir), places=PLACES)
 
 
 @query("score_combos")
@@ -498,7 +498,7 @@ def exact_extremes(spark, sf_dir):
 @query("predict")
 def predict(spark, sf_dir):
     """Best number per slot, made legal and kept clear of the history."""
-    history = T.draws(spark, sf_dir)
+    history = T.stored_draws(spark, sf_dir)
     return combo(pipeline.predict(L.empirical_probs(history), history), last=("replaced",))
 
 
@@ -507,7 +507,7 @@ def predict(spark, sf_dir):
 
 def _model_table(spark, sf_dir):
     """Feature rows written once: every tree level reads them again."""
-    calculated = pipeline.calculate(T.draws(spark, sf_dir).drop("jackpot", "outcome"))
+    calculated = pipeline.calculate(T.stored_draws(spark, sf_dir).drop("jackpot", "outcome"))
     return materialize(calculated, "model-table")
 
 
@@ -548,7 +548,7 @@ def score_hypothetical(spark, sf_dir):
 @query("training_report", part=pipeline.DateRange(SLICE_START, SLICE_END))
 @query("training_report_recent", part=pipeline.Recent(500))
 def training_report(spark, sf_dir, part):
-    report = pipeline.training_report(T.draws(spark, sf_dir), part)
+    report = pipeline.training_report(T.stored_draws(spark, sf_dir), part)
     return report.select("model", "draws", iso("first_date"), iso("last_date"), "features", "targets", "trees")
 
 
@@ -558,8 +558,8 @@ def training_report(spark, sf_dir, part):
 @query("ingest_result")
 def ingest_result(spark, sf_dir):
     """History plus typed-in draws, then a full refresh of the stored tables."""
-    history = T.draws(spark, sf_dir).withColumn("jackpot", F.concat(F.lit("R"), F.format_number("jackpot", 2)))
-    new = T.new_draws(T.draws(spark, sf_dir)).withColumn("draw_id", F.col("draw_id") + NEW_ID_SHIFT)
+    history = T.stored_draws(spark, sf_dir).withColumn("jackpot", F.concat(F.lit("R"), F.format_number("jackpot", 2)))
+    new = T.new_draws(T.stored_draws(spark, sf_dir)).withColumn("draw_id", F.col("draw_id") + NEW_ID_SHIFT)
     paths = pipeline.Paths(scratch_path(spark, "ingest"))
     store.append_draws(paths.history, history)
     pipeline.ingest(spark, new, paths)
@@ -579,7 +579,7 @@ def ingest_result(spark, sf_dir):
 def stream_frequency(spark, sf_dir):
     """Typed-in draws land as files; the stream keeps the frequency table."""
     root = scratch_path(spark, "stream")
-    T.new_draws(T.draws(spark, sf_dir)).write.json(f"{root}/landing")
+    T.new_draws(T.stored_draws(spark, sf_dir)).write.json(f"{root}/landing")
     landing = intake.read_landing(spark, f"{root}/landing", files_per_trigger=4)
     intake.start_frequency(landing, f"{root}/frequency", f"{root}/checkpoint").awaitTermination()
     return intake.latest_frequency(spark, f"{root}/frequency").select("number", "frequency")
@@ -589,7 +589,7 @@ def stream_frequency(spark, sf_dir):
 def stream_intake(spark, sf_dir):
     """Typed-in draws land as files; the stream appends the valid ones."""
     root = scratch_path(spark, "stream")
-    T.new_draws(T.draws(spark, sf_dir)).write.json(f"{root}/landing")
+    T.new_draws(T.stored_draws(spark, sf_dir)).write.json(f"{root}/landing")
     paths = pipeline.Paths(root)
     landing = intake.read_landing(spark, f"{root}/landing", files_per_trigger=4)
     intake.start_intake(landing, paths, f"{root}/checkpoint").awaitTermination()
