@@ -59,6 +59,7 @@ def draws(spark: SparkSession, sf_dir: str, spec: GameSpec = G5) -> DataFrame:
     )
 
 
+STORED_SCHEMA = "series string, draw_id bigint, draw_date date, balls array<int>, bonus int, jackpot double, outcome string"
 _STORED: dict[tuple, str] = {}
 
 
@@ -77,12 +78,11 @@ def stored_draws(spark: SparkSession, sf_dir: str, spec: GameSpec = G5) -> DataF
     filters and columns then reach the parquet reader.
     """
     key = (spark.sparkContext.applicationId, sf_dir, spec.name, *_state(spark, sf_dir))
-    df = draws(spark, sf_dir, spec)
     if key not in _STORED:
         path = scratch_path(spark, f"draws-{spec.name}")
-        df.write.parquet(path)
+        draws(spark, sf_dir, spec).write.parquet(path)
         _STORED[key] = path
-    return spark.read.schema(df.schema).parquet(_STORED[key])
+    return spark.read.schema(STORED_SCHEMA).parquet(_STORED[key])
 
 
 def raw_g5(draws_df: DataFrame) -> DataFrame:
