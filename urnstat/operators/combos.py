@@ -37,7 +37,7 @@ def _race(slot: Column, high: int, seed: int) -> Column:
 def _weighted(cands: DataFrame, probs: DataFrame, spec: GameSpec, seed: int) -> DataFrame:
     """One combination per candidate, slot after slot inside the row: each
     slot's pick joins an accumulator that the next slot's race must avoid."""
-    nothing = F.slice(F.array(F.struct(F.lit(0.0).alias("t"), F.lit(0).alias("number"), F.lit(0.0).alias("p"))), 1, 0)
+    nothing = F.array().cast("array<struct<t:double,number:int,p:double>>")
 
     def step(picks: Column, slot: Column) -> Column:
         free = F.filter(_race(slot, spec.high, seed), lambda r: ~F.exists(picks, lambda q: q["number"] == r["number"]))

@@ -133,7 +133,7 @@ def greedy_combo(probs: DataFrame, spec: GameSpec = G5, places: int = 2) -> Data
         F.sort_array(F.collect_list(F.when(F.col("slot") == s, entry))) for s in range(1, spec.bonus_slot + 1)
     ]
     lists = in_domain(probs, spec).agg(F.array(*ranked[:-1]).alias("_mains"), ranked[-1].alias("_bonus"))
-    nothing = F.slice(F.array(F.struct(F.lit(0.0).alias("q"), F.lit(0).alias("number"))), 1, 0)
+    nothing = F.array().cast("array<struct<q:double,number:int>>")
 
     def step(picks: Column, numbers: Column) -> Column:
         free = F.filter(numbers, lambda e: ~F.exists(picks, lambda q: q["number"] == e["number"]))
