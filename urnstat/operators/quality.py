@@ -9,6 +9,15 @@ from urnstat.functions import balls as B
 from urnstat.games import G5, GameSpec
 
 
+# The messages of the rules.
+DATE_MISSING = "Draw date is required"
+MAIN_RANGE = "Main number {slot} must be between 1 and {high}"
+MAIN_REPEATED = "Main numbers must be unique"
+BONUS_RANGE = "Bonus number must be between 1 and {high}"
+JACKPOT_MISSING = "Jackpot amount is required"
+OUTCOME_MISSING = "Outcome is required"
+
+
 def _blank(name: str) -> Column:
     return F.coalesce(F.length(F.trim(F.regexp_replace(F.col(name), r"\s", " "))), F.lit(0)) == 0
 
@@ -20,17 +29,19 @@ def _outside(value: Column, high: int) -> Column:
 def rules(spec: GameSpec = G5) -> list[tuple[Column, str]]:
     """(fails, message) pairs in the order they are reported."""
     balls = F.col("balls")
-    out = [(_blank("draw_date_raw"), "Draw date is required")]
-    for i, ball in enumerate(B.slots(balls, spec), 1):
-        out.append((_outside(ball, spec.high), f"Main number {i} must be between 1 and {spec.high}"))
     distinct = F.coalesce(F.size(F.array_distinct(balls)), F.lit(0))
-    out += [
-        (distinct != spec.slots, "Main numbers must be unique"),
-        (_outside(F.col("bonus"), spec.bonus_high), f"Bonus number must be between 1 and {spec.bonus_high}"),
-        (_blank("jackpot"), "Jackpot amount is required"),
-        (_blank("outcome"), "Outcome is required"),
+    mains = [
+        (_outside(ball, spec.high), MAIN_RANGE.format(slot=i, high=spec.high))
+        for i, ball in enumerate(B.slots(balls, spec), 1)
+    ]
+    return [
+        (_blank("draw_date_raw"), DATE_MISSING),
+        *mains,
+        (distinct != spec.slots, MAIN_REPEATED),
+        (_outside(F.col("bonus"), spec.bonus_high), BONUS_RANGE.format(high=spec.bonus_high)),
+        (_blank("jackpot"), JACKPOT_MISSING),
+        (_blank("outcome"), OUTCOME_MISSING),
     ]
-    return out
 
 
 def validate_draws(df: DataFrame, spec: GameSpec = G5) -> DataFrame:

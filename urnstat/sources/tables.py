@@ -6,6 +6,7 @@ the series. See ``FIXTURES.md`` §3.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,11 +79,15 @@ def stored_draws(spark: SparkSession, sf_dir: str, spec: GameSpec = G5) -> DataF
     filters and columns then reach the parquet reader.
     """
     key = (spark.sparkContext.applicationId, sf_dir, spec.name, *_state(spark, sf_dir))
-    if key not in _STORED:
-        path = scratch_path(spark, f"draws-{spec.name}")
-        draws(spark, sf_dir, spec).write.parquet(path)
-        _STORED[key] = path
-    return spark.read.schema(STORED_SCHEMA).parquet(_STORED[key])
+    reader = spark.read.schema(STORED_SCHEMA)
+    if key in _STORED:
+        try:
+            return reader.parquet(_STORED[key])
+        except AnalysisException:
+            pass  # the scratch area was cleared: build it again
+    _STORED[key] = scratch_path(spark, f"draws-{spec.name}")
+    draws(spark, sf_dir, spec).write.parquet(_STORED[key])
+    return reader.parquet(_STORED[key])
 
 
 def raw_g5(draws_df: DataFrame) -> DataFrame:
