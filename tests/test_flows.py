@@ -107,10 +107,10 @@ def test_ingest(spark, tmp_path):
     paths = pipeline.Paths(str(tmp_path))
     pipeline.ingest(spark, spark.createDataFrame(NEW[:1], TYPED), paths)
     pipeline.ingest(spark, spark.createDataFrame(NEW[1:], TYPED), paths)
-    table = store.load_draws(spark, paths.calculated, schema=None).orderBy("draw_id").collect()
+    table = pipeline.load_calculated(spark, paths).orderBy("draw_id").collect()
     assert [(r.draw_id, r.seq, r.prev_common_count) for r in table] == [(1, 0, 0), (2, 1, 4), (5, 0, 0)]
     assert table[2].draw_date is None
-    counts = {r.number: r.frequency for r in spark.read.parquet(paths.frequency).collect()}
+    counts = {r.number: r.frequency for r in pipeline.load_frequency(spark, paths).collect()}
     assert counts[5] == 2 and counts[11] == 2 and counts[50] == 1 and sum(counts.values()) == 18
     rejects = {r.draw_id: r.errors for r in spark.read.parquet(paths.rejects).collect()}
     assert rejects == {
@@ -137,4 +137,53 @@ def test_stream_reaches_the_batch_state(spark, tmp_path):
     assert sorted(got.collect()) == sorted(want.collect())
     assert spark.read.parquet(paths.rejects).count() == 2
     pipeline.refresh(spark, paths)
-    assert store.load_draws(spark, paths.calculated, schema=None).count() == 3
+    assert pipeline.load_calculated(spark, paths).count() == 3
+
+
+def typed_rows(spark, rows):
+    df = spark.createDataFrame(rows, "series string, draw_id bigint, day string, balls array<int>, bonus int")
+    return df.selectExpr(
+        "series",
+        "draw_id",
+        "date_format(cast(day as date), 'EEEE d MMMM yyyy') as draw_date_raw",
+        "balls",
+        "bonus",
+        "'R1' as jackpot",
+        "'Roll' as outcome",
+    )
+
+
+def state(spark, paths):
+    rows = sorted(pipeline.load_calculated(spark, paths).drop("batch").collect(), key=lambda r: r.draw_id)
+    names = sorted(set(rows[0].asDict()))
+    return [tuple(str(r[n]) for n in names) for r in rows], sorted(pipeline.load_frequency(spark, paths).collect())
+
+
+def batches(spark, paths):
+    return {r.batch for r in pipeline.load_calculated(spark, paths).select("batch").distinct().collect()}
+
+
+def test_later_draws_extend_the_tables(spark, tmp_path):
+    rows = sorted((r for r in brute.make_rows(120, seed=4) if r[2]), key=lambda r: (r[2], r[1]))
+    days = sorted({r[2] for r in rows})
+    parts = [
+        [r for r in rows if r[2] < days[60]],
+        [r for r in rows if days[60] <= r[2] < days[63]],
+        [r for r in rows if r[2] >= days[63]] + [("new", 9999, "2021-01-01", [1, 2, 3, 4, 5], 6)],
+    ]
+    grown, whole = pipeline.Paths(f"{tmp_path}/grown"), pipeline.Paths(f"{tmp_path}/whole")
+    for i, part in enumerate(parts):
+        pipeline.ingest(spark, typed_rows(spark, part), grown, batch=f"b{i}")
+    assert batches(spark, grown) == {"full", "b1", "b2"}
+    pipeline.ingest(spark, typed_rows(spark, sum(parts, [])), whole)
+    assert state(spark, grown) == state(spark, whole)
+    # The same batch again changes nothing.
+    pipeline.ingest(spark, typed_rows(spark, parts[2]), grown, batch="b2")
+    assert batches(spark, grown) == {"full", "b1", "b2"} and state(spark, grown) == state(spark, whole)
+    # An earlier draw moves rows, so everything is rebuilt.
+    early = [("a", 7777, "2019-01-01", [6, 7, 8, 9, 10], 1)]
+    pipeline.ingest(spark, typed_rows(spark, early), grown)
+    assert batches(spark, grown) == {"full"}
+    again = pipeline.Paths(f"{tmp_path}/again")
+    pipeline.ingest(spark, typed_rows(spark, sum(parts, early)), again)
+    assert state(spark, grown) == state(spark, again)

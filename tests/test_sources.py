@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from urnstat.games import G6
 from urnstat.operators import frequency as freq
 from urnstat.operators import likelihood as L
+from urnstat.plans import pipeline
 from urnstat.sources import raw, store
 
 G5_TEXT = '''Draw Date,Results,Jackpot,Outcome
@@ -64,6 +65,21 @@ def test_read_raw_g6(spark, folder):
     ]
 
 
+def test_raw_records_become_history(spark, folder):
+    (folder / "g5.csv").write_text(G5_TEXT)
+    (folder / "g6.csv").write_text(G6_TEXT)
+    five = raw.to_draws(raw.parse_balls(raw.read_raw_g5(spark, str(folder / "g5.csv"))), "g5")
+    six = raw.to_draws(raw.with_day(raw.parse_balls(raw.read_raw_g6(spark, str(folder / "g6.csv")), G6)), "g6")
+    assert five.columns == six.columns == raw.DRAWS.names
+    assert sorted(len(r.balls) for r in five.unionByName(six).collect()) == [5, 5, 5, 6, 6]
+    again = raw.to_draws(raw.parse_balls(raw.read_raw_g5(spark, str(folder / "g5.csv"))), "g5")
+    assert sorted(r.draw_id for r in again.collect()) == sorted(r.draw_id for r in five.collect())
+    paths = pipeline.Paths(f"{folder}/tables")
+    store.append_draws(paths.history, five)
+    pipeline.refresh(spark, paths)
+    assert pipeline.load_calculated(spark, paths).count() == 3
+
+
 def sample(spark):
     rows = [("x", 1, dt.date(2025, 1, 1), [1, 2, 3, 4, 5], 6, "R1", "Roll"), ("1", 2, None, [7, 8, 9, 10, 11], 6, "R2", "Won")]
     return spark.createDataFrame(rows, raw.DRAWS)

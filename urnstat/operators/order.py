@@ -21,19 +21,19 @@ from pyspark.sql import functions as F
 from urnstat.functions import balls as B
 from urnstat.games import G5, GameSpec
 from urnstat.operators.features import indicator
-from urnstat.session import broadcast_checked, materialize
+from urnstat.session import materialize
 
 BLOCK_ROWS = 1 << 16
 ROLLING_ROWS = 10
 HIT_ROWS = 5
-MAX_STARTS = 200_000
 
 
 def with_seq(df: DataFrame, series: str = "series", order: Sequence[str] = ("draw_date", "draw_id")) -> DataFrame:
     """Add ``seq``: 0-based position in the series, oldest first, null dates first.
 
     Places depend on the partition a row landed in, so they are written once
-    and read back; only then are they counted.
+    and read back; only then are they counted. The counts, at most one row per
+    partition and series, are written too: their size decides how they join.
     """
     keys = [series, *order]
     placed = materialize(
@@ -49,7 +49,7 @@ def with_seq(df: DataFrame, series: str = "series", order: Sequence[str] = ("dra
         F.col("_part").alias("_run"),
         (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"),
     )
-    starts = broadcast_checked(starts, MAX_STARTS)
+    starts = materialize(starts, "starts")
     same_run = (F.col("_part") == F.col("_run")) & F.col(series).eqNullSafe(F.col("_series"))
     return (
         placed.join(starts, same_run)

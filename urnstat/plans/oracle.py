@@ -379,6 +379,20 @@ def dist(name: str) -> str:
 
 REPORT = """'{label}' AS model, COUNT(*) AS draws, strftime(MIN(draw_date), '%Y-%m-%d') AS first_date,
   strftime(MAX(draw_date), '%Y-%m-%d') AS last_date, 14 AS features, 6 AS targets, {trees} AS trees"""
+SUMMARY = """SELECT series, COUNT(*) AS draws, MAX(seq) AS last_seq, CAST(SUM(prev_common_count) AS BIGINT) AS prev_common_total,
+  CAST(SUM(CAST(hit_rate_last_5 * 5 AS INT)) AS BIGINT) AS hit_total, CAST(SUM(list_sum(balls) + bonus) AS BIGINT) AS ball_total
+FROM looked GROUP BY series"""
+SPLIT = (f"draw_date < DATE '{Q.SPLIT_DAY}'", f"draw_date >= DATE '{Q.SPLIT_DAY}'")
+
+
+def merged(old: str, new: str) -> str:
+    """History and accepted typed-in draws."""
+    return f"""
+  merged AS (
+    SELECT series, draw_id, draw_date, balls, bonus FROM draws WHERE {old} UNION ALL
+    SELECT series, draw_id + {Q.NEW_ID_SHIFT}, draw_date, balls, bonus FROM checked WHERE len(errors) = 0 AND {new})"""
+
+
 NEWEST = "ORDER BY draw_date DESC, draw_id DESC"
 
 
@@ -584,16 +598,12 @@ def oracle_sql() -> dict[str, str]:
             f"QUALIFY ROW_NUMBER() OVER (PARTITION BY series {NEWEST}) <= 500)"
         ),
         "forest_full": sql(f"SELECT {REPORT.format(label='Full Dataset', trees=Q.FOREST['num_trees'])} FROM draws"),
-        "ingest_result": sql(
-            "SELECT series, COUNT(*) AS draws, MAX(seq) AS last_seq, CAST(SUM(prev_common_count) AS BIGINT) AS prev_common_total, "
-            "CAST(SUM(list_sum(balls) + bonus) AS BIGINT) AS ball_total FROM looked GROUP BY series",
+        "ingest_result": sql(SUMMARY, NEW, merged("TRUE", "TRUE"), seq("merged"), look()),
+        "ingest_tail": sql(SUMMARY, NEW, merged(*SPLIT), seq("merged"), look()),
+        "ingest_frequency": sql(
+            "SELECT number, COUNT(*) AS frequency FROM (SELECT UNNEST(list_append(balls, bonus)) AS number FROM merged) GROUP BY 1",
             NEW,
-            f"""
-  merged AS (
-    SELECT series, draw_id, draw_date, balls, bonus FROM draws UNION ALL
-    SELECT series, draw_id + {Q.NEW_ID_SHIFT}, draw_date, balls, bonus FROM checked WHERE len(errors) = 0)""",
-            seq("merged"),
-            look(),
+            merged(*SPLIT),
         ),
         "stream_frequency": sql(
             "SELECT number, COUNT(*) AS frequency FROM (SELECT UNNEST(list_append(balls, bonus)) AS number FROM checked WHERE len(errors) = 0) GROUP BY 1",

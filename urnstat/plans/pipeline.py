@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from urnstat.functions import text
@@ -14,7 +16,9 @@ from urnstat.operators import frequency as freq
 from urnstat.operators import likelihood as L
 from urnstat.operators import quality
 from urnstat.operators.features import feature_columns, row_features
+from urnstat.session import materialize
 from urnstat.sources import store
+from urnstat.sources.raw import DRAWS
 
 
 def calculate(clean: DataFrame, spec: GameSpec = G5, direction: str = "past") -> DataFrame:
@@ -143,16 +147,80 @@ def typed(checked: DataFrame) -> DataFrame:
     )
 
 
+FULL = "full"
+
+
 def refresh(spark: SparkSession, paths: Paths, spec: GameSpec = G5) -> None:
     """Rebuild the calculated and frequency tables from the stored history."""
     history = store.load_history(spark, paths.history)
-    store.write_calculated(calculate(history, spec), paths.calculated)
-    freq.frequency(history, spec).coalesce(1).write.mode("overwrite").parquet(paths.frequency)
+    tables = {
+        paths.calculated: (calculate(history, spec), ["series"]),
+        paths.frequency: (freq.frequency(history, spec).coalesce(1), []),
+    }
+    for path, (df, partitions) in tables.items():
+        df.withColumn("batch", F.lit(FULL)).write.mode("overwrite").partitionBy("batch", *partitions).parquet(path)
+
+
+def load_calculated(spark: SparkSession, paths: Paths) -> DataFrame:
+    return store.load_draws(spark, paths.calculated, schema=None)
+
+
+def load_frequency(spark: SparkSession, paths: Paths) -> DataFrame:
+    """Frequencies over all batches; every batch holds one row per number."""
+    return spark.read.parquet(paths.frequency).groupBy("number").agg(F.sum("frequency").alias("frequency"))
+
 
+def _tail(calculated: DataFrame) -> DataFrame:
+    """The newest rows of every series that a following draw looks back at."""
+    age = Window.partitionBy("series").orderBy(F.desc("seq"))
+    ranked = calculated.withColumn("_age", F.row_number().over(age))
+    return ranked.where(F.col("_age") <= order.HIT_ROWS).drop("_age")
 
-def ingest(spark: SparkSession, new: DataFrame, paths: Paths, spec: GameSpec = G5) -> None:
-    """Validate, append what passes, keep what does not, refresh."""
+
+def _follows(tail: DataFrame, fresh: DataFrame) -> bool:
+    """Is every new draw later than all stored draws of its series?"""
+    place = F.struct("draw_date", "draw_id")
+    last = tail.groupBy("series").agg(F.max(place).alias("_last"))
+    first = fresh.groupBy("series").agg(F.min(place).alias("_first"))
+    return first.join(last, "series").where(F.col("_first") <= F.col("_last")).isEmpty()
+
+
+def extend(spark: SparkSession, paths: Paths, batch: str, spec: GameSpec = G5) -> bool:
+    """Bring the calculated and frequency tables up to date with one history batch.
+
+    Draws that follow the stored ones change no stored row: their features need
+    the last few rows per series, and their counts add up. So only rows of the
+    batch are computed and written. Returns False, having written nothing, when
+    tables are missing or a draw is dated before the stored end.
+    """
+    fresh = store.load_history(spark, paths.history, batch)
+    try:
+        stored = load_calculated(spark, paths)
+    except AnalysisException:
+        return False
+    base = [*DRAWS.names, "seq"]
+    tail = materialize(_tail(stored.where(F.col("batch") != batch).select(*base)), "tail")
+    if not _follows(tail, fresh):
+        return False
+    ends = tail.groupBy("series").agg(F.max("seq").alias("_end"))
+    numbered = order.with_seq(fresh).join(ends, "series", "left")
+    numbered = numbered.withColumn("seq", F.col("seq") + F.coalesce(F.col("_end") + 1, F.lit(0))).drop("_end")
+    context = tail.select(*base, F.lit(False).alias("_new"))
+    rows = context.unionByName(numbered.select(*base, F.lit(True).alias("_new")))
+    rows = order.history_features(rows, spec).where("_new").drop("_new")
+    store.write_batch(row_features(rows, spec), paths.calculated, batch, "series")
+    store.write_batch(freq.frequency(fresh, spec).coalesce(1), paths.frequency, batch)
+    return True
+
+
+def ingest(spark: SparkSession, new: DataFrame, paths: Paths, spec: GameSpec = G5, batch: str | None = None) -> None:
+    """Validate, append what passes, keep what does not, bring the tables up to date.
+
+    Draws at the end of the history extend the tables; others rebuild them.
+    """
+    batch = batch or uuid.uuid4().hex
     checked = quality.validate_draws(new, spec)
-    store.append_draws(paths.history, typed(checked))
-    quality.rejected(checked).write.mode("append").parquet(paths.rejects)
-    refresh(spark, paths, spec)
+    store.append_draws(paths.history, typed(checked), batch)
+    store.write_batch(quality.rejected(checked), paths.rejects, batch)
+    if not extend(spark, paths, batch, spec):
+        refresh(spark, paths, spec)

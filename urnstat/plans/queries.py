@@ -29,6 +29,7 @@ QUERIES: dict[str, Query] = {}
 
 TREND_NUMBERS = [1, 15, 30, 45]
 SLICE_START, SLICE_END = "1996-01-01", "1997-12-31"
+SPLIT_DAY = "2000-01-01"
 PLACES = 6
 WEIGHTED = 500
 FOREST = {"num_trees": 4, "max_depth": 4}
@@ -101,10 +102,9 @@ def day_name(spark, sf_dir):
 
 @query("append_draw")
 def append_draw(spark, sf_dir):
-    history = T.stored_draws(spark, sf_dir).withColumn("jackpot", F.concat(F.lit("R"), F.format_number("jackpot", 2)))
-    new = pipeline.typed(quality.validate_draws(T.new_draws(T.stored_draws(spark, sf_dir))))
-    new = new.withColumn("draw_id", F.col("draw_id") + NEW_ID_SHIFT)
-    return store.union_draws(history, new).select(*KEYS, iso(), *B.wide(F.col("balls"), G5), "bonus", "jackpot", "outcome")
+    draws = T.stored_draws(spark, sf_dir)
+    new = pipeline.typed(quality.validate_draws(_new_ids(T.new_draws(draws))))
+    return store.union_draws(_money(draws), new).select(*KEYS, iso(), *B.wide(F.col("balls"), G5), "bonus", "jackpot", "outcome")
 
 
 # ---- features of one draw --------------------------------------------------
@@ -555,24 +555,54 @@ def training_report(spark, sf_dir, part):
 # ---- stored tables and streams ---------------------------------------------
 
 
+def _money(df: DataFrame) -> DataFrame:
+    return df.withColumn("jackpot", F.concat(F.lit("R"), F.format_number("jackpot", 2)))
+
+
+def _summary(calculated: DataFrame) -> DataFrame:
+    return calculated.groupBy("series").agg(
+        F.count("*").alias("draws"),
+        F.max("seq").alias("last_seq"),
+        F.sum("prev_common_count").alias("prev_common_total"),
+        F.sum((F.col("hit_rate_last_5") * 5).cast("int")).alias("hit_total"),
+        F.sum("sum_with_bonus").alias("ball_total"),
+    )
+
+
+def _new_ids(df: DataFrame) -> DataFrame:
+    return df.withColumn("draw_id", F.col("draw_id") + NEW_ID_SHIFT)
+
+
 @query("ingest_result")
 def ingest_result(spark, sf_dir):
-    """History plus typed-in draws, then a full refresh of the stored tables."""
-    history = T.stored_draws(spark, sf_dir).withColumn("jackpot", F.concat(F.lit("R"), F.format_number("jackpot", 2)))
-    new = T.new_draws(T.stored_draws(spark, sf_dir)).withColumn("draw_id", F.col("draw_id") + NEW_ID_SHIFT)
+    """History plus typed-in draws of the same days: the tables are rebuilt."""
+    history = T.stored_draws(spark, sf_dir)
     paths = pipeline.Paths(scratch_path(spark, "ingest"))
-    store.append_draws(paths.history, history)
-    pipeline.ingest(spark, new, paths)
-    return (
-        store.load_draws(spark, paths.calculated, schema=None)
-        .groupBy("series")
-        .agg(
-            F.count("*").alias("draws"),
-            F.max("seq").alias("last_seq"),
-            F.sum("prev_common_count").alias("prev_common_total"),
-            F.sum("sum_with_bonus").alias("ball_total"),
-        )
-    )
+    store.append_draws(paths.history, _money(history))
+    pipeline.ingest(spark, _new_ids(T.new_draws(history)), paths)
+    return _summary(pipeline.load_calculated(spark, paths))
+
+
+def _grown(spark, sf_dir) -> pipeline.Paths:
+    """Tables of the draws before a day, extended by typed-in draws from that day."""
+    draws = T.stored_draws(spark, sf_dir)
+    old = draws.where(F.col("draw_date") < F.lit(SPLIT_DAY).cast("date"))
+    new = draws.where(F.col("draw_date") >= F.lit(SPLIT_DAY).cast("date"))
+    paths = pipeline.Paths(scratch_path(spark, "ingest"))
+    store.append_draws(paths.history, _money(old))
+    pipeline.refresh(spark, paths)
+    pipeline.ingest(spark, _new_ids(T.new_draws(new)), paths)
+    return paths
+
+
+@query("ingest_tail")
+def ingest_tail(spark, sf_dir):
+    return _summary(pipeline.load_calculated(spark, _grown(spark, sf_dir)))
+
+
+@query("ingest_frequency")
+def ingest_frequency(spark, sf_dir):
+    return pipeline.load_frequency(spark, _grown(spark, sf_dir))
 
 
 @query("stream_frequency")

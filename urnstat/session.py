@@ -55,7 +55,9 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared scratch area and read it back.
 
     Cuts the lineage, survives executor loss and fixes values that depend on
-    task layout. Parquet keeps column pruning for whoever reads it next.
+    task layout. Parquet keeps column pruning for whoever reads it next, and its
+    known size lets Spark decide by ``spark.sql.autoBroadcastJoinThreshold``
+    whether a join with it may broadcast.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
@@ -63,17 +65,6 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_checked(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast after counting that ``df`` stays within ``max_rows``.
-
-    Meant for summaries over materialized tables, where the count is cheap.
-    Larger sides are returned unhinted, so Spark shuffles the join instead.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
 def broadcast_bounded(df: DataFrame, max_rows: int, row_bytes: int, limit_bytes: int = 64 << 20) -> DataFrame:
     """Hint a broadcast when the domain itself proves a small enough size."""
     if max_rows * row_bytes <= limit_bytes:

@@ -33,8 +33,8 @@ DRAWS = T.StructType(
 def _read(spark: SparkSession, path: str, schema: T.StructType, header: bool) -> DataFrame:
     """Quoted fields may span lines, so each file is one task: land many files
     and keep the cleaned parquet, not the CSV, as the working table."""
-    shape = schema.add("_extra", T.StringType()).add("_broken", T.StringType())
-    df = (
+    shape = T.StructType([*schema.fields, *_strings("_extra", "_broken").fields])
+    return (
         spark.read.schema(shape)
         .option("header", header)
         .option("multiLine", True)
@@ -44,18 +44,17 @@ def _read(spark: SparkSession, path: str, schema: T.StructType, header: bool) ->
         .option("columnNameOfCorruptRecord", "_broken")
         .csv(path)
     )
-    return df
 
 
 def read_raw_g5(spark: SparkSession, path: str) -> DataFrame:
     """Raw 5+1 records with a header row, cleaned."""
-    df = _read(spark, path, T.StructType(RAW_G5.fields), header=True)
+    df = _read(spark, path, RAW_G5, header=True)
     return clean_raw_g5(df.drop("_extra", "_broken"))
 
 
 def read_raw_g6(spark: SparkSession, path: str) -> DataFrame:
     """Raw 6+1 records without a header row, cleaned; only rows of width 4 count."""
-    df = _read(spark, path, T.StructType(RAW_G6.fields), header=False)
+    df = _read(spark, path, RAW_G6, header=False)
     df = df.where(F.col("_extra").isNull() & F.col("bonus").isNotNull())
     return clean_raw_g6(df.drop("_extra", "_broken"))
 
@@ -109,3 +108,22 @@ def with_day(df: DataFrame) -> DataFrame:
     """Date of separate date and year texts, and the weekday name."""
     dated = df.withColumn("draw_date", text.parse_day_and_year(F.col("date"), F.col("year")))
     return dated.withColumn("day", F.date_format("draw_date", "EEEE"))
+
+
+def to_draws(parsed: DataFrame, series: str) -> DataFrame:
+    """Parsed raw records as history rows of ``series``.
+
+    Raw records carry no id, so it is a hash of date text and numbers: the same
+    record gets the same id in every load, and order inside a day is fixed.
+    """
+    blank = F.lit(None).cast("string")
+    df = parsed if "draw_date" in parsed.columns else with_draw_date(parsed)
+    texts = [c for c in ("draw_date_raw", "year", "date") if c in df.columns]
+    return df.select(
+        F.lit(series).alias("series"),
+        F.xxhash64(*texts, "balls", "bonus").alias("draw_id"),
+        "draw_date",
+        "balls",
+        "bonus",
+        *[F.col(c) if c in df.columns else blank.alias(c) for c in ("jackpot", "outcome")],
+    )

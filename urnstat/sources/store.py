@@ -80,13 +80,18 @@ def append_draws(history_path: str, new: DataFrame, batch: str | None = None) ->
     Every append owns one ``batch=`` directory. Running a named batch again
     replaces it, so a retried load leaves no doubles.
     """
-    batch = batch or uuid.uuid4().hex
-    new.write.mode("overwrite").partitionBy("series").parquet(f"{history_path}/batch={batch}")
+    write_batch(new, history_path, batch or uuid.uuid4().hex, "series")
 
 
-def load_history(spark: SparkSession, history_path: str) -> DataFrame:
-    """All batches of a stored history."""
-    return load_draws(spark, history_path).select(*DRAWS.names)
+def load_history(spark: SparkSession, history_path: str, batch: str | None = None) -> DataFrame:
+    """All batches of a stored history, or one of them."""
+    path = history_path if batch is None else f"{history_path}/batch={batch}"
+    return load_draws(spark, path).select(*DRAWS.names)
+
+
+def write_batch(df: DataFrame, path: str, batch: str, *partitions: str) -> None:
+    """One batch of a table kept in ``batch=`` directories; replaces itself."""
+    df.write.mode("overwrite").partitionBy(*partitions).parquet(f"{path}/batch={batch}")
 
 
 def union_draws(history: DataFrame, new: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ def start_intake(stream: DataFrame, paths: Paths, checkpoint: str, spec: GameSpe
     def store_batch(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         store.append_draws(paths.history, typed(batch), batch=f"stream-{batch_id}")
-        quality.rejected(batch).write.mode("overwrite").parquet(f"{paths.rejects}/batch=stream-{batch_id}")
+        store.write_batch(quality.rejected(batch), paths.rejects, f"stream-{batch_id}")
         batch.unpersist()
 
     return (
