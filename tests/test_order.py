@@ -71,6 +71,16 @@ def test_first_rows(draws_of):
     assert got["s", 9][2:] == (10.0, 10.0, 0.0)
 
 
+def test_first_row_without_ansi(spark, draws_of, rows):
+    df = order.with_seq(draws_of(rows))
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        first = order.history_features(df).where("seq = 0").collect()
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+    assert {(r.prev_common_count, r.hit_rate_last_5) for r in first} == {(0, 0.0)}
+
+
 def test_rolling_is_the_long_form_of_the_trend(draws_of, rows):
     df = order.with_seq(draws_of(rows))
     long = {(r.series, r.seq, r.number): r.frequency for r in order.rolling_frequency(df, NUMBERS).collect()}

@@ -91,13 +91,13 @@ def look_back(
 
 
 def _common(window: WindowSpec) -> Column:
-    return F.coalesce(F.size(F.array_intersect("balls", F.lag("balls").over(window))), F.lit(0))
+    return F.coalesce(F.array_size(F.array_intersect("balls", F.lag("balls").over(window))), F.lit(0))
 
 
 def _hit_rate(rows: int, spec: GameSpec):
     def make(window: WindowSpec) -> Column:
         past = F.flatten(F.collect_list("balls").over(window.rowsBetween(-rows, -1)))
-        return F.coalesce(F.size(F.array_intersect("balls", past)), F.lit(0)) / F.lit(spec.slots)
+        return F.coalesce(F.array_size(F.array_intersect("balls", past)), F.lit(0)) / F.lit(spec.slots)
 
     return make
 

@@ -29,7 +29,7 @@ def _outside(value: Column, high: int) -> Column:
 def rules(spec: GameSpec = G5) -> list[tuple[Column, str]]:
     """(fails, message) pairs in the order they are reported."""
     balls = F.col("balls")
-    distinct = F.coalesce(F.size(F.array_distinct(balls)), F.lit(0))
+    distinct = F.coalesce(F.array_size(F.array_distinct(balls)), F.lit(0))
     mains = [
         (_outside(ball, spec.high), MAIN_RANGE.format(slot=i, high=spec.high))
         for i, ball in enumerate(B.slots(balls, spec), 1)
