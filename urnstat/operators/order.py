@@ -145,8 +145,25 @@ def join_by_seq(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(right, ["series", "seq"])
 
 
+def series_ends(df: DataFrame, which: str = "latest") -> DataFrame:
+    """First or last ``seq`` per series as ``_name, _end``, written because it
+    is small: a join with it then needs neither sort nor shuffle of ``df``."""
+    pick = {"latest": F.max, "oldest": F.min}[which]
+    return materialize(df.groupBy(F.col("series").alias("_name")).agg(pick("seq").alias("_end")), "ends")
+
+
 def scoring_row(df: DataFrame, which: str = "latest", columns: Sequence[str] | None = None) -> DataFrame:
-    """The newest (``latest``) or first (``oldest``) row of every series."""
-    pick = {"latest": F.max_by, "oldest": F.min_by}[which]
-    columns = [c for c in (columns or df.columns) if c != "series"]
-    return df.groupBy("series").agg(pick(F.struct(*columns), "seq").alias("_row")).select("series", "_row.*")
+    """The newest (``latest``) or first (``oldest``) row of every series.
+
+    Two scans: one of two columns to find the positions, one to fetch the rows.
+    Meant for stored tables.
+    """
+    at_end = F.col("series").eqNullSafe(F.col("_name")) & (F.col("seq") == F.col("_end"))
+    rows = df.join(series_ends(df, which), at_end, "left_semi")
+    return rows.select("series", *[c for c in (columns or df.columns) if c != "series"])
+
+
+def newest_rows(df: DataFrame, n: int) -> DataFrame:
+    """The last ``n`` positions of every series of a stored, complete table."""
+    late = F.col("series").eqNullSafe(F.col("_name")) & (F.col("seq") > F.col("_end") - n)
+    return df.join(series_ends(df), late, "left_semi")

@@ -6,7 +6,7 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urnstat.functions import text
@@ -170,19 +170,16 @@ def load_frequency(spark: SparkSession, paths: Paths) -> DataFrame:
     return spark.read.parquet(paths.frequency).groupBy("number").agg(F.sum("frequency").alias("frequency"))
 
 
-def _tail(calculated: DataFrame) -> DataFrame:
-    """The newest rows of every series that a following draw looks back at."""
-    age = Window.partitionBy("series").orderBy(F.desc("seq"))
-    ranked = calculated.withColumn("_age", F.row_number().over(age))
-    return ranked.where(F.col("_age") <= order.HIT_ROWS).drop("_age")
+def _same_series():
+    return F.col("series").eqNullSafe(F.col("_name"))
 
 
 def _follows(tail: DataFrame, fresh: DataFrame) -> bool:
     """Is every new draw later than all stored draws of its series?"""
     place = F.struct("draw_date", "draw_id")
-    last = tail.groupBy("series").agg(F.max(place).alias("_last"))
+    last = tail.groupBy(F.col("series").alias("_name")).agg(F.max(place).alias("_last"))
     first = fresh.groupBy("series").agg(F.min(place).alias("_first"))
-    return first.join(last, "series").where(F.col("_first") <= F.col("_last")).isEmpty()
+    return first.join(last, _same_series()).where(F.col("_first") <= F.col("_last")).isEmpty()
 
 
 def extend(spark: SparkSession, paths: Paths, batch: str, spec: GameSpec = G5) -> bool:
@@ -199,12 +196,12 @@ def extend(spark: SparkSession, paths: Paths, batch: str, spec: GameSpec = G5) -
     except AnalysisException:
         return False
     base = [*DRAWS.names, "seq"]
-    tail = materialize(_tail(stored.where(F.col("batch") != batch).select(*base)), "tail")
+    before = stored.where(F.col("batch") != batch).select(*base)
+    tail = materialize(order.newest_rows(before, order.HIT_ROWS), "tail")
     if not _follows(tail, fresh):
         return False
-    ends = tail.groupBy("series").agg(F.max("seq").alias("_end"))
-    numbered = order.with_seq(fresh).join(ends, "series", "left")
-    numbered = numbered.withColumn("seq", F.col("seq") + F.coalesce(F.col("_end") + 1, F.lit(0))).drop("_end")
+    numbered = order.with_seq(fresh).join(order.series_ends(tail), _same_series(), "left")
+    numbered = numbered.withColumn("seq", F.col("seq") + F.coalesce(F.col("_end") + 1, F.lit(0)))
     context = tail.select(*base, F.lit(False).alias("_new"))
     rows = context.unionByName(numbered.select(*base, F.lit(True).alias("_new")))
     rows = order.history_features(rows, spec).where("_new").drop("_new")

@@ -289,7 +289,7 @@ def feature_matrix(spark, sf_dir, kind):
 @query("scoring_row", which="latest")
 @query("scoring_row_oldest", which="oldest")
 def scoring_row(spark, sf_dir, which):
-    calculated = pipeline.calculate(T.stored_draws(spark, sf_dir).drop("jackpot", "outcome"))
+    calculated = _model_table(spark, sf_dir)
     names = features.feature_columns(14)
     return order.scoring_row(calculated, which, ["seq", "draw_id", *names]).select("series", "seq", "draw_id", *show(names))
 
@@ -506,7 +506,7 @@ def predict(spark, sf_dir):
 
 
 def _model_table(spark, sf_dir):
-    """Feature rows written once: every tree level reads them again."""
+    """Feature rows as a stored table, which scoring and forests read again."""
     calculated = pipeline.calculate(T.stored_draws(spark, sf_dir).drop("jackpot", "outcome"))
     return materialize(calculated, "model-table")
 

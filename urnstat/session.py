@@ -48,7 +48,9 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/urnstat/{label}-{uuid.uuid4().hex}"
+    """A new place in the scratch area; one folder per application, so that a
+    finished application's tables can be dropped together."""
+    return f"{scratch_root(spark)}/urnstat/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

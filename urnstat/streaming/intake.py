@@ -33,7 +33,13 @@ def read_landing(spark: SparkSession, path: str, fmt: str = "json", files_per_tr
     return reader.load(path)
 
 
-def start_intake(stream: DataFrame, paths: Paths, checkpoint: str, spec: GameSpec = G5) -> StreamingQuery:
+# Without another trigger a stream takes what has landed and ends.
+ONCE = {"availableNow": True}
+
+
+def start_intake(
+    stream: DataFrame, paths: Paths, checkpoint: str, spec: GameSpec = G5, trigger: dict = ONCE
+) -> StreamingQuery:
     """Append checked draws to the history and the others to the rejects.
 
     Each batch owns one directory per table and overwrites it, so a batch that
@@ -50,7 +56,7 @@ def start_intake(stream: DataFrame, paths: Paths, checkpoint: str, spec: GameSpe
     return (
         checked.writeStream.foreachBatch(store_batch)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
 
@@ -60,7 +66,9 @@ def running_frequency(stream: DataFrame, spec: GameSpec = G5) -> DataFrame:
     return freq.frequency(quality.accepted(quality.validate_draws(stream, spec)), spec)
 
 
-def start_frequency(stream: DataFrame, path: str, checkpoint: str, spec: GameSpec = G5) -> StreamingQuery:
+def start_frequency(
+    stream: DataFrame, path: str, checkpoint: str, spec: GameSpec = G5, trigger: dict = ONCE
+) -> StreamingQuery:
     """Keep the newest running frequency table at ``path``, one version per batch."""
 
     def store_batch(batch: DataFrame, batch_id: int) -> None:
@@ -71,7 +79,7 @@ def start_frequency(stream: DataFrame, path: str, checkpoint: str, spec: GameSpe
         .writeStream.outputMode("complete")
         .foreachBatch(store_batch)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
 
