@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from urnstat.games import G6
 from urnstat.operators import frequency as freq
 from urnstat.operators import likelihood as L
+from urnstat.operators.features import row_features
 from urnstat.plans import pipeline
 from urnstat.sources import raw, store
 
@@ -100,6 +101,12 @@ def test_csv_has_one_column_per_slot(spark, folder):
     assert sorted(r.b1 for r in typed.collect()) == [1, 7]
 
 
+def test_calculated_table_round_trip(spark, folder):
+    store.write_calculated(row_features(sample(spark)), f"{folder}/calculated")
+    back = store.load_draws(spark, f"{folder}/calculated", schema=None).orderBy("draw_id").collect()
+    assert [(r["mean"], r["range"], r["has_consecutive"]) for r in back] == [(3.0, 4, True), (9.0, 4, True)]
+
+
 def test_frequency_files(spark, folder):
     counts = freq.frequency(sample(spark))
     store.write_frequency(counts, f"{folder}/by_number")

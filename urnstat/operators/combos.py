@@ -10,6 +10,7 @@ from urnstat.functions import chance, text
 from urnstat.games import G5, GameSpec
 from urnstat.operators import likelihood as L
 from urnstat.operators.features import row_features
+from urnstat.operators.frequency import history_profile
 from urnstat.operators.matching import already_drawn, dedupe_combos
 
 SAMPLE = 1000
@@ -210,21 +211,12 @@ def hypothetical_features(cands: DataFrame, calculated: DataFrame, spec: GameSpe
     own, and it shares nothing with a previous draw. The history summary is one
     scalar row, so candidates are not shuffled.
     """
-    summary = calculated.agg(
-        F.struct(
-            F.avg("mean").alias("mean"),
-            F.avg("median").alias("median"),
-            F.avg("std").alias("std"),
-            F.min("min").alias("min"),
-            F.max("max").alias("max"),
-            F.max("range").alias("range"),
-        )
-    ).scalar()
+    profile = history_profile(calculated)
+    summary = profile.select(F.struct(*profile.columns)).scalar()
     own = row_features(cands, spec).withColumn("_h", summary)
-    shared = ("mean", "median", "std", "min", "max", "range")
     return own.select(
         *cands.columns,
-        *[F.col(f"_h.{c}").alias(c) for c in shared],
+        *[F.col(f"_h.{c}").alias(c) for c in profile.columns],
         "sum_without_bonus",
         "even_count",
         "odd_count",

@@ -13,12 +13,11 @@ steps avoid it, whatever share of the rows one series holds:
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from urnstat.functions import balls as B
 from urnstat.games import G5, GameSpec
 from urnstat.operators.features import indicator
 from urnstat.session import materialize
@@ -65,7 +64,7 @@ def _position(direction: str) -> Column:
 
 def look_back(
     df: DataFrame,
-    columns: Mapping[str, "callable"],
+    columns: Mapping[str, Callable[[WindowSpec], Column]],
     reach: int,
     direction: str = "past",
     block_rows: int = BLOCK_ROWS,

@@ -224,10 +224,6 @@ def digest(*parts: str) -> str:
     return f"md5({text})"
 
 
-def first(order: str, value: str = "number") -> str:
-    return f"arg_min({value}, {order})"
-
-
 def greedy(spec: GameSpec = G5) -> str:
     """One step per slot: best number not picked by an earlier step."""
     k = spec.slots
