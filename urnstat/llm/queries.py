@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from urnstat.llm import boosting, byte_bpe, packing, quality, simhash
+from urnstat.llm import boosting, byte_bpe, context_tree, packing, quality, simhash
 from urnstat.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.score(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boosting.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -34,6 +38,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_simhash": op3_simhash,
     "op5_packing": op5_packing,
+    "op6_context_tree": op6_context_tree,
     "op8_quality_classifier": op8_quality_classifier,
     "op10_byte_bpe": op10_byte_bpe,
 }
