@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from urnstat.llm import boosting, byte_bpe, context_tree, main_text, packing, quality, simhash
+from urnstat.llm import boosting, byte_bpe, context_tree, main_text, packing, quality, simhash, url_filter
 from urnstat.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -42,6 +46,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_main_text": op2_main_text,
     "op3_simhash": op3_simhash,
+    "op4_url_filter": op4_url_filter,
     "op5_packing": op5_packing,
     "op6_context_tree": op6_context_tree,
     "op8_quality_classifier": op8_quality_classifier,
@@ -49,4 +54,5 @@ QUERIES = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality.oracle_sql(),
+    "op4_url_filter": url_filter.oracle_sql(),
 }
