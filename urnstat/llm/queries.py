@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from urnstat.llm import boosting, byte_bpe, context_tree, main_text, packing, quality, simhash, url_filter
+from urnstat.llm import boosting, byte_bpe, context_tree, embeddings, main_text, packing, quality, simhash, url_filter
 from urnstat.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op6_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree.score(table(spark, sf_dir, "documents"))
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boosting.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op4_url_filter": op4_url_filter,
     "op5_packing": op5_packing,
     "op6_context_tree": op6_context_tree,
+    "op7_embeddings": op7_embeddings,
     "op8_quality_classifier": op8_quality_classifier,
     "op10_byte_bpe": op10_byte_bpe,
 }
