@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from urnstat.llm import boosting, byte_bpe, context_tree, embeddings, main_text, packing, quality, simhash, url_filter
+from urnstat.llm import boosting, byte_bpe, context_tree, embeddings, main_text, packing, quality, simhash, url_filter, warc
 from urnstat.llm.common import table
 
 
@@ -41,6 +41,10 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boosting.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return byte_bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -55,9 +59,11 @@ QUERIES = {
     "op6_context_tree": op6_context_tree,
     "op7_embeddings": op7_embeddings,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_warc": op9_warc,
     "op10_byte_bpe": op10_byte_bpe,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality.oracle_sql(),
     "op4_url_filter": url_filter.oracle_sql(),
+    "op9_warc": warc.oracle_sql(),
 }
