@@ -1,7 +1,8 @@
 """Cleaning, near-duplicate removal and packing of the documents, stage by stage.
 
 Each stage takes ``(spark, docs, sf_dir)``; what it returns is written as Parquet
-and read again as the next one's ``docs``.
+and read again as the next one's ``docs``. All but the last return the columns they
+were given. Nulls, repeated rows and empty tables are each operator's, see there.
 """
 
 from __future__ import annotations
@@ -9,20 +10,39 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from urnstat.llm import packing
+from urnstat.llm import boosting, packing, quality, simhash
 from urnstat.llm.common import table
 from urnstat.session import materialize
 
 
+def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Failing lines go, and documents that are bad or lose too much with them."""
+    return quality.clean(docs)
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that trees trained on the labels score too low go."""
+    return boosting.keep_good(docs, boosting.train(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of exact or near copies stays, the one with the smallest id."""
+    return simhash.deduplicate(docs)
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents with their places in training sequences."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [
+    ("quality rules", clean_lines),
+    ("quality classifier", keep_quality),
+    ("SimHash near-dedup", drop_copies),
     ("best-fit packing", pack_sequences),
 ]
 
-#: Tokens and a trained classifier are beyond SQL; the tests use brute force.
+#: Trained trees and tokens are beyond SQL; the tests use a brute-force version.
 ORACLE_SQL = None
 
 
