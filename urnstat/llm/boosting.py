@@ -120,7 +120,7 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH) -
     """Fit by logistic loss; each split is the best of the gradient histograms."""
     inner = 2**depth - 1
     share = float(y.mean()) if len(y) else 0.5
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         # Nothing to tell apart: the share itself, kept off the ends of the scale.
         share = min(max(share, 1e-6), 1 - 1e-6)
         trees = 0

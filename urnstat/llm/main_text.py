@@ -173,7 +173,7 @@ class Weights:
             return min(-0.05, 0.5 * self.learnt.get(f"<{token.key}>", -0.5) - 0.1)
         if token.dropped:
             return -float(token.words)
-        return token.words * self.learnt.get(token.key, 0.0 if token.key.partition(".")[0] in ("", "body", "html") else 1.0)
+        return token.words * self.learnt.get(token.key, 0.5 if token.key.partition(".")[0] in ("", "body", "html") else 1.0)
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:

@@ -41,6 +41,8 @@ END = 1
 #: Grid cells per sequence and documents per pattern in the least-squares fit.
 CELLS = 256
 PATTERN_DOCS = 3
+#: The fit ends when nothing gains more than this share of the first gain; repeats are whole numbers anyway.
+FIT_SLACK = 1e-4
 #: Word parts that one Python worker remembers; it starts anew when full.
 MEMO_ROWS = 400_000
 MEMO_CHARS = 64
@@ -156,20 +158,26 @@ def patterns(cells: int, most: int) -> np.ndarray:
     return out
 
 
-def nnls(a: np.ndarray, b: np.ndarray, most: int = 1000) -> np.ndarray:
-    """Non-negative least squares by an active set: min ‖a x − b‖ with x ≥ 0."""
-    gram, target = a.T @ a, a.T @ b
+def nnls(a: np.ndarray, b: np.ndarray, slack: float = 1e-9, most: int = 1000) -> np.ndarray:
+    """Non-negative least squares by an active set: min ‖a x − b‖ with x ≥ 0.
+
+    Ends when no column's gain is above ``slack`` of the largest at the start.
+    """
     x, free = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
-    slack = 1e-9 * max(1.0, float(np.abs(target).max(initial=0)))
-    for _ in range(most):
-        gradient = np.where(free, -np.inf, target - gram[:, free] @ x[free])
+    target = a.T @ b
+    slack *= max(1e-300, float(np.abs(target).max(initial=0)))
+    for _ in range(most if a.shape[1] else 0):
+        gradient = np.where(free, -np.inf, target - a.T @ (a @ x))
         best = int(gradient.argmax())
         if gradient[best] <= slack:
             break
         free[best] = True
-        while True:
+        while free.any():
             chosen = np.flatnonzero(free)
-            value = np.linalg.lstsq(gram[np.ix_(chosen, chosen)], target[chosen], rcond=None)[0]
+            part = a[:, chosen]
+            gram = part.T @ part
+            gram[np.diag_indices(len(chosen))] *= 1 + 1e-12
+            value = np.linalg.solve(gram, target[chosen])
             if (value > 0).all():
                 x[:] = 0
                 x[chosen] = value
@@ -177,11 +185,11 @@ def nnls(a: np.ndarray, b: np.ndarray, most: int = 1000) -> np.ndarray:
             low = value <= 0
             step = float(np.min(x[chosen][low] / np.maximum(x[chosen][low] - value[low], 1e-300)))
             x[chosen] += step * (value - x[chosen])
-            drop = chosen[low & (x[chosen] <= slack)]
-            if not len(drop):
-                drop = chosen[low][:1]
-            x[drop] = 0
-            free[drop] = False
+            gone = chosen[low & (x[chosen] <= 1e-12 * max(1.0, float(x.max())))]
+            if not len(gone):
+                gone = chosen[low][:1]
+            x[gone] = 0
+            free[gone] = False
     return x
 
 
@@ -280,7 +288,7 @@ def plan(histogram: np.ndarray, capacity: int = CAPACITY, cells: int = CELLS, mo
         grid = np.bincount(-(-lengths // width) - 1, made.left[lengths], cells + 1)[:cells]
         a = patterns(cells, most)
         a = a[:, ((a > 0) <= (grid > 0)[:, None]).all(axis=0)]
-        weight = nnls(a, grid)
+        weight = nnls(a, grid, FIT_SLACK)
         for column in np.argsort(-weight, kind="stable"):
             repeats = int(weight[column])
             if repeats == 0:
