@@ -159,31 +159,82 @@ def state(spark, paths):
     return [tuple(str(r[n]) for n in names) for r in rows], sorted(pipeline.load_frequency(spark, paths).collect())
 
 
-def batches(spark, paths):
-    return {r.batch for r in pipeline.load_calculated(spark, paths).select("batch").distinct().collect()}
+def parts(spark, paths):
+    """Part → the series whose live rows it holds."""
+    rows = pipeline.load_calculated(spark, paths).select("batch", "series").distinct().collect()
+    return {b: sorted(r.series for r in rows if r.batch == b) for b in {r.batch for r in rows}}
+
+
+def same_as_at_once(spark, paths, rows, tmp_path, name):
+    whole = pipeline.Paths(f"{tmp_path}/{name}")
+    pipeline.ingest(spark, typed_rows(spark, rows), whole)
+    assert state(spark, paths) == state(spark, whole)
 
 
 def test_later_draws_extend_the_tables(spark, tmp_path):
     rows = sorted((r for r in brute.make_rows(120, seed=4) if r[2]), key=lambda r: (r[2], r[1]))
     days = sorted({r[2] for r in rows})
-    parts = [
+    cuts = [
         [r for r in rows if r[2] < days[60]],
         [r for r in rows if days[60] <= r[2] < days[63]],
         [r for r in rows if r[2] >= days[63]] + [("new", 9999, "2021-01-01", [1, 2, 3, 4, 5], 6)],
     ]
-    grown, whole = pipeline.Paths(f"{tmp_path}/grown"), pipeline.Paths(f"{tmp_path}/whole")
-    for i, part in enumerate(parts):
+    grown = pipeline.Paths(f"{tmp_path}/grown")
+    for i, part in enumerate(cuts):
         pipeline.ingest(spark, typed_rows(spark, part), grown, batch=f"b{i}")
-    assert batches(spark, grown) == {"full", "b1", "b2"}
-    pipeline.ingest(spark, typed_rows(spark, sum(parts, [])), whole)
-    assert state(spark, grown) == state(spark, whole)
+    assert len(parts(spark, grown)) == 3
+    same_as_at_once(spark, grown, sum(cuts, []), tmp_path, "whole")
     # The same batch again changes nothing.
-    pipeline.ingest(spark, typed_rows(spark, parts[2]), grown, batch="b2")
-    assert batches(spark, grown) == {"full", "b1", "b2"} and state(spark, grown) == state(spark, whole)
-    # An earlier draw moves rows, so everything is rebuilt.
+    pipeline.ingest(spark, typed_rows(spark, cuts[2]), grown, batch="b2")
+    same_as_at_once(spark, grown, sum(cuts, []), tmp_path, "twice")
+    # An earlier draw moves the rows of its own series only.
+    before = parts(spark, grown)
     early = [("a", 7777, "2019-01-01", [6, 7, 8, 9, 10], 1)]
     pipeline.ingest(spark, typed_rows(spark, early), grown)
-    assert batches(spark, grown) == {"full"}
-    again = pipeline.Paths(f"{tmp_path}/again")
-    pipeline.ingest(spark, typed_rows(spark, sum(parts, early)), again)
-    assert state(spark, grown) == state(spark, again)
+    after = parts(spark, grown)
+    assert [after[b] for b in before] == [[s for s in names if s != "a"] for names in before.values()]
+    assert [names for b, names in after.items() if b not in before] == [["a"]]
+    same_as_at_once(spark, grown, sum(cuts, early), tmp_path, "again")
+
+
+def stream_in(spark, rows, paths, root):
+    typed_rows(spark, rows).coalesce(1).write.mode("append").json(f"{root}/landing")
+    intake.start_intake(intake.read_landing(spark, f"{root}/landing"), paths, f"{root}/checkpoint").awaitTermination()
+
+
+def test_streams_batches_and_appends_mix(spark, tmp_path):
+    rows = [r for r in brute.make_rows(40, seed=8) if r[2]]
+    paths = pipeline.Paths(f"{tmp_path}/mixed")
+    pipeline.ingest(spark, typed_rows(spark, rows[:10]), paths)
+    stream_in(spark, rows[10:20], paths, f"{tmp_path}/one")
+    stream_in(spark, rows[20:25], paths, f"{tmp_path}/two")
+    # Appended by someone who does not care for the other tables.
+    store.append_draws(paths.history, pipeline.typed(quality.validate_draws(typed_rows(spark, rows[25:30]))), "bare")
+    pipeline.ingest(spark, typed_rows(spark, rows[30:]), paths)
+    same_as_at_once(spark, paths, rows, tmp_path, "whole")
+
+
+def test_a_crash_before_the_coverage_leaves_no_trace(spark, tmp_path, monkeypatch):
+    rows = [r for r in brute.make_rows(30, seed=9) if r[2]]
+    paths = pipeline.Paths(f"{tmp_path}/crash")
+    pipeline.ingest(spark, typed_rows(spark, rows[:10]), paths)
+    with monkeypatch.context() as patch:
+        patch.setattr(pipeline, "_save_coverage", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            pipeline.ingest(spark, typed_rows(spark, rows[10:20]), paths)
+    assert len(state(spark, paths)[0]) == len(rows[:10])
+    pipeline.ingest(spark, typed_rows(spark, rows[20:]), paths)
+    same_as_at_once(spark, paths, rows, tmp_path, "whole")
+
+
+def test_dynamic_overwrite_changes_nothing(spark, tmp_path):
+    rows = [r for r in brute.make_rows(20, seed=10) if r[2]]
+    paths = pipeline.Paths(f"{tmp_path}/dynamic")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        pipeline.ingest(spark, typed_rows(spark, rows), paths, batch="b")
+        pipeline.ingest(spark, typed_rows(spark, rows[:5]), paths, batch="b")
+        pipeline.refresh(spark, paths)
+        same_as_at_once(spark, paths, rows[:5], tmp_path, "whole")
+    finally:
+        spark.conf.unset("spark.sql.sources.partitionOverwriteMode")

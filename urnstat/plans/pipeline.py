@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from urnstat.functions import text
 from urnstat.games import G5, GameSpec
@@ -20,6 +21,9 @@ from urnstat.session import materialize
 from urnstat.sources import store
 from urnstat.sources.raw import DRAWS
 
+#: The history with the name of the batch each row came in.
+DRAWS_BY_BATCH = T.StructType([*DRAWS.fields, T.StructField("batch", T.StringType())])
+
 
 def calculate(clean: DataFrame, spec: GameSpec = G5, direction: str = "past") -> DataFrame:
     """Clean draws → draws with ``seq`` and every feature.
@@ -133,6 +137,10 @@ class Paths:
     def frequency(self) -> str:
         return f"{self.root}/frequency"
 
+    @property
+    def coverage(self) -> str:
+        return f"{self.root}/coverage"
+
 
 def typed(checked: DataFrame) -> DataFrame:
     """Accepted typed-in draws as history rows."""
@@ -147,77 +155,150 @@ def typed(checked: DataFrame) -> DataFrame:
     )
 
 
-FULL = "full"
+# What the stored tables hold: history batches that are in them, the parts that hold
+# the live rows of each series, the parts whose counts add up.
+COVERAGE = "kind string, name string, series string"
+HISTORY, CALCULATED, FREQUENCY = "history", "calculated", "frequency"
+#: More history batches than this at once are taken by a rebuild.
+MOST_FRESH = 1000
+
+
+def load_coverage(spark: SparkSession, paths: Paths) -> tuple[DataFrame, int] | None:
+    """The newest complete coverage table and its version; None before the first one."""
+    try:
+        versions = spark.read.schema(f"{COVERAGE}, version bigint, writer string").parquet(paths.coverage)
+    except AnalysisException:
+        return None
+    newest = versions.agg(F.max(F.struct("version", "writer"))).first()[0]
+    if newest is None:
+        return None
+    mine = (F.col("version") == newest["version"]) & (F.col("writer") == newest["writer"])
+    return versions.where(mine).select("kind", "name", "series"), newest["version"]
+
+
+def _save_coverage(rows: DataFrame, paths: Paths, version: int) -> None:
+    """A table is readable once it is complete; two writers of a version do not mix."""
+    rows.coalesce(1).write.parquet(f"{paths.coverage}/version={version}/writer={uuid.uuid4().hex}")
+
+
+def _covered(state: DataFrame, kind: str) -> DataFrame:
+    return state.where(F.col("kind") == kind)
+
+
+def _of_kind(rows: DataFrame, kind: str, name, series=None) -> DataFrame:
+    series = F.lit(None).cast("string") if series is None else series
+    return rows.select(F.lit(kind).alias("kind"), name.alias("name"), series.alias("series"))
+
+
+def _history(spark: SparkSession, paths: Paths) -> DataFrame:
+    return store.load_draws(spark, paths.history, DRAWS_BY_BATCH)
 
 
 def refresh(spark: SparkSession, paths: Paths, spec: GameSpec = G5) -> None:
-    """Rebuild the calculated and frequency tables from the stored history."""
-    history = store.load_history(spark, paths.history)
-    tables = {
-        paths.calculated: (calculate(history, spec), ["series"]),
-        paths.frequency: (freq.frequency(history, spec).coalesce(1), []),
-    }
-    for path, (df, partitions) in tables.items():
-        df.withColumn("batch", F.lit(FULL)).write.mode("overwrite").partitionBy("batch", *partitions).parquet(path)
+    """Rebuild the calculated and frequency tables from the stored history.
+
+    The new rows are parts of their own; readers go over to them with the coverage.
+    """
+    state = load_coverage(spark, paths)
+    # A batch that lands meanwhile is neither in the rows nor in the coverage.
+    names = materialize(_history(spark, paths).select(F.col("batch").alias("_name")).distinct(), "batches")
+    history = _history(spark, paths).join(names, F.col("batch") == F.col("_name"), "left_semi").drop("batch")
+    part = f"full-{uuid.uuid4().hex}"
+    store.write_batch(calculate(history, spec), paths.calculated, part, "series")
+    store.write_batch(freq.frequency(history, spec).coalesce(1), paths.frequency, part)
+    rows = _of_kind(names, HISTORY, F.col("_name"))
+    rows = rows.union(_of_kind(history.select("series").distinct(), CALCULATED, F.lit(part), F.col("series")))
+    rows = rows.union(_of_kind(spark.range(1), FREQUENCY, F.lit(part)))
+    _save_coverage(rows, paths, state[1] + 1 if state else 0)
+
+
+def _live(spark: SparkSession, paths: Paths, state: DataFrame) -> DataFrame:
+    parts = _covered(state, CALCULATED).select("name", F.col("series").alias("_name"))
+    table = store.load_draws(spark, paths.calculated, schema=None).withColumn("series", F.col("series").cast("string"))
+    return table.join(parts, (F.col("batch") == F.col("name")) & _same_series(), "left_semi")
 
 
 def load_calculated(spark: SparkSession, paths: Paths) -> DataFrame:
-    return store.load_draws(spark, paths.calculated, schema=None)
+    """The live rows of every series; ``batch`` names the part that holds them."""
+    state = load_coverage(spark, paths)
+    return store.load_draws(spark, paths.calculated, schema=None) if state is None else _live(spark, paths, state[0])
 
 
 def load_frequency(spark: SparkSession, paths: Paths) -> DataFrame:
-    """Frequencies over all batches; every batch holds one row per number."""
-    return spark.read.parquet(paths.frequency).groupBy("number").agg(F.sum("frequency").alias("frequency"))
+    """Frequencies over all live parts; every part holds one row per number."""
+    counts = spark.read.parquet(paths.frequency)
+    if state := load_coverage(spark, paths):
+        counts = counts.join(_covered(state[0], FREQUENCY).select("name"), F.col("batch") == F.col("name"), "left_semi")
+    return counts.groupBy("number").agg(F.sum("frequency").alias("frequency"))
 
 
 def _same_series():
     return F.col("series").eqNullSafe(F.col("_name"))
 
 
-def _follows(tail: DataFrame, fresh: DataFrame) -> bool:
-    """Is every new draw later than all stored draws of its series?"""
+def _late_series(tail: DataFrame, fresh: DataFrame) -> DataFrame:
+    """``_name`` of the series with a new draw that is not later than all stored ones."""
     place = F.struct("draw_date", "draw_id")
     last = tail.groupBy(F.col("series").alias("_name")).agg(F.max(place).alias("_last"))
     first = fresh.groupBy("series").agg(F.min(place).alias("_first"))
-    return first.join(last, _same_series()).where(F.col("_first") <= F.col("_last")).isEmpty()
+    late = first.join(last, _same_series()).where(F.col("_first") <= F.col("_last"))
+    return materialize(late.select("_name"), "late")
 
 
-def extend(spark: SparkSession, paths: Paths, batch: str, spec: GameSpec = G5) -> bool:
-    """Bring the calculated and frequency tables up to date with one history batch.
+def extend(spark: SparkSession, paths: Paths, spec: GameSpec = G5, changed: str | None = None) -> bool:
+    """Bring the calculated and frequency tables up to date with the history.
 
-    Draws that follow the stored ones change no stored row: their features need
-    the last few rows per series, and their counts add up. So only rows of the
-    batch are computed and written. Returns False, having written nothing, when
-    tables are missing or a draw is dated before the stored end.
+    Takes every history batch that the tables do not cover yet, whoever wrote it.
+    Draws that follow the stored ones of their series change no stored row: their
+    features need the last few rows of the series, so only new rows are written. A
+    series with an earlier draw is written anew; other series keep their files.
+    Counts add up in either case. Nothing shows before the coverage is written, so a
+    crash leaves the tables as they were.
+
+    Rebuilds everything, and returns False, without a coverage, or when the batch
+    ``changed`` was written again after it had been covered.
     """
-    fresh = store.load_history(spark, paths.history, batch)
-    try:
-        stored = load_calculated(spark, paths)
-    except AnalysisException:
+    state = load_coverage(spark, paths)
+    if state is None or (changed and not state[0].where((F.col("kind") == HISTORY) & (F.col("name") == changed)).isEmpty()):
+        refresh(spark, paths, spec)
         return False
-    base = [*DRAWS.names, "seq"]
-    before = stored.where(F.col("batch") != batch).select(*base)
-    tail = materialize(order.newest_rows(before, order.HIT_ROWS), "tail")
-    if not _follows(tail, fresh):
+    covered, version = state
+    known = _covered(covered, HISTORY).select("name")
+    missing = _history(spark, paths).join(known, F.col("batch") == F.col("name"), "left_anti").select("batch").distinct()
+    names = [r["batch"] for r in missing.limit(MOST_FRESH + 1).collect()]
+    if not names:
+        return True
+    if len(names) > MOST_FRESH:
+        refresh(spark, paths, spec)
         return False
-    numbered = order.with_seq(fresh).join(order.series_ends(tail), _same_series(), "left")
+    fresh = _history(spark, paths).where(F.col("batch").isin(names)).drop("batch")
+    base = [*DRAWS.names, "seq"]
+    tail = materialize(order.newest_rows(_live(spark, paths, covered).select(*base), order.HIT_ROWS), "tail")
+    late = _late_series(tail, fresh)
+    following = fresh.join(late, _same_series(), "left_anti")
+    numbered = order.with_seq(following).join(order.series_ends(tail), _same_series(), "left")
     numbered = numbered.withColumn("seq", F.col("seq") + F.coalesce(F.col("_end") + 1, F.lit(0)))
     context = tail.select(*base, F.lit(False).alias("_new"))
     rows = context.unionByName(numbered.select(*base, F.lit(True).alias("_new")))
-    rows = order.history_features(rows, spec).where("_new").drop("_new")
-    store.write_batch(row_features(rows, spec), paths.calculated, batch, "series")
-    store.write_batch(freq.frequency(fresh, spec).coalesce(1), paths.frequency, batch)
+    rows = row_features(order.history_features(rows, spec).where("_new").drop("_new"), spec)
+    if not late.isEmpty():
+        rest = _history(spark, paths).join(known, F.col("batch") == F.col("name"), "left_semi").drop("batch")
+        whole = rest.unionByName(fresh).join(late, _same_series(), "left_semi")
+        rows = rows.unionByName(calculate(whole, spec).select(*rows.columns))
+    part = f"part-{uuid.uuid4().hex}"
+    store.write_batch(rows, paths.calculated, part, "series")
+    store.write_batch(freq.frequency(fresh, spec).coalesce(1), paths.frequency, part)
+    moved = covered.join(late, _same_series() & (F.col("kind") == CALCULATED), "left_anti")
+    added = spark.createDataFrame([(HISTORY, n, None) for n in names] + [(FREQUENCY, part, None)], COVERAGE)
+    added = added.union(_of_kind(fresh.select("series").distinct(), CALCULATED, F.lit(part), F.col("series")))
+    _save_coverage(moved.union(added), paths, version + 1)
     return True
 
 
 def ingest(spark: SparkSession, new: DataFrame, paths: Paths, spec: GameSpec = G5, batch: str | None = None) -> None:
-    """Validate, append what passes, keep what does not, bring the tables up to date.
-
-    Draws at the end of the history extend the tables; others rebuild them.
-    """
+    """Validate, append what passes, keep what does not, bring the tables up to date."""
     batch = batch or uuid.uuid4().hex
     checked = quality.validate_draws(new, spec)
     store.append_draws(paths.history, typed(checked), batch)
     store.write_batch(quality.rejected(checked), paths.rejects, batch)
-    if not extend(spark, paths, batch, spec):
-        refresh(spark, paths, spec)
+    extend(spark, paths, spec, changed=batch)

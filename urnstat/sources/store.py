@@ -63,10 +63,10 @@ def write_prediction(prediction: DataFrame, likelihood: DataFrame, run_date: dt.
     Writing a date again replaces that date only.
     """
     stamp = F.lit(run_date.isoformat())
-    for name, part in (("prediction", prediction), ("likelihood", likelihood)):
+    # One likelihood row per number at most; predictions keep their partitions.
+    for name, part in (("prediction", prediction), ("likelihood", likelihood.coalesce(1))):
         (
-            part.coalesce(1)
-            .withColumn("run_date", stamp)
+            part.withColumn("run_date", stamp)
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("run_date")
@@ -91,7 +91,8 @@ def load_history(spark: SparkSession, history_path: str, batch: str | None = Non
 
 def write_batch(df: DataFrame, path: str, batch: str, *partitions: str) -> None:
     """One batch of a table kept in ``batch=`` directories; replaces itself."""
-    df.write.mode("overwrite").partitionBy(*partitions).parquet(f"{path}/batch={batch}")
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*partitions)
+    writer.parquet(f"{path}/batch={batch}")
 
 
 def union_draws(history: DataFrame, new: DataFrame) -> DataFrame:

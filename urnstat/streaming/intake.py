@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from urnstat.games import G5, GameSpec
 from urnstat.operators import frequency as freq
 from urnstat.operators import quality
-from urnstat.plans.pipeline import Paths, typed
+from urnstat.plans.pipeline import Paths, extend, typed
 from urnstat.sources import store
 
 NEW_DRAWS = T.StructType(
@@ -37,21 +39,33 @@ def read_landing(spark: SparkSession, path: str, fmt: str = "json", files_per_tr
 ONCE = {"availableNow": True}
 
 
+def query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a stream keeps in its checkpoint, the same after every restart."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+
+
 def start_intake(
     stream: DataFrame, paths: Paths, checkpoint: str, spec: GameSpec = G5, trigger: dict = ONCE
 ) -> StreamingQuery:
-    """Append checked draws to the history and the others to the rejects.
+    """Append checked draws to the history and the others to the rejects, and bring
+    the calculated and frequency tables up to date.
 
-    Each batch owns one directory per table and overwrites it, so a batch that
-    runs again after a failure leaves no doubles.
+    Each batch of each stream owns one directory per table and overwrites it, so a
+    batch that runs again after a failure leaves no doubles, and another stream, or
+    the same one with a new checkpoint, replaces nothing.
     """
     checked = quality.validate_draws(stream, spec)
 
     def store_batch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        name = f"stream-{query_id(spark, checkpoint)}-{batch_id}"
         batch.persist()
-        store.append_draws(paths.history, typed(batch), batch=f"stream-{batch_id}")
-        store.write_batch(quality.rejected(batch), paths.rejects, f"stream-{batch_id}")
-        batch.unpersist()
+        try:
+            store.append_draws(paths.history, typed(batch), batch=name)
+            store.write_batch(quality.rejected(batch), paths.rejects, name)
+        finally:
+            batch.unpersist()
+        extend(spark, paths, spec, changed=name)
 
     return (
         checked.writeStream.foreachBatch(store_batch)
@@ -69,10 +83,11 @@ def running_frequency(stream: DataFrame, spec: GameSpec = G5) -> DataFrame:
 def start_frequency(
     stream: DataFrame, path: str, checkpoint: str, spec: GameSpec = G5, trigger: dict = ONCE
 ) -> StreamingQuery:
-    """Keep the newest running frequency table at ``path``, one version per batch."""
+    """Keep the running frequency tables at ``path``, one version per stream and batch."""
 
     def store_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        name = f"{path}/query={query_id(batch.sparkSession, checkpoint)}/batch={batch_id}"
+        batch.coalesce(1).withColumn("written", F.current_timestamp()).write.mode("overwrite").parquet(name)
 
     return (
         running_frequency(stream, spec)
@@ -85,7 +100,7 @@ def start_frequency(
 
 
 def latest_frequency(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version written by ``start_frequency``."""
+    """The version written last by any ``start_frequency`` at this path."""
     versions = spark.read.parquet(path)
-    newest = versions.agg(F.max("batch")).scalar()
-    return versions.where(F.col("batch") == newest).drop("batch")
+    newest = versions.agg(F.max(F.struct("written", "query", "batch"))).scalar()
+    return versions.where(F.struct("written", "query", "batch") == newest).drop("written", "query", "batch")
