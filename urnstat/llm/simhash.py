@@ -64,26 +64,48 @@ def segments(limit: int = LIMIT) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
+def _mask(low: int, width: int) -> int:
+    return ((1 << width) - 1) << low
+
+
+def _long(bits: int) -> Column:
+    return F.lit(bits - (1 << BITS) if bits >> (BITS - 1) else bits).cast("long")
+
+
 def variants(code: Column, limit: int = LIMIT) -> Column:
-    """One key per segment and left-out bit: the segment's other bits and which bit is out."""
+    """Keys of a code: each segment whole, and with each of its bits left out.
+
+    A key is the segment's bits above a tag: which bit is out, or ``BITS`` + the
+    segment's number where none is.
+    """
     keys = []
-    for low, width in segments(limit):
-        mask = ((1 << width) - 1) << low
-        for bit in range(low, low + width):
-            kept = mask & ~(1 << bit)
-            signed = kept - (1 << BITS) if kept >= 1 << (BITS - 1) else kept
-            segment = F.shiftrightunsigned(code.bitwiseAND(F.lit(signed).cast("long")), low)
-            keys.append(segment * BITS + bit)
+    for number, (low, width) in enumerate(segments(limit)):
+        for tag in (BITS + number, *range(low, low + width)):
+            kept = _mask(low, width) & ~(1 << tag)
+            segment = F.shiftrightunsigned(code.bitwiseAND(_long(kept)), low)
+            keys.append(F.shiftleft(segment, 7).bitwiseOR(F.lit(tag)))
     return F.array(*keys)
 
 
 def links(codes: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """``a, b``: all pairs of different codes at most ``limit`` bits apart, a < b."""
+    """``a, b``: all pairs of different codes at most ``limit`` bits apart, a < b, each once.
+
+    A pair can agree on many keys; only one of them passes it on: of the first segment
+    with at most one difference, the whole segment or the variant without that bit.
+    """
     keyed = codes.select("code", F.explode(variants(F.col("code"), limit)).alias("key"))
     one, two = keyed.alias("one"), keyed.alias("two")
-    near = F.bit_count(F.col("one.code").bitwiseXOR(F.col("two.code"))) <= limit
+    both = F.col("one.code").bitwiseXOR(F.col("two.code"))
+    tag = F.col("one.key").bitwiseAND(F.lit(127))
+    exact = (tag >= BITS) | (F.getbit(both, tag % BITS) == 1)
+    first, earlier = F.lit(False), F.lit(True)
+    for number, (low, width) in enumerate(segments(limit)):
+        own = (tag == BITS + number) | ((tag >= low) & (tag < low + width))
+        first = first | (own & earlier)
+        earlier = earlier & (F.bit_count(both.bitwiseAND(_long(_mask(low, width)))) > 1)
+    near = (F.bit_count(both) <= limit) & exact & first
     pairs = one.join(two, (F.col("one.key") == F.col("two.key")) & (F.col("one.code") < F.col("two.code")) & near)
-    return pairs.select(F.col("one.code").alias("a"), F.col("two.code").alias("b")).distinct()
+    return pairs.select(F.col("one.code").alias("a"), F.col("two.code").alias("b"))
 
 
 def classes(coded: DataFrame, limit: int = LIMIT) -> DataFrame:
