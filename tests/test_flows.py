@@ -51,6 +51,24 @@ def test_forest_probs_feed_the_scoring_operators(models, calculated):
     assert row.balls == sorted(set(row.balls)) and len(row.balls) == 5 and 1 <= row.bonus <= 20
 
 
+def test_series_keep_their_own_probabilities(spark, models, calculated):
+    two = calculated.unionByName(calculated.where("seq < 200").withColumn("series", F.lit("t")))
+    probs = forest.forest_probs(models, order.scoring_row(two), keys=("series",))
+    sums = L.number_likelihood(probs, places=6, keys=("series",)).groupBy("series").agg(F.count("*").alias("n"), F.sum("likelihood").alias("p"))
+    assert sorted((r.series, r.n, round(r.p, 3)) for r in sums.collect()) == [("s", 50, 100.0), ("t", 50, 100.0)]
+    rows = pipeline.predict(probs, calculated, keys=("series",)).collect()
+    drawn = {tuple(r.balls) for r in calculated.collect()}
+    assert sorted(r.series for r in rows) == ["s", "t"] and all(tuple(r.balls) not in drawn for r in rows)
+
+
+def test_holdout_is_not_worse_than_the_commonest_class(models, calculated):
+    held = forest.train_split(calculated).where("not is_train")
+    rows = {r.slot: r for r in forest.evaluate(models, held).collect()}
+    for slot in range(1, 6):
+        most = held.groupBy(F.col("balls")[slot - 1]).count().agg(F.max("count")).first()[0]
+        assert rows[slot].accuracy * rows[slot].rows >= most - 3 * math.sqrt(most) - 1
+
+
 def test_same_seed_same_forest(models, calculated):
     again = forest.fit_slots(calculated, **SMALL)
     row = order.scoring_row(calculated)
@@ -87,7 +105,7 @@ def test_training_on_slices(calculated):
     row = report.first()
     assert (row.model, row.draws, row.features, row.targets, row.trees) == ("Recent Draws", 50, 14, 6, 3)
     part = pipeline.DateRange("2020-02-01", "2020-06-30")
-    row = pipeline.training_report(calculated, part).first()
+    row = pipeline.train_on_slice(calculated, part, **SMALL)[1].first()
     assert row.first_date.isoformat() >= "2020-02-01" and row.last_date.isoformat() <= "2020-06-30"
     with pytest.raises(ValueError, match="at least 10"):
         pipeline.train_on_slice(calculated, pipeline.Recent(9))

@@ -6,9 +6,21 @@ import pytest
 
 import __spark_entry__ as contract
 from tests import compare
-
-SQL = contract.oracle_sql()
-NO_ORACLE = {"forest_fit_summary", "forest_probs", "holdout_accuracy", "score_hypothetical"}
+from urnstat.operators import filters, matching
+from urnstat.plans import oracle, queries
+from urnstat.sources.tables import candidates, stored_draws
+
+SQL = oracle.oracle_sql()
+# Trained values; for each there is a query of checked facts that has an oracle.
+CHECKED = {
+    "forest_probs": "forest_probs_check",
+    "forest_likelihood": "forest_likelihood_check",
+    "forest_predict": "forest_predict_check",
+    "forest_scores": "forest_scores_check",
+    "holdout_accuracy": "holdout_check",
+    "score_hypothetical": "score_hypothetical_check",
+}
+NO_ORACLE = set(CHECKED)
 
 
 @pytest.fixture(scope="module")
@@ -17,8 +29,9 @@ def con(sf_dir):
 
 
 def test_only_forests_lack_an_oracle():
-    assert set(contract.queries()) - set(SQL) == NO_ORACLE
-    assert set(SQL) <= set(contract.queries())
+    assert set(queries.QUERIES) - set(SQL) == NO_ORACLE
+    assert set(SQL) <= set(queries.QUERIES) <= set(contract.queries())
+    assert set(CHECKED.values()) <= set(SQL) <= set(contract.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -69,3 +82,22 @@ def test_no_cross_joins(spark, sf_dir):
     for name in ("score_combos", "compare_scores", "sum_histogram", "consecutive_share", "hypothetical_features", "lookup_probs"):
         text = plan(contract.queries()[name](spark, sf_dir))
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+@pytest.mark.parametrize("n", [500, 2000, 100_000])
+def test_recent_draws_have_one_plan_for_every_n(spark, sf_dir, n):
+    df = filters.filter_recent(stored_draws(spark, sf_dir), n)
+    text = plan(df)
+    assert "Window" not in text and "SinglePartition" not in text
+    assert re.sub(r"\d+", "", text) == re.sub(r"\d+", "", plan(filters.filter_recent(stored_draws(spark, sf_dir), 7)))
+
+
+def test_history_keys_join_by_size(spark, sf_dir):
+    history = stored_draws(spark, sf_dir)
+    cands = candidates(history)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        text = plan(matching.already_drawn(cands, history))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in text and "BroadcastHashJoin" not in text

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,8 +15,11 @@ from urnstat.operators import likelihood as L
 from urnstat.operators.features import row_features
 from urnstat.operators.frequency import history_profile
 from urnstat.operators.matching import already_drawn, dedupe_combos
+from urnstat.session import materialize
 
 SAMPLE = 1000
+#: Tries after which a search for distinct combinations gives up with an error.
+MOST_TRIES = 1 << 24
 SCORE_UNIT = 10**12
 
 
@@ -59,21 +65,37 @@ def _weighted(cands: DataFrame, probs: DataFrame, spec: GameSpec, seed: int) ->
     )
 
 
-def _first_distinct(make, spec: GameSpec, n: int, tries: int | None) -> DataFrame:
-    """First ``n`` distinct combinations of ``make(tries)``, in candidate order.
+def _first_distinct(make, spec: GameSpec, n: int, possible: int | None, tries: int | None = None) -> DataFrame:
+    """First ``n`` distinct combinations of ``make(start, stop)``, in candidate order.
 
-    Without a given number of tries it doubles until ``n`` distinct ones are
-    there, or until more tries bring nothing new.
+    Without a given number of tries it goes on until ``n``, or all ``possible`` ones,
+    are there; tries double from round to round, and each is made and stored once.
     """
-    size, seen = tries or 2 * n, -1
+    if tries is not None:
+        return dedupe_combos(make(0, tries), spec).orderBy("cand_id").limit(n)
+    wanted = n if possible is None else min(n, possible)
+    start, stop, distinct = 0, 2 * n, None
     while True:
-        distinct = dedupe_combos(make(size), spec)
-        if tries is None:
-            found = distinct.count()
-            if seen < found < n:
-                size, seen = size * 2, found
-                continue
-        return distinct.orderBy("cand_id").limit(n)
+        found = make(start, stop)
+        found = found if distinct is None else distinct.unionByName(found)
+        distinct = materialize(dedupe_combos(found, spec), "combos")
+        count = distinct.limit(wanted).count()
+        if count >= wanted:
+            return distinct.orderBy("cand_id").limit(n)
+        if stop > MOST_TRIES:
+            raise ValueError(f"only {count} of {n} combinations in {stop} tries: the probabilities are too narrow")
+        start, stop = stop, 2 * stop
+
+
+def possible_combos(probs: DataFrame, spec: GameSpec = G5, most: int = 200_000) -> int | None:
+    """How many combinations have a positive probability; None if more than ``most`` picks would have to be listed."""
+    known = L.in_domain(probs, spec).where("p > 0").groupBy("slot").agg(F.collect_set("number").alias("numbers")).collect()
+    numbers = {r["slot"]: r["numbers"] for r in known}
+    slots = [numbers.get(s, []) for s in range(1, spec.slots + 1)]
+    if math.prod(map(len, slots)) > most:
+        return None
+    picks = {frozenset(p) for p in itertools.product(*slots) if len(set(p)) == spec.slots}
+    return len(picks) * len(numbers.get(spec.bonus_slot, []))
 
 
 def weighted_combos(
@@ -81,16 +103,16 @@ def weighted_combos(
 ) -> DataFrame:
     """``n`` distinct combinations, every slot drawn by its probabilities.
 
-    A slot left without a possible number gives no combination, so a very
-    narrow table can yield fewer than ``n``.
+    Fewer than ``n`` come out only if no more have a positive probability. A table so
+    peaked that ``MOST_TRIES`` tries do not find them raises instead.
     """
     score = F.round(F.col("_total") / (spec.slots + 1) * 100, places)
 
-    def make(size: int) -> DataFrame:
-        cands = probs.sparkSession.range(size).select(F.col("id").alias("cand_id"))
+    def make(start: int, stop: int) -> DataFrame:
+        cands = probs.sparkSession.range(start, stop).select(F.col("id").alias("cand_id"))
         return _weighted(cands, probs, spec, seed).where(F.col("_total").isNotNull())
 
-    combos = _first_distinct(make, spec, n, tries)
+    combos = _first_distinct(make, spec, n, None if tries else possible_combos(probs, spec), tries)
     return combos.select("cand_id", "balls", "bonus", score.alias("score")).orderBy(F.desc("score"), "cand_id")
 
 
@@ -99,11 +121,11 @@ def sampled_combos(spark, spec: GameSpec = G5, n: int = SAMPLE, seed: int = 42,
     mains = F.slice(chance.shuffled_domain(spec.high, seed, F.col("cand_id")), 1, spec.slots)
     bonus = F.get(chance.shuffled_domain(spec.bonus_high, seed, F.col("cand_id"), F.lit("bonus")), F.lit(0))
 
-    def make(size: int) -> DataFrame:
-        cands = spark.range(size).select(F.col("id").alias("cand_id"))
+    def make(start: int, stop: int) -> DataFrame:
+        cands = spark.range(start, stop).select(F.col("id").alias("cand_id"))
         return cands.select("cand_id", F.sort_array(mains).alias("balls"), bonus.alias("bonus"))
 
-    return _first_distinct(make, spec, n, tries)
+    return _first_distinct(make, spec, n, math.comb(spec.high, spec.slots) * spec.bonus_high, tries)
 
 
 def sampled_extremes(probs: DataFrame, spec: GameSpec = G5, n: int = SAMPLE, seed: int = 42, places: int = 4) -> DataFrame:

@@ -1,11 +1,15 @@
 """Slot probabilities and what follows from them.
 
 Every operator takes ``probs(slot, number, p)``: at most one row per slot and
-number of the domain, whoever made it (relative frequencies or forests).
+number of the domain, whoever made it (relative frequencies or forests). Where one
+table holds several series, ``keys`` names what tells them apart; scoring takes the
+table of one of them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,27 +58,31 @@ def rank_slots(probs: DataFrame) -> DataFrame:
     return probs.withColumn("rank", F.row_number().over(ranked))
 
 
-def predict_slots(probs: DataFrame) -> DataFrame:
+def predict_slots(probs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Most likely number of every slot."""
     best = F.max_by("number", F.struct(F.col("p"), -F.col("number")))
-    return probs.groupBy("slot").agg(best.alias("number"))
+    return probs.groupBy(*keys, "slot").agg(best.alias("number"))
 
 
-def number_likelihood(probs: DataFrame, spec: GameSpec = G5, places: int = 2) -> DataFrame:
+def number_likelihood(probs: DataFrame, spec: GameSpec = G5, places: int = 2, keys: Sequence[str] = ()) -> DataFrame:
     """Percent per main number: the mean of its slot probabilities, 0 if unseen."""
     mains = in_domain(probs, spec).where(F.col("slot") <= spec.slots)
-    summed = mains.groupBy("number").agg((F.sum("p") / spec.slots * 100).alias("likelihood"))
-    return _percent(summed, spec.high, places)
+    summed = mains.groupBy(*keys, "number").agg((F.sum("p") / spec.slots * 100).alias("likelihood"))
+    return _percent(summed, spec.high, places, keys)
 
 
-def bonus_likelihood(probs: DataFrame, spec: GameSpec = G5, places: int = 2) -> DataFrame:
+def bonus_likelihood(probs: DataFrame, spec: GameSpec = G5, places: int = 2, keys: Sequence[str] = ()) -> DataFrame:
     """Percent per bonus number, 0 if unseen."""
     bonus = in_domain(probs, spec).where(F.col("slot") == spec.bonus_slot)
-    return _percent(bonus.select("number", (F.col("p") * 100).alias("likelihood")), spec.bonus_high, places)
+    return _percent(bonus.select(*keys, "number", (F.col("p") * 100).alias("likelihood")), spec.bonus_high, places, keys)
 
 
-def _percent(known: DataFrame, high: int, places: int) -> DataFrame:
-    full = fill_domain(known, high, "likelihood", 0.0)
+def _percent(known: DataFrame, high: int, places: int, keys: Sequence[str]) -> DataFrame:
+    if keys:
+        numbers = F.explode(F.sequence(F.lit(1), F.lit(high))).alias("number")
+        full = known.select(*keys).distinct().select(*keys, numbers).join(known, [*keys, "number"], "left").na.fill(0.0, ["likelihood"])
+    else:
+        full = fill_domain(known, high, "likelihood", 0.0)
     return full.withColumn("likelihood", F.round("likelihood", places))
 
 

@@ -2,27 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urnstat.functions import balls as B
 from urnstat.functions import chance
 from urnstat.games import G5, GameSpec
-from urnstat.session import broadcast_bounded
+from urnstat.operators import order
+from urnstat.session import materialize
 
-KEY_BYTES = 8
-ALTERNATES = 4
+#: Random sets tried per prediction in the first round, and how the number grows.
+FIRST_TRIES, TRIES_FACTOR = 4, 4
+#: Rounds of random sets before the free sets are listed.
+RANDOM_ROUNDS = 3
 
 
 def history_keys(history: DataFrame, spec: GameSpec = G5) -> DataFrame:
     """Distinct set keys of a history.
 
-    Repeats collapse before the shuffle, and the number of possible sets bounds
-    the result: the 5-number game always fits a broadcast, the 6-number game is
-    left to a shuffled join, where adaptive execution splits heavy keys.
+    Repeats collapse before the shuffle. No broadcast is asked for: Spark decides by
+    the size it measures, and adaptive execution splits heavy keys of a shuffled join.
     """
-    keys = history.select(B.set_key(F.col("balls"), spec).alias("_key")).where(F.col("_key").isNotNull()).distinct()
-    return broadcast_bounded(keys, spec.max_sets, KEY_BYTES)
+    keys = history.select(B.set_key(F.col("balls"), spec).alias("_key"))
+    return keys.where(F.col("_key").isNotNull()).distinct()
 
 
 def _keyed(df: DataFrame, spec: GameSpec) -> DataFrame:
@@ -41,30 +43,56 @@ def exclude_drawn(cands: DataFrame, history: DataFrame, spec: GameSpec = G5) ->
     return _keyed(cands, spec).join(history_keys(history, spec), "_key", "left_anti").drop("_key")
 
 
+def all_sets(spark: SparkSession, spec: GameSpec = G5) -> DataFrame:
+    """Every number set of the game as sorted ``balls``."""
+    sets = spark.range(1).select(F.array().cast("array<int>").alias("balls"))
+    for slot in range(1, spec.slots + 1):
+        last = F.coalesce(F.try_element_at("balls", F.lit(-1)), F.lit(0))
+        following = F.sequence(last + 1, F.lit(spec.high - spec.slots + slot))
+        sets = sets.select("balls", F.explode(following).alias("_next")).select(F.array_append("balls", F.col("_next")).alias("balls"))
+        if slot == min(2, spec.slots - 1):
+            sets = sets.repartition(F.hash("balls"))  # the short beginnings are dealt out, what grows from them stays
+    return sets
+
+
 def avoid_drawn(preds: DataFrame, history: DataFrame, spec: GameSpec = G5, seed: int = 42, key: str = "pred_id") -> DataFrame:
-    """Replace predictions that were drawn before by a fresh random set.
+    """Replace predictions that were drawn before by a set that was not.
 
-    A few seeded alternates are tried in turn and the first unseen one wins.
-    When all were drawn too, the first is taken as it is: a history that holds
-    every set has no unseen one. Adds ``replaced``.
+    Rounds of seeded random sets serve the predictions that are still open; the first
+    unseen set wins. Where nearly all sets are drawn the rest is served from a list of
+    the free ones, each prediction by a seeded place in it. So a prediction gets a free
+    set whenever there is one. ``replaced`` tells who got one, ``exhausted`` who was
+    drawn although the game has no free set; its ``balls`` are null.
     """
-    flagged = already_drawn(preds, history, spec)
-    tries = F.sequence(F.lit(1), F.lit(ALTERNATES))
-    drawn = flagged.where("drawn").select(key, F.explode(tries).alias("_try"))
-    alternates = drawn.withColumn(
-        "balls", F.sort_array(F.slice(chance.shuffled_domain(spec.high, seed, F.col(key), F.col("_try")), 1, spec.slots))
-    )
-    fresh = (
-        already_drawn(alternates, history, spec)
-        .groupBy(key)
-        .agg(F.min_by("balls", F.struct("drawn", "_try")).alias("_fresh"))
-    )
-    return (
-        flagged.join(fresh, key, "left")
-        .withColumn("balls", F.coalesce("_fresh", "balls"))
-        .withColumnRenamed("drawn", "replaced")
-        .drop("_fresh")
-    )
+    keys = materialize(history_keys(history, spec), "keys")
+    flagged = _keyed(preds, spec).join(keys.withColumn("_hit", F.lit(True)), "_key", "left").drop("_key")
+    left = materialize(flagged.where("_hit").select(key).distinct(), "open")
+    fresh, first, width = [], 1, FIRST_TRIES
+    for _ in range(RANDOM_ROUNDS):
+        if left.isEmpty():
+            break
+        tries = left.select(key, F.explode(F.sequence(F.lit(first), F.lit(first + width - 1))).alias("_try"))
+        mixed = chance.shuffled_domain(spec.high, seed, F.col(key), F.col("_try"))
+        sets = _keyed(tries.withColumn("balls", F.sort_array(F.slice(mixed, 1, spec.slots))), spec)
+        unseen = sets.join(keys, "_key", "left_anti")
+        fresh.append(materialize(unseen.groupBy(key).agg(F.min_by("balls", "_try").alias("_fresh")), "fresh"))
+        left = materialize(left.join(fresh[-1], key, "left_anti"), "open")
+        first, width = first + width, width * TRIES_FACTOR
+    if not left.isEmpty():
+        free = _keyed(all_sets(preds.sparkSession, spec), spec).join(keys, "_key", "left_anti")
+        free = materialize(order.with_seq(free.withColumn("series", F.lit("")), order=("_key",)), "free")
+        if size := free.count():
+            place = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(size)).alias("seq")
+            fresh.append(left.select(key, place).join(free.select("seq", F.col("balls").alias("_fresh")), "seq").select(key, "_fresh"))
+    drawn = F.coalesce("_hit", F.lit(False))
+    if not fresh:
+        return flagged.withColumn("replaced", drawn).withColumn("exhausted", F.lit(False)).drop("_hit")
+    found = fresh[0]
+    for more in fresh[1:]:
+        found = found.unionByName(more)
+    out = flagged.join(found, key, "left").withColumn("balls", F.when(drawn, F.col("_fresh")).otherwise(F.col("balls")))
+    out = out.withColumn("replaced", drawn & F.col("_fresh").isNotNull()).withColumn("exhausted", drawn & F.col("_fresh").isNull())
+    return out.drop("_hit", "_fresh")
 
 
 def dedupe_combos(cands: DataFrame, spec: GameSpec = G5, key: str = "cand_id") -> DataFrame:

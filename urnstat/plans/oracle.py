@@ -6,10 +6,11 @@ brute force, without the layouts the Spark side uses.
 
 from __future__ import annotations
 
+import math
+
 from urnstat.games import G5, G6, GameSpec
 from urnstat.operators.combos import PROFILE, SAMPLE
 from urnstat.operators.features import feature_columns
-from urnstat.operators.matching import ALTERNATES
 from urnstat.plans import queries as Q
 
 SEED = 42
@@ -181,11 +182,16 @@ def calculated(spec: GameSpec, names) -> str:
     return ", ".join(parts)
 
 
-def cells(spec: GameSpec = G5, source: str = "draws", key: str = "draw_id") -> str:
+def fitted(features: int) -> str:
+    """Classes are the numbers up to the greatest one trained on, and zero."""
+    return f"SELECT slot, MAX(number) + 1 AS classes, {features} AS features, 100 AS trees FROM cells GROUP BY slot"
+
+
+def cells(spec: GameSpec = G5, source: str = "draws", key: str = "draw_id", keep: str = "TRUE") -> str:
     return f"""
   cells AS (
     SELECT {"series, " if source == "draws" else ""}{key}, CAST(UNNEST(range(1, {spec.slots + 2})) AS INT) AS slot, UNNEST(list_append(balls, bonus)) AS number
-    FROM {source})"""
+    FROM {source} WHERE {keep})"""
 
 
 def probs(spec: GameSpec = G5) -> str:
@@ -329,17 +335,18 @@ FILL = f"""
            CASE WHEN pool.bonus BETWEEN 1 AND 20 THEN pool.bonus ELSE spare.bonus END AS bonus
     FROM pool JOIN spare USING (pred_id))"""
 
-AVOID = f"""
+# A drawn prediction gets a free set whenever the game has one.
+AVOIDED = """SELECT pred_id, drawn AND free > 0 AS replaced, drawn AND free = 0 AS exhausted, NOT (drawn AND free = 0) AS legal,
+  NOT drawn AS kept, FALSE AS drawn FROM asked, (SELECT {sets} - COUNT(DISTINCT key) AS free FROM keys)"""
+AVOID = """
   keys AS (SELECT DISTINCT list_sort(list_distinct(balls)) AS key FROM draws),
-  hit AS (SELECT cand_id, balls, bonus FROM cands WHERE list_sort(list_distinct(balls)) IN (SELECT key FROM keys)),
-  tries AS (
-    SELECT cand_id, attempt, list_sort(list(number)) AS balls FROM (
-      SELECT cand_id, a.range AS attempt, CAST(d.range AS INT) AS number,
-             ROW_NUMBER() OVER (PARTITION BY cand_id, a.range ORDER BY {digest("cand_id", "a.range", "d.range")}, d.range) AS rn
-      FROM hit, range(1, {ALTERNATES + 1}) a, range(1, 51) d) WHERE rn <= 5 GROUP BY 1, 2),
-  fresh AS (
-    SELECT cand_id, arg_min(balls, (CAST(balls IN (SELECT key FROM keys) AS INT), attempt)) AS balls
-    FROM tries GROUP BY 1)"""
+  asked AS (SELECT cand_id AS pred_id, list_sort(list_distinct(balls)) IN (SELECT key FROM keys) AS drawn FROM cands)"""
+DENSE = f"""
+  folded AS (
+    SELECT draw_id, list_sort(list_distinct(list_transform(balls, lambda b: b % {Q.DENSE.high} + 1)))[1:{Q.DENSE.slots}] AS key FROM draws),
+  keys AS (SELECT DISTINCT key FROM folded WHERE len(key) = {Q.DENSE.slots}),
+  asked AS (SELECT draw_id AS pred_id, TRUE AS drawn FROM folded WHERE len(key) = {Q.DENSE.slots})"""
+TRAINING = f"{uniform('draw_id')} < 0.8"
 
 PROFILE_VALUES = [
     "CAST(ROUND({mean}, 2) AS VARCHAR)",
@@ -438,6 +445,9 @@ def oracle_sql() -> dict[str, str]:
         "filter_recent": sql(
             f"SELECT {keys}, {iso} FROM draws QUALIFY ROW_NUMBER() OVER (PARTITION BY series {NEWEST}) <= 500"
         ),
+        "filter_recent_2000": sql(
+            f"SELECT {keys}, {iso} FROM draws QUALIFY ROW_NUMBER() OVER (PARTITION BY series {NEWEST}) <= 2000"
+        ),
         "trainable_series": sql(f"SELECT {keys} FROM draws QUALIFY COUNT(*) OVER (PARTITION BY series) >= 1000"),
         "date_range_info": sql(
             f"SELECT {ISO.format('MIN(draw_date)')} AS earliest, {ISO.format('MAX(draw_date)')} AS latest, COUNT(*) AS total_draws FROM dated",
@@ -504,12 +514,8 @@ def oracle_sql() -> dict[str, str]:
             cands(),
         ),
         "complete_prediction": sql(f"SELECT pred_id, {wide()}, bonus FROM filled", FILL),
-        "avoid_drawn": sql(
-            f"SELECT cands.cand_id AS pred_id, {wide(balls='COALESCE(fresh.balls, cands.balls)')}, bonus, "
-            "fresh.cand_id IS NOT NULL AS replaced FROM cands LEFT JOIN fresh USING (cand_id)",
-            cands(),
-            AVOID,
-        ),
+        "avoid_drawn": sql(AVOIDED.format(sets=math.comb(50, 5)), cands(), AVOID),
+        "avoid_drawn_dense": sql(AVOIDED.format(sets=math.comb(Q.DENSE.high, Q.DENSE.slots)), DENSE),
         "combo_profile": sql(
             "\nUNION ALL ".join(
                 f"SELECT cand_id, '{name}' AS stat, {value.format(**stat(G5))} AS value FROM cands"
@@ -580,7 +586,7 @@ def oracle_sql() -> dict[str, str]:
     SELECT attempt, list_sort(list(number)) AS balls FROM (
       SELECT a.range AS attempt, CAST(d.range AS INT) AS number,
              ROW_NUMBER() OVER (PARTITION BY a.range ORDER BY {digest("0", "a.range", "d.range")}, d.range) AS rn
-      FROM range(1, {ALTERNATES + 1}) a, range(1, 51) d) WHERE rn <= 5 GROUP BY 1),
+      FROM range(1, 101) a, range(1, 51) d) WHERE rn <= 5 GROUP BY 1),  -- more tries than these data need
   ended AS (
     SELECT balls, bonus, balls IN (SELECT key FROM keys) AS seen,
            (SELECT arg_min(balls, (CAST(balls IN (SELECT key FROM keys) AS INT), attempt)) FROM other) AS other FROM legal)""",
@@ -593,7 +599,32 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT {REPORT.format(label='Recent Draws', trees=100)} FROM (SELECT * FROM draws "
             f"QUALIFY ROW_NUMBER() OVER (PARTITION BY series {NEWEST}) <= 500)"
         ),
-        "forest_full": sql(f"SELECT {REPORT.format(label='Full Dataset', trees=Q.FOREST['num_trees'])} FROM draws"),
+        "forest_full": sql(f"SELECT {REPORT.format(label='Full Dataset', trees=100)} FROM draws"),
+        "forest_fit_summary": sql(fitted(14), cells(keep=TRAINING)),
+        "forest_fit_summary_g6": sql(fitted(13), cells(G6, keep=TRAINING), spec=G6),
+        "forest_probs_check": sql(
+            "SELECT series, slot, numbers, 1.0::DOUBLE AS total FROM (SELECT DISTINCT series FROM draws), "
+            "(SELECT slot, CAST(MAX(number) AS BIGINT) AS numbers FROM cells GROUP BY slot)",
+            cells(keep=TRAINING),
+        ),
+        "forest_likelihood_check": sql("SELECT DISTINCT series, 50::BIGINT AS numbers, TRUE AS adds_to_100 FROM draws"),
+        "forest_predict_check": sql("SELECT DISTINCT series, TRUE AS legal, FALSE AS drawn FROM draws"),
+        "forest_scores_check": sql(
+            "SELECT draw_id AS cand_id, TRUE AS in_range FROM draws WHERE series = (SELECT MIN(series) FROM draws)"
+        ),
+        "holdout_check": sql(
+            f"SELECT CAST(range AS INT) AS slot, (SELECT COUNT(*) FROM draws WHERE NOT {TRAINING}) AS rows, TRUE AS in_range FROM range(1, 7)"
+        ),
+        "score_hypothetical_check": sql("SELECT draw_id AS cand_id, TRUE AS in_range FROM draws"),
+        "stream_calculated": sql(SUMMARY, NEW, merged("FALSE", "TRUE"), seq("merged"), look()),
+        "two_streams": sql(SUMMARY, NEW, merged(*SPLIT), seq("merged"), look()),
+        "stream_then_ingest": sql(SUMMARY, NEW, merged(*SPLIT), seq("merged"), look()),
+        "ingest_late": sql(SUMMARY, NEW, merged("TRUE", f"series = '{Q.LATE_SERIES}'"), seq("merged"), look()),
+        "read_raw_g5": sql(
+            f"SELECT {iso}, COUNT(*) AS draws, CAST(SUM(balls[1] + bonus) AS BIGINT) AS numbers FROM draws "
+            "WHERE draw_id % 50 <> 0 AND draw_id % 53 <> 0 GROUP BY 1"
+        ),
+        "frequency_file": sql(f"SELECT number AS \"Number\", frequency AS \"Frequency\" FROM ({counted()})", cells()),
         "ingest_result": sql(SUMMARY, NEW, merged("TRUE", "TRUE"), seq("merged"), look()),
         "ingest_tail": sql(SUMMARY, NEW, merged(*SPLIT), seq("merged"), look()),
         "ingest_frequency": sql(
@@ -662,4 +693,5 @@ def oracle_sql() -> dict[str, str]:
             seq(),
             look(),
         )
+    out["prediction_file"] = f"SELECT number, likelihood, '2025-04-26' AS run_date FROM ({out['number_likelihood']})"
     return out

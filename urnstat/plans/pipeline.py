@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -16,7 +17,7 @@ from urnstat.operators import filters, forest, matching, order
 from urnstat.operators import frequency as freq
 from urnstat.operators import likelihood as L
 from urnstat.operators import quality
-from urnstat.operators.features import feature_columns, row_features
+from urnstat.operators.features import row_features
 from urnstat.session import materialize
 from urnstat.sources import store
 from urnstat.sources.raw import DRAWS
@@ -66,19 +67,18 @@ def take_slice(df: DataFrame, part: DateRange | Recent | None) -> DataFrame:
     return df if part is None else part.apply(df)
 
 
-def training_report(
-    df: DataFrame, part: DateRange | Recent | None, spec: GameSpec = G5, kind: int = 14, num_trees: int = 100
-) -> DataFrame:
-    """Draws, date span and model size of a training slice, one row."""
+def training_report(df: DataFrame, part: DateRange | Recent | None, models: forest.SlotModels) -> DataFrame:
+    """Draws and date span of a training slice and what was fitted on it, one row."""
     label = "Full Dataset" if part is None else part.label
+    trees = {m.getNumTrees for m in models.models.values()}
     return take_slice(df, part).agg(
         F.lit(label).alias("model"),
         F.count("*").alias("draws"),
         F.min("draw_date").alias("first_date"),
         F.max("draw_date").alias("last_date"),
-        F.lit(len(feature_columns(kind))).alias("features"),
-        F.lit(spec.slots + 1).alias("targets"),
-        F.lit(num_trees).alias("trees"),
+        F.lit(len(models.features)).alias("features"),
+        F.lit(len(models.models)).alias("targets"),
+        F.lit(min(trees)).alias("trees"),
     )
 
 
@@ -99,16 +99,20 @@ def train_on_slice(
     if found < filters.MIN_TRAIN_ROWS:
         raise ValueError(f"need at least {filters.MIN_TRAIN_ROWS} draws for training, got {found}")
     models = forest.fit_slots(rows, spec, kind, num_trees=num_trees, **fit)
-    return models, training_report(calculated, part, spec, kind, num_trees)
+    return models, training_report(calculated, part, models)
 
 
-def predict(probs: DataFrame, history: DataFrame, spec: GameSpec = G5, seed: int = 42) -> DataFrame:
-    """Best number per slot → a legal combination that was not drawn before."""
-    slots = L.predict_slots(probs)
+def predict(
+    probs: DataFrame, history: DataFrame, spec: GameSpec = G5, seed: int = 42, keys: Sequence[str] = ()
+) -> DataFrame:
+    """Best number per slot → a legal combination that was not drawn before, one for each of ``keys``."""
+    slots = L.predict_slots(probs, keys)
     mains = F.collect_list(F.when(F.col("slot") <= spec.slots, F.struct("slot", "number")))
     bonus = F.max(F.when(F.col("slot") == spec.bonus_slot, F.col("number")))
-    one = slots.agg(F.sort_array(mains).alias("_m"), bonus.alias("bonus"))
-    pred = one.select(F.lit(0).cast("long").alias("pred_id"), F.col("_m.number").alias("balls"), "bonus")
+    one = slots.groupBy(*keys).agg(F.sort_array(mains).alias("_m"), bonus.alias("bonus"))
+    # A key of its own for each prediction, 0 where there is only one.
+    number = F.xxhash64(*keys) if keys else F.lit(0).cast("long")
+    pred = one.select(*keys, number.alias("pred_id"), F.col("_m.number").alias("balls"), "bonus")
     return matching.avoid_drawn(matching.complete_prediction(pred, spec, seed), history, spec, seed)
 
 

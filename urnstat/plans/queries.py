@@ -6,6 +6,7 @@ across engines; real-valued results are rounded to six places.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 from functools import partial
 
@@ -32,8 +33,12 @@ SLICE_START, SLICE_END = "1996-01-01", "1997-12-31"
 SPLIT_DAY = "2000-01-01"
 PLACES = 6
 WEIGHTED = 500
-FOREST = {"num_trees": 4, "max_depth": 4}
+# Trees of every slot, and how deep they grow; MLlib stops at 30, these data at about 5.
+FOREST = {"num_trees": 100, "max_depth": 5}
+# A small game onto which numbers are folded, so that most of its sets are drawn.
+DENSE = GameSpec("dense", slots=3, high=12, bonus_high=20)
 NEW_ID_SHIFT = 1_000_000_000
+LATE_SERIES = "1-URGENT"
 
 KEYS = ("series", "draw_id")
 STATS = ["mean", "median", "std", "min", "max", "range", "sum_without_bonus", "sum_with_bonus"]
@@ -167,9 +172,10 @@ def filter_dates(spark, sf_dir):
     return filters.filter_dates(T.stored_draws(spark, sf_dir), SLICE_START, SLICE_END).select(*KEYS, iso())
 
 
-@query("filter_recent")
-def filter_recent(spark, sf_dir):
-    return filters.filter_recent(T.stored_draws(spark, sf_dir), 500).select(*KEYS, iso())
+@query("filter_recent", n=500)
+@query("filter_recent_2000", n=2000)
+def filter_recent(spark, sf_dir, n):
+    return filters.filter_recent(T.stored_draws(spark, sf_dir), n).select(*KEYS, iso())
 
 
 @query("trainable_series")
@@ -391,11 +397,38 @@ def complete_prediction(spark, sf_dir):
     return combo(matching.complete_prediction(T.rough_predictions(T.stored_draws(spark, sf_dir))), "pred_id")
 
 
+def _avoided(preds: DataFrame, history: DataFrame, spec: GameSpec = G5) -> DataFrame:
+    """What a prediction that avoids the history must be, as checked facts."""
+    out = matching.avoid_drawn(preds, history, spec)
+    given = preds.select("pred_id", F.col("balls").alias("_given"))
+    again = matching.already_drawn(out, history, spec).join(given, "pred_id")
+    numbers = F.array_distinct("balls")
+    legal = (F.size(numbers) == spec.slots) & (F.array_min(numbers) >= 1) & (F.array_max(numbers) <= spec.high)
+    return again.select(
+        "pred_id",
+        "replaced",
+        "exhausted",
+        F.coalesce(legal, F.lit(False)).alias("legal"),
+        F.coalesce(F.col("balls") == F.col("_given"), F.lit(False)).alias("kept"),
+        "drawn",
+    )
+
+
 @query("avoid_drawn")
 def avoid_drawn(spark, sf_dir):
     history = T.stored_draws(spark, sf_dir)
-    preds = T.candidates(history).withColumnRenamed("cand_id", "pred_id")
-    return combo(matching.avoid_drawn(preds, history), "pred_id", last=("replaced",))
+    return _avoided(T.candidates(history).withColumnRenamed("cand_id", "pred_id"), history)
+
+
+@query("avoid_drawn_dense")
+def avoid_drawn_dense(spark, sf_dir):
+    """Every draw as a prediction, in a game of which most sets were drawn."""
+    numbers = F.sort_array(F.array_distinct(F.transform("balls", lambda b: b % DENSE.high + 1)))
+    folded = T.stored_draws(spark, sf_dir).select(
+        F.col("draw_id").alias("pred_id"), F.slice(numbers, 1, DENSE.slots).alias("balls"), "bonus"
+    )
+    folded = folded.where(F.size("balls") == DENSE.slots)
+    return _avoided(folded, folded, DENSE)
 
 
 @query("combo_profile")
@@ -505,22 +538,96 @@ def predict(spark, sf_dir):
 # ---- forests ---------------------------------------------------------------
 
 
-def _model_table(spark, sf_dir):
+_KEPT: dict[tuple, object] = {}
+
+
+def _once(spark, sf_dir, name: str, make):
+    """Made once per session and folder: forests serve several queries."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def _model_table(spark, sf_dir, spec=G5):
     """Feature rows as a stored table, which scoring and forests read again."""
-    calculated = pipeline.calculate(T.stored_draws(spark, sf_dir).drop("jackpot", "outcome"))
-    return materialize(calculated, "model-table")
+    history = T.stored_draws(spark, sf_dir, spec).drop("jackpot", "outcome")
+    return _once(spark, sf_dir, f"rows-{spec.name}", lambda: materialize(pipeline.calculate(history, spec), "model-table"))
+
+
+def _models(spark, sf_dir, spec=G5, kind=14):
+    """Forests of all slots on the training rows."""
+    rows = _model_table(spark, sf_dir, spec)
+    return _once(spark, sf_dir, f"forests-{spec.name}-{kind}", lambda: forest.fit_slots(rows, spec, kind, **FOREST))
 
 
 @query("forest_fit_summary")
-def forest_fit_summary(spark, sf_dir):
-    return forest.fit_summary(forest.fit_slots(_model_table(spark, sf_dir), **FOREST), spark)
+@query("forest_fit_summary_g6", spec=G6, kind=13)
+def forest_fit_summary(spark, sf_dir, spec=G5, kind=14):
+    return forest.fit_summary(_models(spark, sf_dir, spec, kind), spark)
+
+
+def _forest_probs(spark, sf_dir):
+    newest = order.scoring_row(_model_table(spark, sf_dir))
+    return forest.forest_probs(_models(spark, sf_dir), newest, keys=("series",))
 
 
 @query("forest_probs")
 def forest_probs(spark, sf_dir):
+    return _forest_probs(spark, sf_dir)
+
+
+@query("forest_probs_check")
+def forest_probs_check(spark, sf_dir):
+    """Numbers and total probability of each series and slot."""
+    sums = _forest_probs(spark, sf_dir).groupBy("series", "slot").agg(F.count("*").alias("numbers"), F.sum("p").alias("total"))
+    return sums.withColumn("total", r6("total"))
+
+
+@query("forest_likelihood")
+def forest_likelihood(spark, sf_dir):
+    return L.number_likelihood(_forest_probs(spark, sf_dir), places=PLACES, keys=("series",))
+
+
+@query("forest_likelihood_check")
+def forest_likelihood_check(spark, sf_dir):
+    """Numbers of each series, and whether their likelihoods add to 100."""
+    table = forest_likelihood(spark, sf_dir).groupBy("series").agg(F.count("*").alias("numbers"), F.sum("likelihood").alias("_sum"))
+    return table.select("series", "numbers", (F.abs(F.col("_sum") - 100) < 0.01).alias("adds_to_100"))
+
+
+def _forest_predict(spark, sf_dir):
+    history = T.stored_draws(spark, sf_dir)
+    return pipeline.predict(_forest_probs(spark, sf_dir), history, keys=("series",))
+
+
+@query("forest_predict")
+def forest_predict(spark, sf_dir):
+    """For every series the forests' best numbers, made legal and kept clear of the history."""
+    return combo(_forest_predict(spark, sf_dir), "series", last=("replaced",))
+
+
+@query("forest_predict_check")
+def forest_predict_check(spark, sf_dir):
+    found = matching.already_drawn(_forest_predict(spark, sf_dir), T.stored_draws(spark, sf_dir))
+    numbers = F.array_distinct("balls")
+    legal = (F.size(numbers) == G5.slots) & (F.array_min(numbers) >= 1) & (F.array_max(numbers) <= G5.high)
+    return found.select("series", (legal & F.col("bonus").between(1, G5.bonus_high)).alias("legal"), "drawn")
+
+
+@query("forest_scores")
+def forest_scores(spark, sf_dir):
+    """Candidates of the first series by its own probabilities, and their profile's sum."""
     rows = _model_table(spark, sf_dir)
-    models = forest.fit_slots(rows, **FOREST)
-    return forest.forest_probs(models, order.scoring_row(rows), keys=("series",))
+    first = rows.agg(F.min("series")).scalar()
+    probs = _forest_probs(spark, sf_dir).where(F.col("series") == first)
+    cands = T.candidates(rows.where(F.col("series") == first))
+    return combo(L.score_combos(cands, probs.drop("series"), places=PLACES), "cand_id", last=("score",))
+
+
+@query("forest_scores_check")
+def forest_scores_check(spark, sf_dir):
+    return forest_scores(spark, sf_dir).select("cand_id", F.col("score").between(0, 100).alias("in_range"))
 
 
 @query("forest_full")
@@ -533,22 +640,34 @@ def forest_full(spark, sf_dir):
 @query("holdout_accuracy")
 def holdout_accuracy(spark, sf_dir):
     rows = forest.train_split(_model_table(spark, sf_dir))
-    models = forest.fit_slots(rows.where("is_train"), ratio=None, **FOREST)
-    return forest.evaluate(models, rows.where(~F.col("is_train")))
+    return forest.evaluate(_models(spark, sf_dir), rows.where(~F.col("is_train")))
+
+
+@query("holdout_check")
+def holdout_check(spark, sf_dir):
+    found = holdout_accuracy(spark, sf_dir)
+    return found.select("slot", "rows", F.col("accuracy").between(0, 1).alias("in_range"))
 
 
 @query("score_hypothetical")
 def score_hypothetical(spark, sf_dir):
     rows = _model_table(spark, sf_dir)
-    models = forest.fit_slots(rows, kind=13, **FOREST)
     inputs = combos.hypothetical_features(T.candidates(rows), rows)
-    return combo(forest.score_hypothetical(models, inputs), "cand_id", last=("score",))
+    return combo(forest.score_hypothetical(_models(spark, sf_dir, kind=13), inputs), "cand_id", last=("score",))
+
+
+@query("score_hypothetical_check")
+def score_hypothetical_check(spark, sf_dir):
+    return score_hypothetical(spark, sf_dir).select("cand_id", F.col("score").between(0, 100).alias("in_range"))
 
 
 @query("training_report", part=pipeline.DateRange(SLICE_START, SLICE_END))
 @query("training_report_recent", part=pipeline.Recent(500))
 def training_report(spark, sf_dir, part):
-    report = pipeline.training_report(T.stored_draws(spark, sf_dir), part)
+    """Forests fitted on a slice; the report is taken from them."""
+    report = _once(
+        spark, sf_dir, f"slice-{part}", lambda: pipeline.train_on_slice(_model_table(spark, sf_dir), part, **FOREST)
+    )[1]
     return report.select("model", "draws", iso("first_date"), iso("last_date"), "features", "targets", "trees")
 
 
@@ -624,3 +743,99 @@ def stream_intake(spark, sf_dir):
     landing = intake.read_landing(spark, f"{root}/landing", files_per_trigger=4)
     intake.start_intake(landing, paths, f"{root}/checkpoint").awaitTermination()
     return combo(store.load_history(spark, paths.history).withColumn("draw_date", iso()), *KEYS, "draw_date")
+
+
+def _land(df: DataFrame, root: str) -> str:
+    """Typed-in draws as landing files."""
+    _new_ids(T.new_draws(df)).write.json(f"{root}/landing")
+    return f"{root}/landing"
+
+
+def _stream_in(spark, df: DataFrame, paths: pipeline.Paths) -> None:
+    root = scratch_path(spark, "stream")
+    landing = intake.read_landing(spark, _land(df, root))
+    intake.start_intake(landing, paths, f"{root}/checkpoint").awaitTermination()
+
+
+def _split_draws(spark, sf_dir):
+    """Draws before a day, and two halves of the later ones."""
+    draws = T.stored_draws(spark, sf_dir)
+    late = F.col("draw_date") >= F.lit(SPLIT_DAY).cast("date")
+    return draws.where(~late), draws.where(late & (F.col("draw_id") % 2 == 0)), draws.where(late & (F.col("draw_id") % 2 == 1))
+
+
+@query("stream_calculated")
+def stream_calculated(spark, sf_dir):
+    """A stream alone keeps history, features and frequencies."""
+    paths = pipeline.Paths(scratch_path(spark, "ingest"))
+    _stream_in(spark, T.stored_draws(spark, sf_dir), paths)
+    return _summary(pipeline.load_calculated(spark, paths))
+
+
+@query("two_streams")
+def two_streams(spark, sf_dir):
+    """Two streams with checkpoints of their own on one history."""
+    old, one, two = _split_draws(spark, sf_dir)
+    paths = pipeline.Paths(scratch_path(spark, "ingest"))
+    store.append_draws(paths.history, _money(old))
+    _stream_in(spark, one, paths)
+    _stream_in(spark, two, paths)
+    return _summary(pipeline.load_calculated(spark, paths))
+
+
+@query("stream_then_ingest")
+def stream_then_ingest(spark, sf_dir):
+    """A history, a stream, then a batch: the tables hold all three."""
+    old, one, two = _split_draws(spark, sf_dir)
+    paths = pipeline.Paths(scratch_path(spark, "ingest"))
+    store.append_draws(paths.history, _money(old))
+    pipeline.refresh(spark, paths)
+    _stream_in(spark, one, paths)
+    pipeline.ingest(spark, _new_ids(T.new_draws(two)), paths)
+    return _summary(pipeline.load_calculated(spark, paths))
+
+
+@query("ingest_late")
+def ingest_late(spark, sf_dir):
+    """Draws of one series dated among the stored ones: that series is written anew."""
+    draws = T.stored_draws(spark, sf_dir)
+    paths = pipeline.Paths(scratch_path(spark, "ingest"))
+    store.append_draws(paths.history, _money(draws))
+    pipeline.refresh(spark, paths)
+    pipeline.ingest(spark, _new_ids(T.new_draws(draws.where(F.col("series") == LATE_SERIES))), paths)
+    return _summary(pipeline.load_calculated(spark, paths))
+
+
+# ---- files written and read back -------------------------------------------
+
+
+@query("read_raw_g5")
+def read_raw_g5(spark, sf_dir):
+    """Text records as quoted CSV with line breaks, read, parsed and cleaned."""
+    path = scratch_path(spark, "raw")
+    typed = T.raw_g5(T.stored_draws(spark, sf_dir)).select("draw_date", "results", "jackpot", "outcome")
+    typed.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    parsed = raw.parse_balls(raw.read_raw_g5(spark, path))
+    stored = scratch_path(spark, "clean")
+    store.append_draws(stored, raw.to_draws(parsed, "g5"), "raw")
+    return store.load_history(spark, stored).groupBy(iso()).agg(F.count("*").alias("draws"), F.sum(F.col("balls")[0] + F.col("bonus")).alias("numbers"))
+
+
+@query("frequency_file")
+def frequency_file(spark, sf_dir):
+    """The frequency table as one CSV, from high to low, read back."""
+    path = scratch_path(spark, "frequency")
+    store.write_frequency(freq.frequency(T.stored_draws(spark, sf_dir)), path, order="high_low")
+    return spark.read.option("header", True).schema("Number int, Frequency bigint").csv(path)
+
+
+@query("prediction_file")
+def prediction_file(spark, sf_dir):
+    """The likelihood table as stored with a prediction of one day, read back."""
+    history = T.stored_draws(spark, sf_dir)
+    probs = L.empirical_probs(history)
+    path = scratch_path(spark, "prediction")
+    day = dt.date(2025, 4, 26)
+    store.write_prediction(pipeline.predict(probs, history), L.number_likelihood(probs, places=PLACES), day, path)
+    back = spark.read.parquet(f"{path}/likelihood")
+    return back.select("number", "likelihood", F.col("run_date").cast("string").alias("run_date"))
