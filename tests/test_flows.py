@@ -256,3 +256,18 @@ def test_dynamic_overwrite_changes_nothing(spark, tmp_path):
         same_as_at_once(spark, paths, rows[:5], tmp_path, "whole")
     finally:
         spark.conf.unset("spark.sql.sources.partitionOverwriteMode")
+
+
+def test_flows_leave_nothing_in_the_scratch_area(spark, tmp_path):
+    from pathlib import Path
+
+    from urnstat.session import scratch_path
+
+    rows = [r for r in brute.make_rows(30, seed=11) if r[2]]
+    paths = pipeline.Paths(f"{tmp_path}/scratch")
+    area = Path(scratch_path(spark, "x")).parent
+    count = lambda: len(list(area.iterdir())) if area.exists() else 0
+    before = count()
+    for part in (rows[:10], rows[10:20], rows[5:15], rows[20:]):
+        pipeline.ingest(spark, typed_rows(spark, part), paths)
+        assert count() == before

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 # Set keys pack a combination into one bigint, one bit per number.
@@ -29,11 +28,6 @@ class GameSpec:
     def domain_high(self, slot: int) -> int:
         return self.bonus_high if slot == self.bonus_slot else self.high
 
-    @property
-    def max_sets(self) -> int:
-        """Most set keys a history of this game can hold."""
-        return math.comb(KEY_BITS, self.slots)
-
 
 # Fixed values of the two supported games.
 G5 = GameSpec("g5", slots=5, high=50, bonus_high=20)

@@ -624,6 +624,9 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT {iso}, COUNT(*) AS draws, CAST(SUM(balls[1] + bonus) AS BIGINT) AS numbers FROM draws "
             "WHERE draw_id % 50 <> 0 AND draw_id % 53 <> 0 GROUP BY 1"
         ),
+        "read_raw_g6": sql(
+            "SELECT year, COUNT(*) AS draws, CAST(SUM(CAST(t[1] AS INT)) AS BIGINT) AS numbers FROM clean GROUP BY 1", RAW6, spec=G6
+        ),
         "frequency_file": sql(f"SELECT number AS \"Number\", frequency AS \"Frequency\" FROM ({counted()})", cells()),
         "ingest_result": sql(SUMMARY, NEW, merged("TRUE", "TRUE"), seq("merged"), look()),
         "ingest_tail": sql(SUMMARY, NEW, merged(*SPLIT), seq("merged"), look()),

@@ -18,7 +18,7 @@ from urnstat.operators import frequency as freq
 from urnstat.operators import likelihood as L
 from urnstat.operators import quality
 from urnstat.operators.features import row_features
-from urnstat.session import materialize
+from urnstat.session import materialize, scratch_scope
 from urnstat.sources import store
 from urnstat.sources.raw import DRAWS
 
@@ -203,6 +203,11 @@ def refresh(spark: SparkSession, paths: Paths, spec: GameSpec = G5) -> None:
 
     The new rows are parts of their own; readers go over to them with the coverage.
     """
+    with scratch_scope(spark):
+        _refresh(spark, paths, spec)
+
+
+def _refresh(spark: SparkSession, paths: Paths, spec: GameSpec) -> None:
     state = load_coverage(spark, paths)
     # A batch that lands meanwhile is neither in the rows nor in the coverage.
     names = materialize(_history(spark, paths).select(F.col("batch").alias("_name")).distinct(), "batches")
@@ -262,6 +267,11 @@ def extend(spark: SparkSession, paths: Paths, spec: GameSpec = G5, changed: str
     Rebuilds everything, and returns False, without a coverage, or when the batch
     ``changed`` was written again after it had been covered.
     """
+    with scratch_scope(spark):
+        return _extend(spark, paths, spec, changed)
+
+
+def _extend(spark: SparkSession, paths: Paths, spec: GameSpec, changed: str | None) -> bool:
     state = load_coverage(spark, paths)
     if state is None or (changed and not state[0].where((F.col("kind") == HISTORY) & (F.col("name") == changed)).isEmpty()):
         refresh(spark, paths, spec)

@@ -821,6 +821,16 @@ def read_raw_g5(spark, sf_dir):
     return store.load_history(spark, stored).groupBy(iso()).agg(F.count("*").alias("draws"), F.sum(F.col("balls")[0] + F.col("bonus")).alias("numbers"))
 
 
+@query("read_raw_g6")
+def read_raw_g6(spark, sf_dir):
+    """The same for the 6+1 game, which has no header row."""
+    path = scratch_path(spark, "raw")
+    typed = T.raw_g6(T.stored_draws(spark, sf_dir, G6)).select("year", "date", "series", "bonus")
+    typed.write.option("quoteAll", True).option("escape", '"').csv(path)
+    first = F.get("tokens", F.lit(0)).cast("int")
+    return raw.read_raw_g6(spark, path).groupBy("year").agg(F.count("*").alias("draws"), F.sum(first).alias("numbers"))
+
+
 @query("frequency_file")
 def frequency_file(spark, sf_dir):
     """The frequency table as one CSV, from high to low, read back."""

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+_scope = threading.local()
 
 
 def local_session(cpus: int | str = "*", app: str = "urnstat", **conf) -> SparkSession:
@@ -63,12 +67,24 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    if getattr(_scope, "paths", None) is not None:
+        _scope.paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_bounded(df: DataFrame, max_rows: int, row_bytes: int, limit_bytes: int = 64 << 20) -> DataFrame:
-    """Hint a broadcast when the domain itself proves a small enough size."""
-    if max_rows * row_bytes <= limit_bytes:
-        return F.broadcast(df)
-    return df
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Drop at the end what this thread put into the scratch area inside.
+
+    For flows whose result is stored elsewhere before they end; a long session then
+    keeps nothing of them. Scopes nest.
+    """
+    outer, _scope.paths = getattr(_scope, "paths", None), []
+    try:
+        yield
+    finally:
+        made, _scope.paths = _scope.paths, outer
+        for path in made:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

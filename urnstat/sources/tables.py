@@ -63,21 +63,13 @@ STORED_SCHEMA = "series string, draw_id bigint, draw_date date, balls array<int>
 _STORED: dict[tuple, str] = {}
 
 
-def _state(spark: SparkSession, sf_dir: str) -> tuple:
-    """Files, newest change and bytes of the input tables; lists, reads nothing."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    paths = [f"{sf_dir}/lineitem.parquet", f"{sf_dir}/orders.parquet"]
-    seen = files.load(paths).agg(F.count("path"), F.max("modificationTime"), F.sum("length"))
-    return tuple(seen.first())
-
-
 def stored_draws(spark: SparkSession, sf_dir: str, spec: GameSpec = G5) -> DataFrame:
-    """``draws`` written once per session, game and state of the input tables.
+    """``draws`` written once per session, game and folder of input tables.
 
     A history is built once and read often, so queries scan the stored table:
     filters and columns then reach the parquet reader.
     """
-    key = (spark.sparkContext.applicationId, sf_dir, spec.name, *_state(spark, sf_dir))
+    key = (spark.sparkContext.applicationId, sf_dir, spec.name)
     reader = spark.read.schema(STORED_SCHEMA)
     if key in _STORED:
         try:
