@@ -203,7 +203,9 @@ def extract(page: str, weights: Weights) -> str:
                 break
             n += 1
         shared = shared[:n]
-    holder = next((e[0] for e in reversed(shared) if e[1] in HOLDERS), None)
+    around = [e for e in reversed(shared) if e[1] in HOLDERS]
+    around.sort(key=lambda e: e[1] not in ("article", "main"))  # the nearest of these two before any other
+    holder = around[0][0] if around else None
     chosen = tokens[first:stop] if holder is None else [t for t in tokens if any(e[0] == holder for e in t.path)]
     blocks: dict[int, list[str]] = defaultdict(list)
     for t in chosen:
