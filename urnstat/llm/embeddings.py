@@ -239,3 +239,19 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, tile: int = T
     linked = good.join(named, ["label", "vector"]).select("vec_id", "n_links", "component_id")
     # Without any id a component has none, and each of its rows keeps itself.
     return linked.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+def oracle_sql(threshold: float = THRESHOLD) -> str:
+    """The same rows in DuckDB, from all pairs within a label."""
+    return f"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+good AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND len(list_filter(e, lambda x: x <> 0)) > 0
+    AND len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x))) = len(e)),
+links AS (
+  SELECT a.r AS a, b.r AS b FROM good a JOIN good b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= {threshold}),
+reach(r, x) AS (SELECT r, r FROM v UNION SELECT reach.r, links.b FROM reach JOIN links ON reach.x = links.a),
+classes AS (SELECT reach.r, min(o.vec_id) AS component_id FROM reach JOIN v o ON o.r = reach.x GROUP BY reach.r)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM v JOIN classes USING (r) LEFT JOIN (SELECT a AS r, count(*) AS n FROM links GROUP BY a) USING (r)"""

@@ -65,5 +65,6 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality.oracle_sql(),
     "op4_url_filter": url_filter.oracle_sql(),
+    "op7_embeddings": embeddings.oracle_sql(),
     "op9_warc": warc.oracle_sql(),
 }

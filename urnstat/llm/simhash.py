@@ -96,7 +96,8 @@ def links(codes: DataFrame, limit: int = LIMIT) -> DataFrame:
     keyed = codes.select("code", F.explode(variants(F.col("code"), limit)).alias("key"))
     one, two = keyed.alias("one"), keyed.alias("two")
     both = F.col("one.code").bitwiseXOR(F.col("two.code"))
-    tag = F.col("one.key").bitwiseAND(F.lit(127))
+    # From both sides, so that no filter of one side alone keeps them from sharing a shuffle.
+    tag = F.greatest("one.key", "two.key").bitwiseAND(F.lit(127))
     exact = (tag >= BITS) | (F.getbit(both, tag % BITS) == 1)
     first, earlier = F.lit(False), F.lit(True)
     for number, (low, width) in enumerate(segments(limit)):
