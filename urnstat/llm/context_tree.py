@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -62,15 +63,17 @@ def _groups(texts: list[bytes]):
         yield first, len(texts)
 
 
-def count_strings(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """Strings of ``depth + 1`` bytes, the newest lowest, and how often each occurs."""
+def count_strings(texts: list[bytes], depth: int = DEPTH) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Strings of ``depth + 1`` bytes, the newest lowest, and how often each occurs, ``CHUNK`` bytes at a time."""
     pad = bytes([PAD]) * depth
     joined = np.frombuffer(b"".join([pad + t + bytes([STOP]) for t in texts]), np.uint8)
-    code = np.zeros(len(joined) - depth, np.int64)
-    for i in range(depth + 1):
-        code = code << 8 | joined[i : i + len(code)]
-    code = code[(code & 0xFF) != PAD]  # a pad is never coded, so no string crosses texts
-    return np.unique(code, return_counts=True)
+    for at in range(0, len(joined) - depth, CHUNK):
+        part = joined[at : at + CHUNK + depth]
+        code = np.zeros(len(part) - depth, np.int64)
+        for i in range(depth + 1):
+            code = code << 8 | part[i : i + len(code)]
+        code = code[(code & 0xFF) != PAD]  # a pad is never coded, so no string crosses texts
+        yield np.unique(code, return_counts=True)
 
 
 def strings(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -80,8 +83,8 @@ def strings(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
         for batch in slices(batches, 4096):
             texts = [lowered(t) for t in texts_of(batch, "text")]
             for a, b in _groups(texts):
-                code, n = count_strings(texts[a:b], depth)
-                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], ["code", "n"])
+                for code, n in count_strings(texts[a:b], depth):
+                    yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], ["code", "n"])
 
     return docs.select("text").mapInArrow(run, "code bigint, n bigint")
 

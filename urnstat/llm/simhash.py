@@ -28,6 +28,8 @@ SHINGLE = 4
 SEED = 42
 BITS = 64
 LIMIT = 4
+#: Shingles of one text whose bits are counted at once.
+CHUNK = 1 << 16
 
 
 def fingerprint(text: str, size: int = SHINGLE) -> int:
@@ -40,8 +42,11 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
     starts = [0, *stops[:-1].tolist()]
     ends = (stops[size - 1 :] - 1).tolist() or [len(joined)]
     digest = xxhash.xxh64_digest
-    hashes = np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, ends)]), np.uint8)
-    ones = np.unpackbits(hashes.reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(ends), CHUNK):
+        pairs = zip(starts[at : at + CHUNK], ends[at : at + CHUNK])
+        hashes = np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in pairs]), np.uint8)
+        ones += np.unpackbits(hashes.reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(ends)).view(">i8")[0])
 
 
@@ -96,8 +101,7 @@ def links(codes: DataFrame, limit: int = LIMIT) -> DataFrame:
     keyed = codes.select("code", F.explode(variants(F.col("code"), limit)).alias("key"))
     one, two = keyed.alias("one"), keyed.alias("two")
     both = F.col("one.code").bitwiseXOR(F.col("two.code"))
-    # From both sides, so that no filter of one side alone keeps them from sharing a shuffle.
-    tag = F.greatest("one.key", "two.key").bitwiseAND(F.lit(127))
+    tag = F.col("one.key").bitwiseAND(F.lit(127))
     exact = (tag >= BITS) | (F.getbit(both, tag % BITS) == 1)
     first, earlier = F.lit(False), F.lit(True)
     for number, (low, width) in enumerate(segments(limit)):
