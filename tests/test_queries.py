@@ -89,7 +89,8 @@ def test_recent_draws_have_one_plan_for_every_n(spark, sf_dir, n):
     df = filters.filter_recent(stored_draws(spark, sf_dir), n)
     text = plan(df)
     assert "Window" not in text and "SinglePartition" not in text
-    assert re.sub(r"\d+", "", text) == re.sub(r"\d+", "", plan(filters.filter_recent(stored_draws(spark, sf_dir), 7)))
+    shape = lambda t: re.sub(r"\S*urnstat\S*|\d+", "", t)  # noqa: E731  without folders and numbers
+    assert shape(text) == shape(plan(filters.filter_recent(stored_draws(spark, sf_dir), 7)))
 
 
 def test_history_keys_join_by_size(spark, sf_dir):
