@@ -36,7 +36,7 @@ from urnstat.llm.common import find_byte_words, id_remainder, slices, texts_of
 from urnstat.session import materialize
 
 DEPTH = 5
-SHARE = 80_000
+SHARE = 60_000
 PAD, STOP = 0xFE, 0xFF
 #: Bytes that are scored side by side in one row of a matrix.
 STRIDE = 256
