@@ -40,6 +40,8 @@ LEAST_REVISIT = 100
 #: Bytes of records after which a task begins another file.
 FILE_BYTES = 64 << 20
 CHUNK = 1 << 20
+#: Most tasks that files are dealt out to.
+MOST_TASKS = 20_000
 DATE = "2024-01-01T00:00:00Z"
 GZIP = 31  # window bits of a gzip member
 #: Compression of the one-stream files and of the members.
@@ -210,11 +212,16 @@ def normalise(files: DataFrame, folder: str) -> DataFrame:
                         rows = []
                 yield _index_batch(target, rows)
 
-    # Files are dealt out one by one: each is a task's work, whoever wrote it.
-    spread = files.select("path").repartition("path")
+    # Files are dealt out one by one: each is a task's work, whoever wrote it. A number
+    # given here is not merged again by adaptive execution, to which paths look tiny.
+    spread = files.select("path").repartition(_tasks(files))
     return spread.mapInArrow(run, "path string, offset bigint, length bigint, record_id string")
 
 
+def _tasks(rows: DataFrame) -> int:
+    return max(1, min(MOST_TASKS, rows.select("path").distinct().count()))
+
+
 def _index_batch(path: str, rows: list[tuple[int, int, str]]) -> pa.RecordBatch:
     offset, length, name = zip(*rows) if rows else ((), (), ())
     return pa.RecordBatch.from_arrays(
@@ -250,7 +257,9 @@ def read(index: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
         if source is not None:
             source.close()
 
-    return index.select("path", "offset", "length").mapInArrow(run, types + ", payload binary" * with_payload)
+    # A file is read from front to back by one task.
+    ordered = index.select("path", "offset", "length").repartition(_tasks(index), "path").sortWithinPartitions("path", "offset")
+    return ordered.mapInArrow(run, types + ", payload binary" * with_payload)
 
 
 def parse(data: bytes) -> tuple:
