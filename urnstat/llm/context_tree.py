@@ -44,7 +44,7 @@ STRIDE = 256
 COMMON = 200_000
 HELD_OUT, REMAINDER = 7, 2
 #: Text bytes that a task gathers before it counts or scores them.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 
 
 def lowered(text: str) -> bytes:
@@ -161,7 +161,7 @@ class Automaton:
                     p = np.clip(one[:, (1 << level) - 1 : (2 << level) - 1], 1e-12, 1 - 1e-12)
                     logs = (logs[:, :, None] + np.log10(np.stack([1 - p, p], axis=2))).reshape(len(rows), 2 << level)
                 self.codes[rows] = logs
-        self.next = np.zeros((size, 256), np.int32)
+        self.next = np.zeros((size, 256), np.uint16 if size <= 1 << 16 else np.int32)
         by_length = [dict() for _ in range(depth + 1)]
         for i, (d, code) in enumerate(contexts):
             by_length[d][code] = i
