@@ -451,6 +451,31 @@ def test_tree_scores_equal_direct_mixture(spark):
     assert (10.0 ** model.codes.astype(float)).sum(axis=1) == pytest.approx(1, abs=1e-5)
 
 
+@pytest.mark.parametrize("common_strings", [1, 500, 10**9])
+def test_scores_equal_the_tree_of_all_contexts(spark, common_strings):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(["the ", "then ", "hat ", "é", "x", "z" * 7, "\n"]) for _ in range(rng.randint(0, 60))) for _ in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(90, None), (None, "the hat")], "doc_id bigint, text string")
+    got = context_tree.score(docs, common_strings=common_strings).collect()
+    held = {r["doc_id"] for r in got if r["held_out"]}
+    training = docs.where(~docs["doc_id"].isin(*held) | docs["doc_id"].isNull())
+    whole = context_tree.learn(training, share=1 << 40)
+    want = dict(zip([*range(80), 90, None], whole.score([context_tree.lowered(t) for t in [*texts, "", "the hat"]])))
+    assert len(got) == 82 and 3 < len(held) < 40
+    assert {r["doc_id"]: r["score"] for r in got} == pytest.approx(want, rel=1e-5)
+
+
+def test_contexts_do_not_fall_out_as_the_corpus_grows(spark):
+    # One rare string among very many others: under one part in 60,000, yet learnt.
+    held = [i for i in range(50) if zlib.crc32(str(i).encode()) % 7 == 2]
+    rest = [i for i in range(50) if i not in held]
+    rows = [(rest[0], "qu7%v@!" * 4)] + [(rest[1 + i % 20], "abcde fgh " * 40_000) for i in range(6)] + [(held[0], "qu7%v@!" * 4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    scored = {r["doc_id"]: r["score"] for r in context_tree.score(docs).collect()}
+    whole = context_tree.learn(docs.where(docs["doc_id"] != held[0]), share=1 << 40)
+    assert scored[held[0]] == pytest.approx(whole.score([b"qu7%v@!" * 4])[0], rel=1e-5)
+
+
 def test_untrained_model_is_uniform(docs, spark):
     model = context_tree.learn(empty(docs))
     assert model.score([b"ab"])[0] == pytest.approx(3 * 8 * math.log10(0.5))

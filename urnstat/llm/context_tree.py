@@ -6,12 +6,14 @@ up to ``DEPTH``. Each node holds Krichevsky-Trofimov estimates of its counts, an
 weights by evidence mix all depths, so the model gives a code length for every byte.
 
 Training counts byte strings of ``DEPTH + 1`` over the whole training texts with Spark;
-shorter contexts are sums of longer ones. A context is split further only where it
-holds at least one part in ``SHARE`` of all positions. A depth has at most ``SHARE``
-such contexts, whatever the size of the corpus, so the tree that every task reads
-is bounded; positions of the other contexts stay in their parent's remainder, whose
-counts are kept too, so that every position counts. The tree becomes an automaton: its
-states are the kept contexts, each with one code length per next byte.
+shorter contexts are sums of longer ones. Every context that occurs is kept, at any size
+of the corpus, so the model grows with it and stays in Spark tables. Strings that end in
+the same ``ROOT`` bytes of context meet in one task, which holds a run of such subtrees
+at a time: a first pass gives the evidence of their roots, the driver mixes the depths
+above (bounded by the number of byte pairs), a second pass carries the mixture down and
+gives each string its code length. Strings of held-out texts go along with count 0.
+Strings that hold one part in ``COMMON_STRINGS`` of all positions (a bounded number) are
+looked up in the task, all others are joined.
 
 A text is coded as its bytes and one end symbol, after a start of pad symbols (bytes
 that UTF-8 never uses). The unigram base counts words the same way over all training
@@ -36,12 +38,19 @@ from urnstat.llm.common import find_byte_words, id_remainder, slices, texts_of
 from urnstat.session import materialize
 
 DEPTH = 5
+#: Bytes of context that strings of one subtree share.
+ROOT = 3
+#: Only for ``learn``, the tree in one process: a context is kept from one part in this on.
 SHARE = 60_000
 PAD, STOP = 0xFE, 0xFF
 #: Bytes that are scored side by side in one row of a matrix.
 STRIDE = 256
 #: A word is looked up in the task if it holds one part in this of the tokens or more.
 COMMON = 200_000
+#: A string of ``DEPTH + 1`` bytes is looked up in the task if it holds one part in this of all positions or more.
+COMMON_STRINGS = 8_000_000
+#: Strings whose subtrees a task holds at once, as far as a subtree is not larger.
+TREE_ROWS = 100_000
 HELD_OUT, REMAINDER = 7, 2
 #: Text bytes that a task gathers before it counts or scores them.
 CHUNK = 2 << 20
@@ -63,30 +72,38 @@ def _groups(texts: list[bytes]):
         yield first, len(texts)
 
 
-def count_strings(texts: list[bytes], depth: int = DEPTH) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Strings of ``depth + 1`` bytes, the newest lowest, and how often each occurs, ``CHUNK`` bytes at a time."""
+def coded_strings(texts: list[bytes], depth: int = DEPTH) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Strings of ``depth + 1`` bytes, the newest lowest, and the text each is of, ``CHUNK`` bytes at a time."""
     pad = bytes([PAD]) * depth
     joined = np.frombuffer(b"".join([pad + t + bytes([STOP]) for t in texts]), np.uint8)
+    # A string belongs to the text that holds its newest byte, ``depth`` bytes on.
+    edges = np.cumsum([0] + [depth + len(t) + 1 for t in texts]) - depth
     for at in range(0, len(joined) - depth, CHUNK):
         part = joined[at : at + CHUNK + depth]
         code = np.zeros(len(part) - depth, np.int64)
         for i in range(depth + 1):
             code = code << 8 | part[i : i + len(code)]
-        code = code[(code & 0xFF) != PAD]  # a pad is never coded, so no string crosses texts
-        yield np.unique(code, return_counts=True)
+        owner = np.repeat(np.arange(len(texts)), np.diff(np.clip(edges, at, at + len(code))))
+        real = (code & 0xFF) != PAD  # a pad is never coded, so no string crosses texts
+        yield code[real], owner[real]
 
 
 def strings(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """``code, n`` over all whole texts, not yet summed."""
+    """``code, n, m`` over all whole texts, not yet summed: times in texts that are not held out, times in all."""
 
     def run(batches):
         for batch in slices(batches, 4096):
-            texts = [lowered(t) for t in texts_of(batch, "text")]
-            for a, b in _groups(texts):
-                for code, n in count_strings(texts[a:b], depth):
-                    yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], ["code", "n"])
+            texts, held = [lowered(t) for t in texts_of(batch, "text")], batch.column("held_out").to_pylist()
+            for kind in (False, True):
+                chosen = [t for t, h in zip(texts, held) if h == kind]
+                for a, b in _groups(chosen):
+                    for code, _ in coded_strings(chosen[a:b], depth):
+                        code, m = np.unique(code, return_counts=True)
+                        m = pa.array(m.astype(np.int64))
+                        n = pa.array(np.zeros(len(code), np.int64)) if kind else m
+                        yield pa.RecordBatch.from_arrays([pa.array(code), n, m], ["code", "n", "m"])
 
-    return docs.select("text").mapInArrow(run, "code bigint, n bigint")
+    return docs.select("text", "held_out").mapInArrow(run, "code bigint, n bigint, m bigint")
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -212,8 +229,12 @@ class Automaton:
 
 
 def learn(docs: DataFrame, depth: int = DEPTH, share: int = SHARE) -> Automaton:
-    """The weighted tree of all whole texts of ``docs``."""
-    level = materialize(strings(docs, depth).groupBy("code").agg(F.sum("n").alias("n")), f"strings-{depth}")
+    """The weighted tree of all whole texts of ``docs`` as one automaton, for small corpora and tests.
+
+    ``score`` does not use it: contexts under one part in ``share`` are left to their parents.
+    """
+    counted = strings(docs.withColumn("held_out", F.lit(False)), depth)
+    level = materialize(counted.groupBy("code").agg(F.sum("n").alias("n")), f"strings-{depth}")
     positions = level.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     least = max(1, -(-positions // share))
     found: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
@@ -239,6 +260,147 @@ def learn(docs: DataFrame, depth: int = DEPTH, share: int = SHARE) -> Automaton:
     return Automaton(contexts, counts, depth)
 
 
+def _up(keys: np.ndarray, d: int) -> np.ndarray:
+    """Keys (context of ``d + 1`` bytes, node) as those of the contexts of ``d`` bytes."""
+    return (keys >> 8 & (1 << 8 * d) - 1) << 8 | keys & 0xFF
+
+
+def _mixed(zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log evidence of nodes with children and the weight of their own estimates."""
+    own = _evidence(zeros, ones)
+    both = np.logaddexp(own, below) - math.log(2)
+    return both, np.exp(own - math.log(2) - both)
+
+
+class Subtrees:
+    """Contexts of ``top`` to ``depth`` bytes of all strings given, by sorted (context, binary node) keys.
+
+    Only nodes that a string passes are here. Of any other one a context knows nothing:
+    it gives one half and evidence 1, which leaves the mixture as the shorter contexts have it.
+    """
+
+    def __init__(self, keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, total: np.ndarray, depth: int, top: int, leaf: bool):
+        """``keys``: of contexts of ``depth`` bytes; ``total``: evidence below, or for ``leaf`` nothing is below."""
+        self.levels, place = [], None  # deepest first: keys, own estimate, its weight, places in the next level
+        for d in range(depth, top - 1, -1):
+            found, place = np.unique(keys if d == depth else _up(keys, d), return_inverse=True)
+            zeros, ones, total = (np.bincount(place, v, len(found)) for v in (zeros, ones, total))
+            if leaf and d == depth:
+                total, stay = _evidence(zeros, ones), np.ones(len(found))
+            else:
+                total, stay = _mixed(zeros, ones, total)
+            self.levels.append((found, (ones + 0.5) / (zeros + ones + 1), stay, place))
+            keys = found
+        self.keys, self.zeros, self.ones, self.total = keys, zeros, ones, total
+
+    def down(self, gathered: np.ndarray, pass_on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The mixture at the keys given at first, from that of the parents of ``keys``."""
+        for _, own, stay, place in reversed(self.levels):
+            gathered, pass_on = (gathered + pass_on * stay * own)[place], (pass_on * (1 - stay))[place]
+        return gathered, pass_on
+
+
+def _leaves(code: np.ndarray, n: np.ndarray, depth: int) -> tuple[Subtrees, np.ndarray]:
+    """Subtrees of strings, and the bits (strings × 8) of their newest bytes."""
+    byte, level = (code & 0xFF)[:, None], np.arange(8)
+    bits = byte >> 7 - level & 1
+    keys = (code >> 8)[:, None] << 8 | 1 << level | byte >> 8 - level
+    ones = bits * n[:, None].astype(float)
+    zeros = n[:, None] - ones
+    return Subtrees(keys.ravel(), zeros.ravel(), ones.ravel(), np.zeros(keys.size), depth, ROOT, True), bits
+
+
+def _whole_roots(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
+    """Columns of rows sorted by root, cut between roots into runs of ``TREE_ROWS`` or a little more."""
+    kept: list[list[np.ndarray]] = []
+    held = 0
+    for batch in batches:
+        kept.append([batch.column(c).to_numpy(zero_copy_only=False) for c in columns])
+        held += batch.num_rows
+        if held < TREE_ROWS:
+            continue
+        rows = [np.concatenate(c) for c in zip(*kept)]
+        root = rows[0] >> 8 & (1 << 8 * ROOT) - 1
+        cut = int(np.searchsorted(root == root[-1], True))  # the last root may go on
+        if cut:
+            yield [c[:cut] for c in rows]
+        kept, held = [[c[cut:] for c in rows]], len(root) - cut
+    if held:
+        yield [np.concatenate(c) for c in zip(*kept)]
+
+
+def string_codes(counted: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """``code, m, log``: log10 code of the newest byte after the bytes before it, of every string in ``code, n, m``."""
+    root = F.shiftrightunsigned("code", 8).bitwiseAND(F.lit((1 << 8 * ROOT) - 1))
+    counted = materialize(counted, "strings").withColumn("root", root)
+    dealt = counted.repartition("root").sortWithinPartitions("root").select("code", "n", "m")
+
+    def rise(batches):
+        for code, n, _ in _whole_roots(batches, ("code", "n", "m")):
+            tree, _ = _leaves(code, n, depth)
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (tree.keys, tree.zeros, tree.ones, tree.total)], ["key", "z", "o", "t"])
+
+    roots = dealt.mapInArrow(rise, "key bigint, z double, o double, t double")
+    up = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << 8 * (ROOT - 1)) - 1))
+    key = F.shiftleft(up, 8).bitwiseOR(F.col("key").bitwiseAND(F.lit(255)))
+    # At most 256 nodes for each context of ROOT - 1 bytes, whatever the corpus.
+    upper = roots.groupBy(key.alias("key")).agg(*[F.sum(c).alias(c) for c in "zot"]).orderBy("key").toArrow()
+    keys, zeros, ones, total = (upper.column(c).to_numpy() for c in ("key", "z", "o", "t"))
+    crown = Subtrees(keys, zeros, ones, total, ROOT - 1, 0, False)
+    gathered, pass_on = crown.down(np.zeros(len(crown.keys)), np.ones(len(crown.keys)))
+
+    def fall(batches):
+        for code, n, m in _whole_roots(batches, ("code", "n", "m")):
+            tree, bits = _leaves(code, n, depth)
+            at = np.searchsorted(keys, _up(tree.keys, ROOT - 1))
+            one, _ = tree.down(gathered[at], pass_on[at])
+            one = np.clip(one.reshape(-1, 8), 1e-12, 1 - 1e-12)
+            log = np.log10(np.where(bits == 1, one, 1 - one)).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(m), pa.array(log)], ["code", "m", "log"])
+
+    return dealt.mapInArrow(fall, "code bigint, m bigint, log double")
+
+
+class Lookup:
+    """Values of codes, by buckets of a multiplicative hash."""
+
+    def __init__(self, codes: np.ndarray, values: np.ndarray):
+        """The earlier a code comes, the sooner it is found."""
+        bits = max(4, (2 * len(codes)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        slot = self._slot(codes)
+        order = np.argsort(slot, kind="stable")
+        self.codes, self.values = np.append(codes[order], -1), np.append(values[order], 0.0)
+        self.starts = np.searchsorted(slot[order], np.arange((1 << bits) + 1)).astype(np.int32)
+
+    def _slot(self, codes: np.ndarray) -> np.ndarray:
+        return (codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values, and which codes are known; the value of others means nothing."""
+        slot = self._slot(codes)
+        at = self.starts[slot]
+        known = self.codes[at] == codes
+        left = np.flatnonzero(~known)
+        while len(left := left[at[left] + 1 < self.starts[slot[left] + 1]]):
+            at[left] += 1
+            fits = self.codes[at[left]] == codes[left]
+            known[left[fits]] = True
+            left = left[~fits]
+        return self.values[at], known
+
+
+def score_strings(texts: list[bytes], lookup: Lookup, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sum of the codes of each text's known strings; other strings and their texts, in order of texts."""
+    sums, others = np.zeros(len(texts)), []
+    for a, b in _groups(texts):
+        for code, owner in coded_strings(texts[a:b], depth):
+            value, known = lookup.find(code)
+            sums[a:b] += np.bincount(owner[known], value[known], b - a)
+            others.append((code[~known], owner[~known] + a))
+    return sums, *(np.concatenate([o[i] for o in others] or [np.zeros(0, np.int64)]) for i in (0, 1))
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """``word binary, c``: how often each word occurs in all whole texts."""
 
@@ -257,7 +419,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def score(docs: DataFrame, depth: int = DEPTH, share: int = SHARE) -> DataFrame:
+def score(docs: DataFrame, depth: int = DEPTH, common_strings: int = COMMON_STRINGS) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document.
 
     Documents whose id's remainder is ``REMAINDER`` are held out: nothing is learnt from them.
@@ -265,7 +427,14 @@ def score(docs: DataFrame, depth: int = DEPTH, share: int = SHARE) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     held_out = id_remainder("doc_id", HELD_OUT) == REMAINDER
     training = docs.where(~held_out)
-    model = learn(training, depth, share)
+    counted = strings(docs.select("text", held_out.alias("held_out")), depth)
+    counted = counted.groupBy("code").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    codes = materialize(string_codes(counted, depth), "codes")
+    positions = codes.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    frequent = F.col("m") * common_strings >= positions
+    # Held-out positions count too, so no string that is left to the join is hot.
+    top = codes.where(frequent).orderBy(F.desc("m"), "code").toArrow()
+    lookup = Lookup(top.column("code").to_numpy(), top.column("log").to_numpy())
     counts = materialize(word_counts(training), "words")
     ends = training.count()
     row = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -274,7 +443,7 @@ def score(docs: DataFrame, depth: int = DEPTH, share: int = SHARE) -> DataFrame:
     common = counts.where(F.col("c") * COMMON >= tokens).toArrow()
     known = dict(zip(common.column("word").to_pylist(), np.log10(common.column("c").to_numpy() + 1.0).tolist()))
     end_score = math.log10(ends + 1)
-    names = ["part", "nth", "doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "rare"]
+    names = ["part", "nth", "doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "rare", "strings"]
 
     def run(batches):
         part, at = TaskContext.get().partitionId(), 0
@@ -302,6 +471,8 @@ def score(docs: DataFrame, depth: int = DEPTH, share: int = SHARE) -> DataFrame:
             values = pa.StructArray.from_arrays(
                 [pa.array([w for w, _ in flat], pa.binary()), pa.array([k for _, k in flat], pa.int64())], fields=list(rare_type.value_type)
             )
+            sums, others, owner = score_strings(texts, lookup, depth)
+            string_offsets = np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.full(n, part, np.int32)),
@@ -311,8 +482,9 @@ def score(docs: DataFrame, depth: int = DEPTH, share: int = SHARE) -> DataFrame:
                     pa.array(tokens, pa.int64()),
                     pa.array(found, pa.int64()),
                     pa.array(logs, pa.float64()),
-                    pa.array(model.score(texts)),
+                    pa.array(sums),
                     pa.ListArray.from_arrays(pa.array(offsets), values),
+                    pa.ListArray.from_arrays(pa.array(string_offsets), pa.array(others)),
                 ],
                 names,
             )
@@ -321,23 +493,32 @@ def score(docs: DataFrame, depth: int = DEPTH, share: int = SHARE) -> DataFrame:
     scored = docs.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(
         run,
         f"part int, nth bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, logs double, "
-        "score double, rare array<struct<word: binary, times: bigint>>",
+        "score double, rare array<struct<word: binary, times: bigint>>, strings array<bigint>",
     )
     scored = materialize(scored, "scores")
-    rest = (
+    words = (
         scored.select("part", "nth", F.explode("rare").alias("rare"))
         .select("part", "nth", "rare.word", "rare.times")
         .join(counts, "word")
+        .select("part", "nth", "times", (F.col("times") * F.log10(F.col("c") + 1)).alias("logs"), F.lit(0.0).alias("log"))
+    )
+    others = (
+        scored.select("part", "nth", F.explode("strings").alias("code"))
+        .join(codes.where(~frequent).select("code", "log"), "code")
+        .select("part", "nth", F.lit(0).cast("bigint").alias("times"), F.lit(0.0).alias("logs"), "log")
+    )
+    rest = (
+        words.union(others)
         .groupBy("part", "nth")
-        .agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more_logs"))
+        .agg(F.sum("times").alias("more"), F.sum("logs").alias("more_logs"), F.sum("log").alias("more_score"))
     )
     base = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * math.log10(tokens + distinct + 1)
-    return scored.drop("rare").join(rest, ["part", "nth"], "left").select(
+    return scored.drop("rare", "strings").join(rest, ["part", "nth"], "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(tokens).cast("bigint").alias("train_tokens"),
         base.alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )
