@@ -291,6 +291,20 @@ def test_trust_equals_brute_force(spark):
         assert r["trust"] == pytest.approx(trust[r["host"]]) and r["distrust"] == pytest.approx(distrust[r["host"]])
 
 
+def test_trust_settles_on_long_chains_and_rings(spark):
+    # c0 is blocked, c1 links to c0 and so on; r0 is blocked in a ring of 13 that also gets trust.
+    names = [f"c{i}" for i in range(16)] + [f"r{i}" for i in range(13)]
+    pairs = [(f"c{i + 1}", f"c{i}") for i in range(15)] + [(f"r{i}", f"r{(i + 1) % 13}") for i in range(13)]
+    blocked, trusted = (np.array([float(n in kind) for n in names]) for kind in (("c0", "r0"), ("r5",)))
+    hosts = spark.createDataFrame([(n, int(t), int(b)) for n, t, b in zip(names, trusted, blocked)], "host string, trusted int, blocked int")
+    got = {r["host"]: r for r in url_filter.propagate(hosts, spark.createDataFrame([(a, b, 2) for a, b in pairs], "src string, dst string, n bigint")).collect()}
+    link = np.array([[float((a, b) in pairs) for b in names] for a in names])
+    want = {k: np.linalg.solve(np.eye(len(names)) - 0.85 * m, 0.15 * s) for k, m, s in (("trust", link.T, trusted), ("distrust", link, blocked))}
+    for k, values in want.items():
+        assert [got[n][k] for n in names] == pytest.approx(values.tolist(), abs=1e-7)
+    assert [n for n in names[:16] if got[n]["distrust"] >= url_filter.LEAST_DISTRUST] == names[:7]
+
+
 def test_url_filter_runs_no_python(spark):
     df = spark.createDataFrame([(1, "http://a.org/", "")], "page_id bigint, url string, html string")
     plan = url_filter.judge(df)._jdf.queryExecution().executedPlan().toString()

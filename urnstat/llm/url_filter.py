@@ -28,9 +28,15 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = "(?s)^.*?://([^/?#]*)([^?#]*)"
 #: The host of an absolute link inside markup.
 LINK = r"""(?i)href\s*=\s*["']?(?:https?:)?//([^/?#"'\s>]+)"""
-ROUNDS = 10
+#: Rounds stop where no host changes by more than ``SETTLED`` in ``STEP`` of them. What is left shrinks
+#: by ``DAMPING`` a round, so ``ROUNDS`` are enough for any graph; more is an error.
+ROUNDS = 400
+STEP = 5
+SETTLED = 1e-9
 DAMPING = 0.85
-#: Least distrust of a host that goes, where a blocked host starts with 1.
+#: Rounds that the oracle SQL writes out, from 1 on the seeds: exact only where hosts do not link to each other.
+ORACLE_ROUNDS = 10
+#: Least distrust of a host that goes; a blocked host that no other one distrusts has 1 - DAMPING.
 LEAST_DISTRUST = 0.05
 
 
@@ -82,33 +88,35 @@ def fitting(hosts: DataFrame, rules: DataFrame, labels: int) -> DataFrame:
 
 
 def propagate(hosts: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """``host, trust, distrust`` after so many rounds, from ``host, trusted, blocked`` (0 or 1)."""
+    """``host, trust, distrust`` once settled, from ``host, trusted, blocked`` (0 or 1)."""
+    start = hosts.select("host", *(((1 - damping) * F.col(c)).alias(v) for c, v in (("trusted", "trust"), ("blocked", "distrust"))))
+    if edges.isEmpty():
+        return start
     leaving = edges.groupBy("src").agg(F.sum("n").alias("all_out"))
     coming = edges.groupBy("dst").agg(F.sum("n").alias("all_in"))
     shared = edges.join(leaving, "src").join(coming, "dst")
-    shared = materialize(
-        shared.select("src", "dst", (F.col("n") / F.col("all_out")).alias("out"), (F.col("n") / F.col("all_in")).alias("in")), "links"
-    )
-    now = hosts.select("host", F.col("trusted").cast("double").alias("trust"), F.col("blocked").cast("double").alias("distrust"))
-    if shared.isEmpty():
-        return now.select("host", *(((1 - damping) * F.col(c)).alias(c) for c in ("trust", "distrust")))
-    for _ in range(rounds):
-        forward = shared.join(now, shared["src"] == now["host"]).where("trust > 0")
-        backward = shared.join(now, shared["dst"] == now["host"]).where("distrust > 0")
-        moved = (
-            forward.select(F.col("dst").alias("host"), (F.col("trust") * F.col("out")).alias("t"), F.lit(0.0).alias("d"))
-            .union(backward.select("src", F.lit(0.0), F.col("distrust") * F.col("in")))
-            .groupBy("host")
-            .agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
-        )
-        flow = lambda seed, got: (1 - damping) * F.col(seed) + damping * F.coalesce(got, F.lit(0.0))
-        now = materialize(
-            hosts.join(moved, "host", "left").select(
-                "host", flow("trusted", "t").alias("trust"), flow("blocked", "d").alias("distrust")
-            ),
-            "trust",
-        )
-    return now
+    way = lambda kind, a, b, n: F.struct(F.lit(kind).alias("kind"), F.col(a).alias("host"), F.col(b).alias("to"), (F.col("n") / F.col(n)).alias("share"))
+    # Trust goes to where a link points, distrust back to where it stands.
+    shared = materialize(shared.select(F.inline(F.array(way("trust", "src", "dst", "all_out"), way("distrust", "dst", "src", "all_in")))), "links")
+    seeds = start.select("host", F.inline(F.array(*(F.struct(F.lit(c).alias("kind"), F.col(c).alias("v")) for c in ("trust", "distrust")))))
+    seeds = materialize(seeds.where("v > 0").select("kind", "host", "v"), "seeds")
+    now, done = seeds, 0
+    while True:
+        later = now
+        for _ in range(STEP):
+            moved = shared.join(later, ["kind", "host"]).select("kind", F.col("to").alias("host"), (damping * F.col("share") * F.col("v")).alias("v"))
+            later = moved.union(seeds).groupBy("kind", "host").agg(F.sum("v").alias("v"))
+        later, done = materialize(later, "trust"), done + STEP
+        gone = now.select("kind", "host", F.col("v").alias("old"))
+        change = later.join(gone, ["kind", "host"], "left").agg(F.max(F.abs(F.col("v") - F.coalesce("old", F.lit(0.0))))).first()[0]
+        now = later
+        if (change or 0.0) <= SETTLED:
+            break
+        if done >= rounds:
+            raise RuntimeError(f"trust still changes by {change} after {done} rounds")
+    of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("v"))), F.lit(0.0)).alias(kind)
+    ranks = now.groupBy("host").agg(of("trust"), of("distrust"))
+    return hosts.select("host").join(ranks, "host", "left").na.fill(0.0, ["trust", "distrust"])
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, least: float = LEAST_DISTRUST) -> DataFrame:
@@ -153,7 +161,7 @@ r{i + 1} AS MATERIALIZED (
       SELECT dst AS host, r.trust * w.o AS t, 0.0::DOUBLE AS d FROM weights w JOIN r{i} r ON r.host = w.src
       UNION ALL SELECT src, 0.0::DOUBLE, r.distrust * w.i FROM weights w JOIN r{i} r ON r.host = w.dst) GROUP BY host
   ) m USING (host)),"""
-        for i in range(ROUNDS)
+        for i in range(ORACLE_ROUNDS)
     )
     lower = f"translate(coalesce({{}}, ''), '{UPPER}', '{LOWER}')"
     link = LINK.replace("'", "''")
@@ -183,4 +191,4 @@ best AS (
   QUALIFY row_number() OVER (PARTITION BY r ORDER BY length(rh) + length(rp) DESC, rv <> 'block', rh, rp) = 1)
 SELECT page_id, p.host, path, rule,
        coalesce(rv, CASE WHEN distrust >= {LEAST_DISTRUST} AND distrust > trust THEN 'block' ELSE 'allow' END) AS verdict
-FROM p LEFT JOIN best USING (r) LEFT JOIN r{ROUNDS} k ON k.host = p.host"""
+FROM p LEFT JOIN best USING (r) LEFT JOIN r{ORACLE_ROUNDS} k ON k.host = p.host"""
