@@ -581,6 +581,20 @@ def test_classifier_tells_held_out_rows(spark):
     assert {r["score"] for r in boosting.digest(docs, empty(marked)).collect()} == {0.5}
 
 
+def test_repeated_ids_leave_both_classes(spark):
+    rows, labels = quality_rows()
+    learnt = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
+    hot = [i for i in learnt if i % 4 == 0][1]  # of label 0
+    copies = [(hot, f"odd%%% text{i}%%% " * 9, "s", 1) for i in range(300)] + [rows[hot]] * 300
+    docs = spark.createDataFrame(rows + copies, "doc_id bigint, text string, held_out string, label bigint")
+    for extra in ([], [(hot, 0, 0)] * 500):
+        trees = boosting.train(docs, spark.createDataFrame(labels + extra, "doc_id bigint, quality int, toxic int"), rows=200)
+        assert len(trees.feature) == boosting.TREES
+        good = [i for i in learnt if i % 4]
+        scores = trees.score(np.array([boosting.statistics(rows[i][1]) for i in good]))
+        assert (scores >= boosting.THRESHOLD).mean() > 0.9
+
+
 def test_flat_trees_walk_like_a_loop():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 4))

@@ -1,8 +1,9 @@
 """Quality classifier: histogram gradient-boosted trees over document statistics.
 
-Statistics are computed where the texts are. Trees are grown from a bounded sample
-of labelled rows (at most ``SAMPLE_ROWS``, the smallest by a hash of the id), so
-training takes the same memory at any size of the corpus; scoring covers every row.
+Statistics are computed where the texts are. Trees are grown from a bounded sample of
+at most ``SAMPLE_ROWS`` labelled ids, the smallest by a hash of the id, and of at most as
+many different (id, statistics) of theirs, the smallest by a hash of both, so training
+takes the same memory at any size of the corpus; scoring covers every row.
 Trees are flattened into arrays and all rows of a batch walk a tree at once.
 
 Null and empty texts have all statistics 0 and a score like any other row. Labels
@@ -158,30 +159,33 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH) -
 
 
 def _measured(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """``label, x`` of labelled rows."""
+    """``label_id, label, x`` of labelled rows."""
+    kind = docs.schema["label_id"].dataType.simpleString()
 
     def run(batches):
         for batch in slices(batches):
             x = [statistics(t) for t in texts_of(batch, text_column)]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(x, pa.list_(pa.float64()))], ["label", "x"])
+            columns = [batch.column("label_id"), batch.column("label"), pa.array(x, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["label_id", "label", "x"])
 
-    return docs.select("label", text_column).mapInArrow(run, "label int, x array<double>")
+    return docs.select("label_id", "label", text_column).mapInArrow(run, f"label_id {kind}, label int, x array<double>")
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Trees:
     """Trees from the labelled documents whose id's remainder is not 0.
 
     The ``rows`` ids taken are a bounded top-k, so the hint to broadcast them and the
-    collected statistics are bounded too.
+    collected statistics are bounded too. Repeated labels and documents are one before
+    they are counted against the bound, and the bound does not look at the label.
     """
-    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    order = (F.xxhash64("label_id"), F.col("label_id"))
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (id_remainder("doc_id", HELD_OUT) != 0))
-    taken = usable.select("doc_id", F.col("quality").cast("int").alias("quality")).orderBy(*order).limit(rows)
-    sample = taken.groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("high"))
-    sample = sample.where(F.col("label") == F.col("high")).select(F.col("doc_id").alias("label_id"), "label")
+    quality = F.col("quality").cast("int")
+    sample = usable.groupBy(F.col("doc_id").alias("label_id")).agg(F.min(quality).alias("label"), F.max(quality).alias("high"))
+    sample = sample.where(F.col("label") == F.col("high")).select("label_id", "label").orderBy(*order).limit(rows)
     ids = docs["doc_id"] == sample["label_id"]
-    found = _measured(docs.select("doc_id", "text").join(F.broadcast(sample), ids)).orderBy("label", "x").limit(rows)
-    got = found.toArrow()
+    found = _measured(docs.select("doc_id", "text").join(F.broadcast(sample), ids)).groupBy("label_id", "x").agg(F.min("label").alias("label"))
+    got = found.orderBy(F.xxhash64("label_id", "x"), "label_id", "x").limit(rows).orderBy("label", "x").toArrow()
     x = np.array(got.column("x").to_pylist(), float).reshape(-1, len(STATISTICS))
     return grow(x, got.column("label").to_numpy().astype(float))
 
