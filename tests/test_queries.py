@@ -46,6 +46,13 @@ def test_forest_query_returns_rows(spark, sf_dir, name):
     assert contract.queries()[name](spark, sf_dir).count() > 0
 
 
+def test_registered_forests_grow_until_they_stop(spark, sf_dir):
+    models = queries._models(spark, sf_dir).models
+    deepest = [max(t.depth for t in m.trees) for m in models.values()]
+    # No slot is held at 5, nor does the greatest depth of MLlib cut these data.
+    assert all(5 < d < 30 for d in deepest)
+
+
 def test_entry(spark):
     assert contract.entry(spark).count() == 5
 

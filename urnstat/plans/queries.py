@@ -33,8 +33,9 @@ SLICE_START, SLICE_END = "1996-01-01", "1997-12-31"
 SPLIT_DAY = "2000-01-01"
 PLACES = 6
 WEIGHTED = 500
-# Trees of every slot, and how deep they grow; MLlib stops at 30, these data at about 5.
-FOREST = {"num_trees": 100, "max_depth": 5}
+# Trees of every slot. They grow until MLlib stops, at depth 30; bins tell all numbers of a game apart.
+# Deep forests fill the driver, so slots are fitted one after another.
+FOREST = {"num_trees": 100, "max_depth": 30, "max_bins": 64, "parallelism": 1}
 # A small game onto which numbers are folded, so that most of its sets are drawn.
 DENSE = GameSpec("dense", slots=3, high=12, bonus_high=20)
 NEW_ID_SHIFT = 1_000_000_000
