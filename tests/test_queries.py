@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as contract
 from tests import compare
-from urnstat.operators import filters, matching
+from urnstat.operators import filters, likelihood, matching
 from urnstat.plans import oracle, queries
 from urnstat.sources.tables import candidates, stored_draws
 
@@ -53,6 +53,21 @@ def test_registered_forests_grow_until_they_stop(spark, sf_dir):
     assert all(5 < d < 30 for d in deepest)
 
 
+def test_forest_scores_cover_every_series(spark, sf_dir):
+    got = contract.queries()["forest_scores"](spark, sf_dir).groupBy("series").count().collect()
+    want = stored_draws(spark, sf_dir).groupBy("series").count().collect()
+    assert len(want) > 1 and dict(map(tuple, got)) == dict(map(tuple, want))
+
+
+def test_each_series_is_scored_by_its_own_table(spark):
+    probs = spark.createDataFrame([(k, s, n, p * s) for k, p in (("a", 0.1), ("b", 0.02)) for s in range(1, 7) for n in range(1, 7)], "series string, slot int, number int, p double")
+    cands = spark.createDataFrame([(k, i, [1, 2, 3, 4, 5], 6) for i, k in enumerate("abc")], "series string, cand_id bigint, balls array<int>, bonus int")
+    got = {r["series"]: r["score"] for r in likelihood.score_combos(cands, probs, keys=("series",)).collect()}
+    assert got == {"a": 35.0, "b": 7.0, "c": 100 * likelihood.UNSEEN}
+    one = likelihood.score_combos(cands, probs.where("series = 'b'"))
+    assert {r["score"] for r in one.collect()} == {7.0}
+
+
 def test_entry(spark):
     assert contract.entry(spark).count() == 5
 

@@ -2,8 +2,7 @@
 
 Every operator takes ``probs(slot, number, p)``: at most one row per slot and
 number of the domain, whoever made it (relative frequencies or forests). Where one
-table holds several series, ``keys`` names what tells them apart; scoring takes the
-table of one of them.
+table holds several series, ``keys`` names what tells them apart.
 """
 
 from __future__ import annotations
@@ -17,6 +16,7 @@ from urnstat.functions import balls as B
 from urnstat.games import G5, GameSpec
 from urnstat.operators.features import explode_slots
 from urnstat.operators.frequency import fill_domain
+from urnstat.session import materialize
 
 # Fixed value: probability of a number the table does not know.
 UNSEEN = 0.01
@@ -42,14 +42,19 @@ def prob_grid(probs: DataFrame, spec: GameSpec = G5) -> Column:
     combination is a lookup by position and needs neither join nor shuffle.
     Unknown pairs are null. Put it in a column before using it in a lambda.
     """
+    return _grids(probs, spec).scalar()
+
+
+def _grids(probs: DataFrame, spec: GameSpec, keys: Sequence[str] = ()) -> DataFrame:
+    """One ``_grid`` of each series."""
     code = F.col("slot") * 1000 + F.col("number")
-    one = in_domain(probs, spec).agg(F.map_from_entries(F.collect_list(F.struct(code, "p"))).alias("_m"))
+    one = in_domain(probs, spec).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(code, "p"))).alias("_m"))
 
     def row(slot: int) -> Column:
         codes = F.sequence(F.lit(slot * 1000 + 1), F.lit(slot * 1000 + spec.domain_high(slot)))
         return F.transform(codes, lambda c: F.try_element_at("_m", c))
 
-    return one.select(F.array(*[row(s) for s in range(1, spec.bonus_slot + 1)])).scalar()
+    return one.select(*keys, F.array(*[row(s) for s in range(1, spec.bonus_slot + 1)]).alias("_grid"))
 
 
 def rank_slots(probs: DataFrame) -> DataFrame:
@@ -107,11 +112,20 @@ def pick_probs(grid: Column, balls: Column, bonus: Column, spec: GameSpec, defau
     return found if default is None else [F.coalesce(p, F.lit(default)) for p in found]
 
 
-def score_combos(cands: DataFrame, probs: DataFrame, spec: GameSpec = G5, places: int = 2, default: float = UNSEEN) -> DataFrame:
-    """Add ``score``: mean slot probability of mains and bonus, in percent."""
+def score_combos(
+    cands: DataFrame, probs: DataFrame, spec: GameSpec = G5, places: int = 2, default: float = UNSEEN, keys: Sequence[str] = ()
+) -> DataFrame:
+    """Add ``score``: mean slot probability of mains and bonus, in percent.
+
+    With ``keys`` every candidate meets the table of its own series, one small row each.
+    """
     found = pick_probs(F.col("_grid"), F.col("balls"), F.col("bonus"), spec, default)
     score = B.total(found) / F.lit(spec.slots + 1) * 100
-    return cands.withColumn("_grid", prob_grid(probs, spec)).withColumn("score", F.round(score, places)).drop("_grid")
+    if keys:
+        met = cands.join(materialize(_grids(probs, spec, keys), "grids"), [*keys], "left")
+    else:
+        met = cands.withColumn("_grid", prob_grid(probs, spec))
+    return met.withColumn("score", F.round(score, places)).drop("_grid")
 
 
 def compare_scores(scored: DataFrame, reference: DataFrame) -> DataFrame:

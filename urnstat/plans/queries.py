@@ -618,17 +618,18 @@ def forest_predict_check(spark, sf_dir):
 
 @query("forest_scores")
 def forest_scores(spark, sf_dir):
-    """Candidates of the first series by its own probabilities, and their profile's sum."""
-    rows = _model_table(spark, sf_dir)
-    first = rows.agg(F.min("series")).scalar()
-    probs = _forest_probs(spark, sf_dir).where(F.col("series") == first)
-    cands = T.candidates(rows.where(F.col("series") == first))
-    return combo(L.score_combos(cands, probs.drop("series"), places=PLACES), "cand_id", last=("score",))
+    """Candidates of every series by its own probabilities."""
+    cands = T.candidates(_model_table(spark, sf_dir), keys=("series",))
+    scored = L.score_combos(cands, _forest_probs(spark, sf_dir), places=PLACES, keys=("series",))
+    return combo(scored, "series", "cand_id", last=("score",))
 
 
 @query("forest_scores_check")
 def forest_scores_check(spark, sf_dir):
-    return forest_scores(spark, sf_dir).select("cand_id", F.col("score").between(0, 100).alias("in_range"))
+    """Only the first series, as far as the oracle SQL goes; ``forest_scores`` has all."""
+    first = _model_table(spark, sf_dir).agg(F.min("series")).scalar()
+    found = forest_scores(spark, sf_dir).where(F.col("series") == first)
+    return found.select("cand_id", F.col("score").between(0, 100).alias("in_range"))
 
 
 @query("forest_full")

@@ -131,10 +131,11 @@ def date_texts(draws_df: DataFrame) -> DataFrame:
     )
 
 
-def candidates(draws_df: DataFrame, spec: GameSpec = G5) -> DataFrame:
+def candidates(draws_df: DataFrame, spec: GameSpec = G5, keys: tuple[str, ...] = ()) -> DataFrame:
     """Combinations to check: half are drawn ones, half have every ball moved up."""
     moved = F.sort_array(F.transform("balls", lambda b: b % spec.high + 1))
     return draws_df.select(
+        *keys,
         F.col("draw_id").alias("cand_id"),
         F.when(F.col("draw_id") % 2 == 0, F.col("balls")).otherwise(moved).alias("balls"),
         "bonus",
