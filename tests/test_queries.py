@@ -68,6 +68,16 @@ def test_each_series_is_scored_by_its_own_table(spark):
     assert {r["score"] for r in one.collect()} == {7.0}
 
 
+def test_changed_inputs_are_read_again(spark, sf_dir, tmp_path):
+    for name in ("orders", "lineitem"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    count = lambda: (stored_draws(spark, str(tmp_path)).count(), queries._model_table(spark, str(tmp_path)).count())
+    before = count()
+    spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 2 = 0").write.mode("overwrite").parquet(f"{tmp_path}/orders.parquet")
+    after = count()
+    assert before[0] == before[1] and after[0] == after[1] and 0 < after[0] < before[0]
+
+
 def test_entry(spark):
     assert contract.entry(spark).count() == 5
 

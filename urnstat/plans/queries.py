@@ -543,8 +543,8 @@ _KEPT: dict[tuple, object] = {}
 
 
 def _once(spark, sf_dir, name: str, make):
-    """Made once per session and folder: forests serve several queries."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """Made once per session and state of the input files: forests serve several queries."""
+    key = (spark.sparkContext.applicationId, sf_dir, T.input_state(spark, sf_dir), name)
     if key not in _KEPT:
         _KEPT[key] = make()
     return _KEPT[key]

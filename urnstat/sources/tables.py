@@ -63,13 +63,23 @@ STORED_SCHEMA = "series string, draw_id bigint, draw_date date, balls array<int>
 _STORED: dict[tuple, str] = {}
 
 
+def input_state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of the files below the two input tables, listed on the driver."""
+    out = []
+    for name in ("orders", "lineitem"):
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        for f in place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place):
+            out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
 def stored_draws(spark: SparkSession, sf_dir: str, spec: GameSpec = G5) -> DataFrame:
-    """``draws`` written once per session, game and folder of input tables.
+    """``draws`` written once per session, game and state of the input files.
 
     A history is built once and read often, so queries scan the stored table:
     filters and columns then reach the parquet reader.
     """
-    key = (spark.sparkContext.applicationId, sf_dir, spec.name)
+    key = (spark.sparkContext.applicationId, sf_dir, input_state(spark, sf_dir), spec.name)
     reader = spark.read.schema(STORED_SCHEMA)
     if key in _STORED:
         try:
