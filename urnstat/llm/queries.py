@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from urnstat.llm import boosting, byte_bpe, context_tree, embeddings, main_text, packing, quality, simhash, url_filter, warc
+from urnstat.llm import boosting, byte_bpe, chat_tree, context_tree, embeddings, main_text, packing, quality, simhash, url_filter, warc
 from urnstat.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_tree.digest(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_main_text": op2_main_text,
@@ -61,10 +65,12 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_warc": op9_warc,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_chat_tree": op11_chat_tree,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality.oracle_sql(),
     "op4_url_filter": url_filter.oracle_sql(),
     "op7_embeddings": embeddings.oracle_sql(),
     "op9_warc": warc.oracle_sql(),
+    "op11_chat_tree": chat_tree.oracle_sql(),
 }
