@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from urnstat.llm import boosting, byte_bpe, chat_tree, context_tree, embeddings, main_text, packing, quality, simhash, url_filter, warc
+from urnstat.llm import boosting, byte_bpe, chat_tree, context_tree, embeddings, main_text, packing, prefix_trie, quality, simhash, url_filter, warc
 from urnstat.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op11_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_tree.digest(table(spark, sf_dir, "conversations"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_main_text": op2_main_text,
@@ -66,6 +70,7 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_chat_tree": op11_chat_tree,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality.oracle_sql(),
@@ -73,4 +78,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_embeddings": embeddings.oracle_sql(),
     "op9_warc": warc.oracle_sql(),
     "op11_chat_tree": chat_tree.oracle_sql(),
+    "op13_prefix_trie": prefix_trie.oracle_sql(),
 }
