@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from urnstat.llm import boosting, byte_bpe, chat_tree, context_tree, embeddings, main_text, packing, prefix_trie, quality, simhash, url_filter, warc
+from urnstat.llm import boosting, byte_bpe, chat_tree, context_tree, embeddings, main_text, packing, prefix_trie, quality, repair, simhash, url_filter, warc
 from urnstat.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op11_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_tree.digest(table(spark, sf_dir, "conversations"))
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.damaged_digests(table(spark, sf_dir, "conversations"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
 
@@ -70,6 +74,7 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_chat_tree": op11_chat_tree,
+    "op12_repair": op12_repair,
     "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLE_SQL: dict[str, str] = {
