@@ -32,6 +32,7 @@ import os.path
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -224,7 +225,7 @@ PIECES = pa.schema(
 )
 
 
-def _written(batches):
+def _written(batches, piece_bytes: int):
     """Rows of runs from turns; a conversation that adds one begins with a row of its place."""
 
     def rows():
@@ -236,13 +237,13 @@ def _written(batches):
                     yield piece.row(place)
                 now, place, nth, piece = (conv,), None, 0, None
             if kind == 0:
-                place = (shared, run, before, branches, size <= PIECE)
+                place = (shared, run, before, branches, size <= piece_bytes)
                 piece = _Piece(run, position)
             elif place:
                 nth += 1
                 if nth <= place[0]:
                     continue
-                if not place[4] and piece.size >= PIECE:
+                if not place[4] and piece.size >= piece_bytes:
                     yield piece.row(place)
                     piece = _Piece(piece.start + piece.size, piece.position + piece.size)
                 piece.add(role, formatted.encode())
@@ -272,11 +273,16 @@ class _Piece:
 
 @dataclass
 class ChatTree:
-    """``runs``: the stream of tokens; ``members``: for each conversation its last run and what that attends."""
+    """``runs``: the stream of tokens; ``members``: for each conversation its last run and what that attends.
+
+    A member's tokens are the intervals ``before`` and then ``run`` to ``end``; a
+    conversation that ends where others go on has a run of its own all the same.
+    """
 
     runs: DataFrame
     places: DataFrame
     sequences: DataFrame
+    piece_bytes: int
 
     @property
     def members(self) -> DataFrame:
@@ -284,7 +290,7 @@ class ChatTree:
         return self.sequences.select("conv_id", "kid").join(own, "kid").drop("kid")
 
 
-def format_tree(convs: DataFrame) -> ChatTree:
+def format_tree(convs: DataFrame, piece_bytes: int = PIECE) -> ChatTree:
     """All conversations as one stream of tokens that holds shared turns once."""
     turns = _turns(convs)
     item = F.struct("turn", "hash", F.octet_length("formatted").cast("bigint").alias("size"))
@@ -297,10 +303,10 @@ def format_tree(convs: DataFrame) -> ChatTree:
     rows = turns.withColumn("kind", F.lit(1)).unionByName(heads, allowMissingColumns=True)
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "kind", "turn", "hash")
     runs = rows.mapInArrow(
-        _written,
+        partial(_written, piece_bytes=piece_bytes),
         f"run bigint, start bigint, position bigint, tokens binary, loss {SPANS}, attends {SPANS}, branches boolean, whole boolean",
     )
-    return ChatTree(materialize(runs, "runs"), places, sequences)
+    return ChatTree(materialize(runs, "runs"), places, sequences, piece_bytes)
 
 
 # ---- reading back ----------------------------------------------------------
@@ -349,7 +355,7 @@ def read_back(tree: ChatTree) -> DataFrame:
     alone = F.col("whole") & (F.size("attends") == 0)
     simple = tree.runs.where(alone).select(F.col("run").alias("path"), "start", "tokens", "loss")
     own = F.array(F.struct(F.col("run").alias("start"), F.expr("run + size").alias("end")))
-    paths = tree.places.where((F.size("before") > 0) | (F.col("size") > PIECE))
+    paths = tree.places.where((F.size("before") > 0) | (F.col("size") > tree.piece_bytes))
     paths = paths.select(F.col("run").alias("path"), F.inline(F.concat("before", own)).alias("run", "stop"))
     shared = tree.runs.where(~alone | F.col("branches")).select("run", "start", "position", "tokens", "loss")
     pieces = paths.join(shared, "run").where(F.col("start") < F.col("stop"))
