@@ -1,12 +1,15 @@
 """Forests, ingest and streams."""
 
+import hashlib
+import itertools
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests import brute
-from urnstat.operators import combos, forest, order, quality
+from urnstat.operators import combos, forest, order, quality, trees
 from urnstat.operators import frequency as freq
 from urnstat.operators import likelihood as L
 from urnstat.plans import pipeline
@@ -30,8 +33,8 @@ def models(calculated):
     return forest.fit_slots(calculated, **SMALL)
 
 
-def test_one_forest_per_slot(spark, models):
-    rows = forest.fit_summary(models, spark).collect()
+def test_one_forest_per_slot(models):
+    rows = forest.fit_summary(models).orderBy("slot").collect()
     assert [r.slot for r in rows] == [1, 2, 3, 4, 5, 6]
     assert {(r.features, r.trees) for r in rows} == {(14, 3)}
     assert all(r.classes <= 51 for r in rows) and rows[-1].classes <= 21
@@ -76,6 +79,95 @@ def test_same_seed_same_forest(models, calculated):
     assert key(models) == key(again)
 
 
+def test_kept_forests_score_alike(spark, models, calculated, tmp_path):
+    forest.save(models, str(tmp_path))
+    row = order.scoring_row(calculated)
+    key = lambda m: sorted((r.slot, r.number, r.p) for r in forest.forest_probs(m, row).collect())
+    assert key(forest.load(spark, str(tmp_path))) == key(models)
+
+
+def test_scoring_in_many_passes(models, calculated, monkeypatch):
+    key = lambda: sorted((r.slot, r.number, round(r.p, 9)) for r in forest.forest_probs(models, order.scoring_row(calculated)).collect())
+    whole = key()
+    monkeypatch.setattr(forest, "PASS_BYTES", 1)  # a tree at a time
+    assert key() == whole
+
+
+def _weights(rows, trees=3, rate=1.0):
+    """A row's weights in plain Python: the number of steps of the Poisson distribution below its draw."""
+    steps = list(itertools.accumulate(math.exp(-rate) * rate**k / math.factorial(k) for k in range(forest.MOST_WEIGHT)))
+    out = {}
+    for i in rows:
+        draws = "".join(hashlib.md5(f"42:{i}:{n}".encode()).hexdigest() for n in range((trees + 3) // 4))
+        us = [(int(draws[8 * t : 8 * t + 8], 16) + 0.5) / 2**32 for t in range(trees)]
+        out[i] = [sum(u >= s for s in steps) for u in us]
+    return out
+
+
+@pytest.mark.parametrize("trees, rate", [(3, 1.0), (9, 0.2)])
+def test_bootstrap_weights(calculated, trees, rate):
+    found = calculated.select("draw_id", forest.bootstrap_weights(trees, rate).alias("w")).collect()
+    assert {r.draw_id: r.w for r in found} == _weights([r.draw_id for r in found], trees, rate)
+
+
+def test_out_of_bag_votes_by_hand(models, calculated):
+    train = forest.train_split(calculated).where("is_train")
+    rows = train.collect()
+    unseen = {i: [t for t, n in enumerate(w) if n == 0] for i, w in _weights([r.draw_id for r in rows]).items()}
+    grown = {(r.slot, r.tree): trees.Tree.unpacked([r[p] for p in forest.PARTS]) for r in models.trees.collect()}
+    right = 0
+    for r in rows:
+        total = np.zeros(models.classes[1])
+        for t in unseen[r.draw_id]:
+            tree, at = grown[1, t], 0
+            while tree.feature[at] >= 0:
+                at = tree.left[at] + (float(r[models.features[tree.feature[at]]]) > tree.threshold[at])
+            for k in range(tree.left[at], tree.left[at] + tree.size[at]):
+                total[tree.label[k]] += tree.share[k] / len(unseen[r.draw_id])
+        right += bool(unseen[r.draw_id]) and int(total.argmax()) == r.balls[0]
+    voted = sum(map(bool, unseen.values()))
+    found = {r.slot: r for r in forest.evaluate(models, train, out_of_bag=True).collect()}
+    assert found[1].rows == len(rows) and found[1].unvoted == len(rows) - voted > 0
+    assert math.isclose(found[1].voters, sum(map(len, unseen.values())) / len(rows))
+    assert abs(found[1].accuracy * voted - right) < 1e-6
+
+
+def test_a_tree_is_right_about_all_it_saw():
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 20, (400, 4)).astype(float)
+    y, w = rng.integers(1, 9, 400), rng.integers(1, 4, 400)
+    x[:50], x[50:60] = x[100:150], x[0]  # rows that no input tells apart
+    tree, depth = trees.grow(x, y, w, 9, 2, rng)
+    found = trees.votes(trees.grove([tree, tree], 9), x) / 2
+    for i in range(400):
+        same = (x == x[i]).all(1)
+        share = np.bincount(y[same], w[same], 9) / w[same].sum()
+        assert np.allclose(found[i], share, atol=1e-6)
+    assert trees.grow(x, y, w, 9, 2, rng, max_depth=2)[1] == 2 < depth
+
+
+def test_best_cut_equals_trying_all():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        n = int(rng.integers(2, 30))
+        x, y, w = rng.integers(0, 6, (n, 1)).astype(float), rng.integers(0, 3, n), rng.integers(1, 4, n)
+        tree, depth = trees.grow(x, y, w, 3, 1, rng, max_depth=1)
+        value = lambda part: (np.bincount(y[part], w[part], 3) ** 2).sum() / w[part].sum()
+        cuts = {c: value(x[:, 0] <= c) + value(x[:, 0] > c) for c in np.unique(x)[:-1]}
+        if depth and cuts:
+            below = max(c for c in cuts if c <= tree.threshold[0])
+            assert math.isclose(cuts[below], max(cuts.values()))
+        else:
+            assert not cuts or len(np.unique(y)) == 1
+
+
+def test_longer_histories_are_sampled(calculated):
+    small = forest.fit_slots(calculated, num_trees=20, sample_rows=60)
+    whole = forest.fit_slots(calculated, num_trees=20)
+    nodes = lambda m: m.trees.where("slot = 1").agg(F.avg("nodes")).first()[0]
+    assert small.rate < 0.3 and whole.rate == 1.0 and nodes(small) < 0.6 * nodes(whole)
+
+
 def test_split_is_stable_and_near_its_ratio(calculated):
     split = forest.train_split(calculated)
     ids = {r.draw_id for r in split.where("is_train").collect()}

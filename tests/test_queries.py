@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as contract
 from tests import compare
-from urnstat.operators import filters, likelihood, matching
+from urnstat.operators import filters, forest, likelihood, matching
 from urnstat.plans import oracle, queries
 from urnstat.sources.tables import candidates, stored_draws
 
@@ -17,7 +17,8 @@ CHECKED = {
     "forest_likelihood": "forest_likelihood_check",
     "forest_predict": "forest_predict_check",
     "forest_scores": "forest_scores_check",
-    "holdout_accuracy": "holdout_check",
+    "holdout_accuracy": "holdout_facts",
+    "oob_accuracy": "oob_facts",
     "score_hypothetical": "score_hypothetical_check",
 }
 NO_ORACLE = set(CHECKED)
@@ -47,10 +48,8 @@ def test_forest_query_returns_rows(spark, sf_dir, name):
 
 
 def test_registered_forests_grow_until_they_stop(spark, sf_dir):
-    models = queries._models(spark, sf_dir).models
-    deepest = [max(t.depth for t in m.trees) for m in models.values()]
-    # No slot is held at 5, nor does the greatest depth of MLlib cut these data.
-    assert all(5 < d < 30 for d in deepest)
+    grown = forest.fit_summary(queries._models(spark, sf_dir)).collect()
+    assert len(grown) == 6 and all(r["depth"] > 8 for r in grown)
 
 
 def test_forest_scores_cover_every_series(spark, sf_dir):

@@ -403,6 +403,8 @@ def oracle_sql() -> dict[str, str]:
     keys = "series, draw_id"
     iso = ISO.format("draw_date") + " AS draw_date"
     main_cells = "slot <= 5"
+    tree = "CAST(draw_id AS VARCHAR) || ':' || CAST(t.range // 4 AS VARCHAR)"
+    tree_draw = f"((CAST('0x' || substr(md5('{SEED}:' || {tree}), CAST(8 * (t.range % 4) + 1 AS INT), 8) AS BIGINT) + 0.5) / 4294967296.0)"
     likelihood = f"SELECT number, SUM(p) / {{k}} * 100 AS likelihood FROM probs WHERE slot <= {{k}} GROUP BY 1"
     out = {
         "clean_g5": sql(f"SELECT {keys}, draw_date_raw, {', '.join(f't[{i}] AS n{i}' for i in range(1, 7))}, jackpot, outcome FROM clean", RAW),
@@ -602,6 +604,23 @@ def oracle_sql() -> dict[str, str]:
         "forest_full": sql(f"SELECT {REPORT.format(label='Full Dataset', trees=100)} FROM draws"),
         "forest_fit_summary": sql(fitted(14), cells(keep=TRAINING)),
         "forest_fit_summary_g6": sql(fitted(13), cells(G6, keep=TRAINING), spec=G6),
+        "forest_saved": sql(fitted(14), cells(keep=TRAINING)),
+        "holdout_facts": sql(
+            f"SELECT slot, (SELECT COUNT(*) FROM draws WHERE NOT {TRAINING}) AS rows, MAX(n) AS commonest, TRUE AS better "
+            "FROM (SELECT slot, number, COUNT(*) AS n FROM cells WHERE slot <= 5 GROUP BY 1, 2) GROUP BY 1",
+            cells(keep=f"NOT {TRAINING}"),
+        ),
+        "untrained_facts": sql(
+            "SELECT slot, MAX(number) - COUNT(DISTINCT number) AS numbers, 0::DOUBLE AS p FROM cells GROUP BY 1", cells(keep=TRAINING)
+        ),
+        "first_slot_facts": sql(f"SELECT COUNT(*) AS rows, TRUE AS most_are_min FROM draws WHERE NOT {TRAINING}"),
+        "oob_facts": sql(
+            f"""SELECT CAST(slots.range AS INT) AS slot, COUNT(*) AS rows, COUNT(*) FILTER (voters = 0) AS unvoted,
+       ROUND(AVG(voters), 6) AS voters, TRUE AS near_holdout
+FROM (SELECT draw_id, COUNT(*) FILTER ({tree_draw} < exp(-1.0)) AS voters
+      FROM draws CROSS JOIN range({Q.FOREST["num_trees"]}) t WHERE {TRAINING} GROUP BY 1) CROSS JOIN range(1, 7) slots
+GROUP BY 1"""
+        ),
         "forest_probs_check": sql(
             "SELECT series, slot, numbers, 1.0::DOUBLE AS total FROM (SELECT DISTINCT series FROM draws), "
             "(SELECT slot, CAST(MAX(number) AS BIGINT) AS numbers FROM cells GROUP BY slot)",
@@ -610,7 +629,7 @@ def oracle_sql() -> dict[str, str]:
         "forest_likelihood_check": sql("SELECT DISTINCT series, 50::BIGINT AS numbers, TRUE AS adds_to_100 FROM draws"),
         "forest_predict_check": sql("SELECT DISTINCT series, TRUE AS legal, FALSE AS drawn FROM draws"),
         "forest_scores_check": sql(
-            "SELECT draw_id AS cand_id, TRUE AS in_range FROM draws WHERE series = (SELECT MIN(series) FROM draws)"
+            "SELECT series, draw_id AS cand_id, TRUE AS in_range FROM draws"
         ),
         "holdout_check": sql(
             f"SELECT CAST(range AS INT) AS slot, (SELECT COUNT(*) FROM draws WHERE NOT {TRAINING}) AS rows, TRUE AS in_range FROM range(1, 7)"

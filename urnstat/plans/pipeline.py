@@ -70,15 +70,14 @@ def take_slice(df: DataFrame, part: DateRange | Recent | None) -> DataFrame:
 def training_report(df: DataFrame, part: DateRange | Recent | None, models: forest.SlotModels) -> DataFrame:
     """Draws and date span of a training slice and what was fitted on it, one row."""
     label = "Full Dataset" if part is None else part.label
-    trees = {m.getNumTrees for m in models.models.values()}
     return take_slice(df, part).agg(
         F.lit(label).alias("model"),
         F.count("*").alias("draws"),
         F.min("draw_date").alias("first_date"),
         F.max("draw_date").alias("last_date"),
         F.lit(len(models.features)).alias("features"),
-        F.lit(len(models.models)).alias("targets"),
-        F.lit(min(trees)).alias("trees"),
+        F.lit(len(models.slots)).alias("targets"),
+        F.lit(models.num_trees).alias("trees"),
     )
 
 

@@ -33,9 +33,8 @@ SLICE_START, SLICE_END = "1996-01-01", "1997-12-31"
 SPLIT_DAY = "2000-01-01"
 PLACES = 6
 WEIGHTED = 500
-# Trees of every slot. They grow until MLlib stops, at depth 30; bins tell all numbers of a game apart.
-# Deep forests fill the driver, so slots are fitted one after another.
-FOREST = {"num_trees": 100, "max_depth": 30, "max_bins": 64, "parallelism": 1}
+# Trees of every slot; they grow until their leaves are pure.
+FOREST = {"num_trees": 100}
 # A small game onto which numbers are folded, so that most of its sets are drawn.
 DENSE = GameSpec("dense", slots=3, high=12, bonus_high=20)
 NEW_ID_SHIFT = 1_000_000_000
@@ -565,7 +564,15 @@ def _models(spark, sf_dir, spec=G5, kind=14):
 @query("forest_fit_summary")
 @query("forest_fit_summary_g6", spec=G6, kind=13)
 def forest_fit_summary(spark, sf_dir, spec=G5, kind=14):
-    return forest.fit_summary(_models(spark, sf_dir, spec, kind), spark)
+    return forest.fit_summary(_models(spark, sf_dir, spec, kind)).select("slot", "classes", "features", "trees")
+
+
+@query("forest_saved")
+def forest_saved(spark, sf_dir):
+    """Forests written and loaded again, as another session would."""
+    path = scratch_path(spark, "forest")
+    forest.save(_models(spark, sf_dir), path)
+    return forest.fit_summary(forest.load(spark, path)).select("slot", "classes", "features", "trees")
 
 
 def _forest_probs(spark, sf_dir):
@@ -626,10 +633,7 @@ def forest_scores(spark, sf_dir):
 
 @query("forest_scores_check")
 def forest_scores_check(spark, sf_dir):
-    """Only the first series, as far as the oracle SQL goes; ``forest_scores`` has all."""
-    first = _model_table(spark, sf_dir).agg(F.min("series")).scalar()
-    found = forest_scores(spark, sf_dir).where(F.col("series") == first)
-    return found.select("cand_id", F.col("score").between(0, 100).alias("in_range"))
+    return forest_scores(spark, sf_dir).select("series", "cand_id", F.col("score").between(0, 100).alias("in_range"))
 
 
 @query("forest_full")
@@ -639,10 +643,13 @@ def forest_full(spark, sf_dir):
     return report.select("model", "draws", iso("first_date"), iso("last_date"), "features", "targets", "trees")
 
 
+def _held_out(spark, sf_dir):
+    return forest.train_split(_model_table(spark, sf_dir)).where(~F.col("is_train"))
+
+
 @query("holdout_accuracy")
 def holdout_accuracy(spark, sf_dir):
-    rows = forest.train_split(_model_table(spark, sf_dir))
-    return forest.evaluate(_models(spark, sf_dir), rows.where(~F.col("is_train")))
+    return _once(spark, sf_dir, "holdout", lambda: materialize(forest.evaluate(_models(spark, sf_dir), _held_out(spark, sf_dir)), "holdout"))
 
 
 @query("holdout_check")
@@ -651,6 +658,53 @@ def holdout_check(spark, sf_dir):
     return found.select("slot", "rows", F.col("accuracy").between(0, 1).alias("in_range"))
 
 
+@query("holdout_facts")
+def holdout_facts(spark, sf_dir):
+    """Held-out draws with the commonest number of each main slot, and whether its forest is
+    right more often. The bonus follows from no input, so its forest need not be."""
+    cells = F.array(*B.slots(F.col("balls"), G5))
+    counts = _held_out(spark, sf_dir).select(F.posexplode(cells).alias("_at", "number")).groupBy("_at", "number").count()
+    most = counts.groupBy((F.col("_at") + 1).alias("slot")).agg(F.max("count").alias("commonest"))
+    better = F.col("accuracy") * F.col("rows") > F.col("commonest")
+    return holdout_accuracy(spark, sf_dir).join(most, "slot").select("slot", "rows", "commonest", better.alias("better"))
+
+
+@query("untrained_facts")
+def untrained_facts(spark, sf_dir):
+    """Numbers below the greatest trained one that a slot never had, and their probability in all series."""
+    rows = forest.train_split(_model_table(spark, sf_dir)).where("is_train")
+    cells = F.array(*B.slots(F.col("balls"), G5), F.col("bonus"))
+    trained = rows.select(F.posexplode(cells).alias("_at", "number")).select((F.col("_at") + 1).alias("slot"), "number").distinct()
+    probs = _forest_probs(spark, sf_dir).groupBy("slot", "number").agg(F.max("p").alias("p"))
+    rest = probs.join(trained, ["slot", "number"], "left_anti").groupBy("slot").agg(F.count("*").alias("numbers"), F.max("p").alias("p"))
+    slots = trained.select("slot").distinct().join(rest, "slot", "left")
+    return slots.select("slot", F.coalesce("numbers", F.lit(0)).alias("numbers"), F.coalesce("p", F.lit(0.0)).alias("p"))
+
+
+@query("first_slot_facts")
+def first_slot_facts(spark, sf_dir):
+    """The first number is the input ``min``: whether most predictions of slot 1 are that number."""
+    held = _held_out(spark, sf_dir)
+    found = forest.scored(_models(spark, sf_dir), held, lambda slot, probs: forest.likeliest(probs), slots=[1])
+    return found.agg(F.count("*").alias("rows"), (F.avg((F.col("_s1") == F.col("min")).cast("int")) > 0.5).alias("most_are_min"))
+
+
+@query("oob_accuracy")
+def oob_accuracy(spark, sf_dir):
+    """Each training draw judged by the trees that never saw it."""
+    rows = forest.train_split(_model_table(spark, sf_dir)).where("is_train")
+    return _once(spark, sf_dir, "oob", lambda: materialize(forest.evaluate(_models(spark, sf_dir), rows, out_of_bag=True), "oob"))
+
+
+@query("oob_facts")
+def oob_facts(spark, sf_dir):
+    """Draws, how many every tree saw, the mean number of judging trees, and whether the
+    accuracy is that of held-out draws but for noise."""
+    held = holdout_accuracy(spark, sf_dir).select("slot", F.col("rows").alias("_n"), F.col("accuracy").alias("_held"))
+    near = F.abs(F.col("accuracy") - F.col("_held")) < 0.05 + 2 / F.sqrt("_n")
+    return oob_accuracy(spark, sf_dir).join(held, "slot").select("slot", "rows", "unvoted", r6("voters"), near.alias("near_holdout"))
+
+
 @query("score_hypothetical")
 def score_hypothetical(spark, sf_dir):
     rows = _model_table(spark, sf_dir)
