@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from urnstat.operators import frequency as freq
 from urnstat.operators import likelihood as L
 from urnstat.operators.features import row_features
 from urnstat.plans import pipeline
-from urnstat.sources import raw, store
+from urnstat.sources import raw, records, store
 
 G5_TEXT = '''Draw Date,Results,Jackpot,Outcome
 "Friday
@@ -149,3 +150,35 @@ def test_union_takes_columns_by_name(spark):
 def test_likelihood_columns(spark):
     probs = L.empirical_probs(sample(spark))
     assert probs.columns == ["slot", "number", "p"]
+
+
+def _quoted(rng, text):
+    return '"' + text.replace('"', '""') + '"' if rng.random() < 0.8 or set(text) & set('",\n\r') else text
+
+
+def test_byte_ranges_read_what_one_task_reads(spark, tmp_path, monkeypatch):
+    """Borders fall on quotes, inside fields, between lines and on line ends of both kinds."""
+    rng = random.Random(7)
+    for n in range(2):
+        with open(tmp_path / f"{n}.csv", "w", newline="") as out:
+            for _ in range(40):
+                cells = ["".join(rng.choices(['a', '"', '""', "\n", "\r\n", ",", "é", " "], k=rng.randrange(1, 9))) for _ in range(4)]
+                out.write(",".join(_quoted(rng, c) for c in cells) + ["\n", "\r\n"][n])
+    # One task writes line ends inside fields as the file's first one tells; ranges leave them alone.
+    shown = lambda df: sorted(repr(r).replace("\\r\\n", "\\n") for r in df.collect())
+    names = raw.RAW_G6.names
+    options = {"multiLine": True, "quote": '"', "escape": '"', "header": True}
+    want = shown(spark.read.schema(raw.RAW_G6).options(**options).csv(str(tmp_path)))
+    key = "spark.sql.files.maxPartitionBytes"
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        for most in (records.MOST_RANGES, 0):  # parities sent along, or met in a shuffle
+            monkeypatch.setattr(records, "MOST_RANGES", most)
+            for size in (23, 64, 171, 100_000):
+                spark.conf.set(key, str(size))
+                got = raw._read(spark, str(tmp_path), raw.RAW_G6, header=True).select(*names)
+                assert shown(got) == want
+                assert size > 1000 or got.rdd.getNumPartitions() > 1
+    finally:
+        spark.conf.unset(key)
+        spark.conf.unset("spark.sql.files.openCostInBytes")

@@ -646,6 +646,13 @@ GROUP BY 1"""
         "read_raw_g6": sql(
             "SELECT year, COUNT(*) AS draws, CAST(SUM(CAST(t[1] AS INT)) AS BIGINT) AS numbers FROM clean GROUP BY 1", RAW6, spec=G6
         ),
+        "clean_file": sql(
+            f"SELECT series, draw_id, {iso}, {wide()}, bonus, balls[1] AS csv_b1, bonus AS csv_bonus, outcome FROM draws"
+        ),
+        "required_columns": sql(
+            "SELECT COUNT(*) AS draws, features, features AS missing, TRUE AS refused "
+            "FROM draws CROSS JOIN (SELECT UNNEST([12, 13, 14])::INT AS features) GROUP BY features"
+        ),
         "frequency_file": sql(f"SELECT number AS \"Number\", frequency AS \"Frequency\" FROM ({counted()})", cells()),
         "ingest_result": sql(SUMMARY, NEW, merged("TRUE", "TRUE"), seq("merged"), look()),
         "ingest_tail": sql(SUMMARY, NEW, merged(*SPLIT), seq("merged"), look()),
@@ -715,5 +722,6 @@ GROUP BY 1"""
             seq(),
             look(),
         )
+    out["calculated_file"] = out["calculated_draws"]
     out["prediction_file"] = f"SELECT number, likelihood, '2025-04-26' AS run_date FROM ({out['number_likelihood']})"
     return out

@@ -887,6 +887,45 @@ def read_raw_g6(spark, sf_dir):
     return raw.read_raw_g6(spark, path).groupBy("year").agg(F.count("*").alias("draws"), F.sum(first).alias("numbers"))
 
 
+@query("clean_file")
+def clean_file(spark, sf_dir):
+    """Clean draws stored by series, and as CSV with a column per slot, both read back."""
+    draws = T.stored_draws(spark, sf_dir)
+    path = scratch_path(spark, "clean")
+    store.write_clean(draws, f"{path}/parquet")
+    store.write_clean(draws.withColumn("draw_date", iso()), f"{path}/csv", fmt="csv")
+    wide = ", ".join(["series string, draw_id bigint, draw_date string", *[f"b{i} int" for i in range(1, 6)], "bonus int, jackpot double, outcome string"])
+    flat = spark.read.option("header", True).schema(wide).csv(f"{path}/csv")
+    stored = store.load_draws(spark, f"{path}/parquet", schema=None).select(*KEYS, iso(), *B.wide(F.col("balls"), G5), "bonus")
+    return stored.join(flat.select(*KEYS, F.col("b1").alias("csv_b1"), F.col("bonus").alias("csv_bonus"), "outcome"), [*KEYS])
+
+
+@query("calculated_file")
+def calculated_file(spark, sf_dir):
+    """Draws with their features stored by series and read back."""
+    path = scratch_path(spark, "calculated")
+    store.write_calculated(pipeline.calculate(T.stored_draws(spark, sf_dir)), path)
+    back = store.load_draws(spark, path, schema=None)
+    return back.select(*KEYS, "seq", *B.wide(F.col("balls"), G5), "bonus", *show(CALCULATED))
+
+
+@query("required_columns")
+def required_columns(spark, sf_dir):
+    """Which inputs of each feature set the stored draws lack, and whether they are refused."""
+    draws = T.stored_draws(spark, sf_dir)
+    rows = []
+    for kind in sorted(features.FEATURE_SETS):
+        names = [*features.feature_columns(kind), *KEYS]
+        try:
+            features.require_columns(draws, names)
+            refused = False
+        except ValueError:
+            refused = True
+        rows.append((kind, len([n for n in names if n not in draws.columns]), refused))
+    counts = draws.agg(F.count("*").alias("draws"))
+    return counts.select("draws", F.inline(F.array(*[F.struct(F.lit(k).alias("features"), F.lit(m).alias("missing"), F.lit(r).alias("refused")) for k, m, r in rows])))
+
+
 @query("frequency_file")
 def frequency_file(spark, sf_dir):
     """The frequency table as one CSV, from high to low, read back."""

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from urnstat.functions import text
 from urnstat.games import G5, G6, GameSpec
+from urnstat.sources.records import read_records
 
 
 def _strings(*names: str) -> T.StructType:
@@ -31,19 +32,13 @@ DRAWS = T.StructType(
 
 
 def _read(spark: SparkSession, path: str, schema: T.StructType, header: bool) -> DataFrame:
-    """Quoted fields may span lines, so each file is one task: land many files
-    and keep the cleaned parquet, not the CSV, as the working table."""
+    """Quoted fields may span lines; files of any size are read by byte ranges."""
     shape = T.StructType([*schema.fields, *_strings("_extra", "_broken").fields])
-    return (
-        spark.read.schema(shape)
-        .option("header", header)
-        .option("multiLine", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_broken")
-        .csv(path)
-    )
+    options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
+    records = read_records(spark, path)
+    records = records.where((F.col("record") != "") & ~(F.lit(header) & F.col("first")))
+    parsed = records.select(F.from_csv("record", shape.simpleString()[len("struct<") : -1].replace(":", " "), options).alias("_r"))
+    return parsed.select("_r.*")
 
 
 def read_raw_g5(spark: SparkSession, path: str) -> DataFrame:
