@@ -6,9 +6,9 @@ import pytest
 
 import __spark_entry__ as contract
 from tests import compare
-from urnstat.operators import filters, forest, likelihood, matching
+from urnstat.operators import filters, forest, likelihood
 from urnstat.plans import oracle, queries
-from urnstat.sources.tables import candidates, stored_draws
+from urnstat.sources.tables import stored_draws
 
 SQL = oracle.oracle_sql()
 # Trained values; for each there is a query of checked facts that has an oracle.
@@ -124,12 +124,6 @@ def test_recent_draws_have_one_plan_for_every_n(spark, sf_dir, n):
     assert shape(text) == shape(plan(filters.filter_recent(stored_draws(spark, sf_dir), 7)))
 
 
-def test_history_keys_join_by_size(spark, sf_dir):
-    history = stored_draws(spark, sf_dir)
-    cands = candidates(history)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
-    try:
-        text = plan(matching.already_drawn(cands, history))
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert "SortMergeJoin" in text and "BroadcastHashJoin" not in text
+def test_distinct_combinations_need_no_sorted_aggregate(spark, sf_dir):
+    for name in ("dedupe_combos", "weighted_combos"):
+        assert "SortAggregate" not in plan(contract.queries()[name](spark, sf_dir))

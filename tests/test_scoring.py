@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests import brute
 from urnstat.games import G5, GameSpec
@@ -133,6 +134,46 @@ def test_weighted_stops_when_nothing_new_can_come(spark):
     assert combos.weighted_combos(probs, TINY, n=5).count() == 2
 
 
+def peaked(spark, rare=1e-9):
+    """A table of the tiny game in which almost every try gives the same combination."""
+    rows = [(s, n, 1 - 3 * rare if n == s else rare) for s in (1, 2, 3) for n in (1, 2, 3, 4)] + [(4, 1, 1 - rare), (4, 2, rare)]
+    return spark.createDataFrame(rows, "slot int, number int, p double")
+
+
+def test_peaked_tables_give_all_that_is_asked_for(spark):
+    probs = peaked(spark)
+    some = combos.weighted_combos(probs, TINY, n=6).collect()
+    assert len({(tuple(r.balls), r.bonus) for r in some}) == 6
+    assert some[0].balls == [1, 2, 3] and some[0].bonus == 1 and some[0].cand_id == 0
+    # Four sets with two bonus numbers are all there are.
+    assert len(combos.weighted_combos(probs, TINY, n=50).collect()) == 8
+
+
+def test_narrow_beams_keep_the_earliest_picks(spark):
+    probs = spark.createDataFrame(
+        [(s, n, (n + s) / 30) for s in (1, 2, 3) for n in range(1, 6)] + [(4, 1, 0.7), (4, 2, 0.3)], "slot int, number int, p double"
+    )
+    five = GameSpec("five", slots=3, high=5, bonus_high=2)
+    wide, whole = combos._beam(probs, five, 3, 1000)
+    order = [r.picks for r in wide.orderBy(F.desc("time")).collect()]
+    assert whole and len(order) == 5 * 4 * 3 * 2
+    for width in (1, 7, 40):
+        narrow, whole = combos._beam(probs, five, 3, width)
+        assert not whole and [r.picks for r in narrow.orderBy(F.desc("time")).collect()] == order[:width]
+
+
+def test_beams_follow_the_probabilities(spark):
+    rows = [(1, n, 1 / 40) for n in range(1, 41)] + [(2, 41, 0.8), (2, 42, 0.2), (3, 1, 1.0)]
+    probs = spark.createDataFrame(rows, "slot int, number int, p double")
+    picks, whole = combos._beam(probs, GameSpec("wide", slots=2, high=42, bonus_high=1), 11, 1000)
+    order = [r.picks for r in picks.orderBy(F.desc("time")).collect()]
+    assert whole and len(order) == 80
+    # Below each first number the likelier second one comes first in four of five cases.
+    earlier = sum(order.index([n, 41, 1]) < order.index([n, 42, 1]) for n in range(1, 41))
+    assert 24 <= earlier <= 39
+    assert sum(p[1] == 41 for p in order[:20]) >= 11
+
+
 def test_weighted_skips_candidates_that_run_out_of_numbers(spark):
     probs = spark.createDataFrame(
         [(1, 1, 0.5), (1, 2, 0.5), (2, 1, 0.5), (2, 3, 0.5), (3, 3, 1.0), (4, 1, 1.0)], "slot int, number int, p double"

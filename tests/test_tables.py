@@ -1,11 +1,15 @@
 """Frequencies, quality rules and matching on small fixtures."""
 
+import itertools
+import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests import brute
-from urnstat.games import G5
+from urnstat.functions import ranks
+from urnstat.games import G5, G6, GameSpec
 from urnstat.operators import features, matching, quality
 from urnstat.operators import frequency as freq
 
@@ -116,6 +120,54 @@ def test_avoid_drawn(spark, draws_of, rows):
     assert not out[2].replaced and out[2].balls == [1, 2, 3, 4, 5]
 
 
+SIX = GameSpec("six", slots=3, high=6, bonus_high=2)
+
+
+@pytest.mark.parametrize("spec", [SIX, GameSpec("pairs", slots=2, high=40, bonus_high=2), G6])
+def test_places_of_sets(spark, spec):
+    legal = ranks.legal_sets(spec)
+    places = range(legal) if legal < 1000 else [0, 1, 32767, 32768, legal // 2, legal - 1]
+    df = spark.createDataFrame([(p,) for p in places], "p bigint")
+    rows = df.withColumn("balls", ranks.set_at(F.col("p"), spec)).withColumn("again", ranks.set_rank(F.reverse("balls"), spec)).collect()
+    assert all(r.again == r.p and r.balls == sorted(set(r.balls)) and len(r.balls) == spec.slots for r in rows)
+    assert len({tuple(r.balls) for r in rows}) == len(rows) and all(1 <= n <= spec.high for r in rows for n in r.balls)
+
+
+def test_places_of_odd_sets(spark):
+    sets = [list(s) for s in itertools.product(range(1, 7), repeat=3)] + [[1, 2], [1, 2, 7], [0, 1, 2], None, [1, 2, 3, 4]]
+    df = spark.createDataFrame([(s,) for s in sets], "balls array<int>")
+    places = {tuple(r.balls or ()): r.p for r in df.withColumn("p", ranks.set_rank(F.col("balls"), SIX)).collect()}
+    assert all((places[tuple(s)] is None) == (len(s) != 3 or not set(s) <= set(range(1, 7))) for s in sets if s)
+    known = {frozenset(s): places[tuple(s)] for s in sets[:216]}
+    assert len(set(known.values())) == len(known) == 6 + 15 + 20 and places[()] is None
+    assert all((places[tuple(s)] < ranks.legal_sets(SIX)) == (len(set(s)) == 3) for s in sets[:216])
+
+
+@pytest.mark.parametrize("left", [0, 1, 3, 20])
+def test_every_prediction_gets_a_free_set(spark, left):
+    """Of the twenty sets of the game ``left`` are free, and all predictions were drawn."""
+    sets = list(itertools.combinations(range(1, 7), 3))
+    random.Random(left).shuffle(sets)
+    drawn, free = sets[left:], set(sets[:left])
+    history = spark.createDataFrame([(list(s),) for s in drawn] + [([1, 1, 2],)], "balls array<int>")
+    preds = spark.createDataFrame([(i, list(s)[::-1], "x") for i, s in enumerate(drawn * 5)] + [(-1, [2, 1, 1], "y")], "pred_id long, balls array<int>, replaced string")
+    out = matching.avoid_drawn(preds, history, SIX).collect()
+    assert len(out) == len(drawn) * 5 + 1
+    for r in out:
+        assert (r.replaced, r.exhausted) == (left > 0, left == 0)
+        assert (tuple(r.balls) in free) if left else r.balls is None
+
+
+def test_matching_needs_no_shuffle_of_candidates(spark, draws_of, rows):
+    history = draws_of(rows)
+    preds = spark.createDataFrame([(1, rows[0][3], 3)], "pred_id long, balls array<int>, bonus int")
+    for df in (matching.already_drawn(preds, history), matching.exclude_drawn(preds, history), matching.avoid_drawn(preds, history)):
+        text = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in text and "Join" not in text
+    text = matching.dedupe_combos(preds.withColumnRenamed("pred_id", "cand_id"))._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in text and "SortAggregate" not in text
+
+
 def test_dedupe_keeps_the_lowest_id(spark):
     combos = [(4, [1, 2, 3, 4, 5], 6), (2, [5, 4, 3, 2, 1], 6), (3, [1, 2, 3, 4, 5], 7), (9, [70, 2, 3, 4, 5], 7), (8, [70, 2, 3, 4, 6], 7)]
     df = spark.createDataFrame(combos, "cand_id long, balls array<int>, bonus int")

@@ -18,8 +18,8 @@ from urnstat.operators.matching import already_drawn, dedupe_combos
 from urnstat.session import materialize
 
 SAMPLE = 1000
-#: Tries after which a search for distinct combinations gives up with an error.
-MOST_TRIES = 1 << 24
+#: Rounds of tries, each as long as all before it, before the rest is drawn without replacement.
+ROUNDS = 5
 SCORE_UNIT = 10**12
 
 
@@ -65,37 +65,89 @@ def _weighted(cands: DataFrame, probs: DataFrame, spec: GameSpec, seed: int) ->
     )
 
 
-def _first_distinct(make, spec: GameSpec, n: int, possible: int | None, tries: int | None = None) -> DataFrame:
+def _first_distinct(make, spec: GameSpec, n: int, possible: int | None, tries: int | None = None, tail=None) -> DataFrame:
     """First ``n`` distinct combinations of ``make(start, stop)``, in candidate order.
 
     Without a given number of tries it goes on until ``n``, or all ``possible`` ones,
-    are there; tries double from round to round, and each is made and stored once.
+    are there; tries double from round to round, and each is made and stored once. With
+    a ``tail`` the tries end after ``ROUNDS`` and ``tail(found, stop)`` adds the rest.
     """
     if tries is not None:
         return dedupe_combos(make(0, tries), spec).orderBy("cand_id").limit(n)
     wanted = n if possible is None else min(n, possible)
     start, stop, distinct = 0, 2 * n, None
-    while True:
+    for done in itertools.count(1):
         found = make(start, stop)
         found = found if distinct is None else distinct.unionByName(found)
         distinct = materialize(dedupe_combos(found, spec), "combos")
-        count = distinct.limit(wanted).count()
-        if count >= wanted:
-            return distinct.orderBy("cand_id").limit(n)
-        if stop > MOST_TRIES:
-            raise ValueError(f"only {count} of {n} combinations in {stop} tries: the probabilities are too narrow")
+        if distinct.limit(wanted).count() >= wanted:
+            break
+        if tail and done == ROUNDS:
+            distinct = tail(distinct, stop)
+            break
         start, stop = stop, 2 * stop
+    return distinct.orderBy("cand_id").limit(n)
 
 
-def possible_combos(probs: DataFrame, spec: GameSpec = G5, most: int = 200_000) -> int | None:
-    """How many combinations have a positive probability; None if more than ``most`` picks would have to be listed."""
-    known = L.in_domain(probs, spec).where("p > 0").groupBy("slot").agg(F.collect_set("number").alias("numbers")).collect()
-    numbers = {r["slot"]: r["numbers"] for r in known}
-    slots = [numbers.get(s, []) for s in range(1, spec.slots + 1)]
-    if math.prod(map(len, slots)) > most:
-        return None
-    picks = {frozenset(p) for p in itertools.product(*slots) if len(set(p)) == spec.slots}
-    return len(picks) * len(numbers.get(spec.bonus_slot, []))
+# ---- drawing without replacement -------------------------------------------
+
+
+def _beam(probs: DataFrame, spec: GameSpec, seed: int, width: int) -> tuple[DataFrame, bool]:
+    """The first ``width`` picks of a draw without replacement from all ordered picks, and whether these are all.
+
+    Every beginning of a pick carries the time at which the first pick below it comes up, on
+    a scale where greater is earlier. The times of its continuations are drawn so that the
+    earliest is its own, so only the ``width`` earliest beginnings of a slot need to go on.
+    """
+    now = probs.sparkSession.range(1).select(
+        F.array().cast("array<int>").alias("picks"), F.lit(0.0).alias("phi"), F.lit(0.0).alias("time"), F.lit(0.0).alias("_total")
+    )
+    whole = True
+    for slot in range(1, spec.bonus_slot + 1):
+        row = F.get("_grid", F.lit(slot - 1))
+        free = F.lit(True) if slot == spec.bonus_slot else ~F.array_contains("picks", F.col("_n"))
+        grown = now.withColumn("_grid", L.prob_grid(probs, spec)).select(
+            "picks", "phi", "time", "_total", F.posexplode(row).alias("_at", "p")
+        ).withColumn("_n", F.col("_at") + 1).where(F.col("p") > 0).where(free)
+        u = chance.uniform(seed, F.lit("tail"), F.array_join(F.col("picks").cast("array<string>"), ","), F.lit(slot), F.col("_n"))
+        # Siblings are a domain at most; they meet by their beginning.
+        mine = Window.partitionBy("picks")
+        grown = grown.withColumn("phi", F.col("phi") + F.ln(F.col("p") / F.sum("p").over(mine)))
+        grown = grown.withColumn("_g", F.col("phi") - F.ln(-F.ln(u)))
+        gap = F.col("_g") - F.max("_g").over(mine)
+        v = F.col("time") - F.col("_g") + F.when(gap < 0, F.ln(-F.expm1(gap)))  # null for the earliest one
+        late = F.col("time") - F.greatest(v, F.lit(0.0)) - F.log1p(F.exp(-F.abs(v)))
+        grown = grown.select(
+            F.array_append("picks", F.col("_n").cast("int")).alias("picks"),
+            "phi",
+            F.coalesce(late, F.col("time")).alias("time"),
+            (F.col("_total") + F.col("p")).alias("_total"),
+        )
+        now = materialize(grown.orderBy(F.desc("time"), "picks").limit(width), "beam")
+        whole = whole and now.count() < width
+    return now, whole
+
+
+def _rest(probs: DataFrame, spec: GameSpec, seed: int, n: int):
+    """What draws on without replacement once plain tries find little that is new."""
+
+    def tail(found: DataFrame, stop: int) -> DataFrame:
+        width = 4 * n
+        while True:
+            picks, whole = _beam(probs, spec, seed, width)
+            order = Window.orderBy(F.desc("time"), "picks")  # at most ``width`` rows
+            new = picks.select(
+                (F.lit(stop) + F.row_number().over(order) - 1).cast("bigint").alias("cand_id"),
+                F.sort_array(F.slice("picks", 1, spec.slots)).alias("balls"),
+                F.get("picks", F.lit(spec.slots)).alias("bonus"),
+                "_total",
+            )
+            distinct = materialize(dedupe_combos(found.unionByName(new), spec), "combos")
+            if whole or distinct.count() >= n:
+                return distinct
+            width *= 4
+
+    return tail
 
 
 def weighted_combos(
@@ -103,8 +155,8 @@ def weighted_combos(
 ) -> DataFrame:
     """``n`` distinct combinations, every slot drawn by its probabilities.
 
-    Fewer than ``n`` come out only if no more have a positive probability. A table so
-    peaked that ``MOST_TRIES`` tries do not find them raises instead.
+    Fewer than ``n`` come out only if no more have a positive probability: where tries
+    keep giving what is there already, the rest is drawn without replacement.
     """
     score = F.round(F.col("_total") / (spec.slots + 1) * 100, places)
 
@@ -112,7 +164,7 @@ def weighted_combos(
         cands = probs.sparkSession.range(start, stop).select(F.col("id").alias("cand_id"))
         return _weighted(cands, probs, spec, seed).where(F.col("_total").isNotNull())
 
-    combos = _first_distinct(make, spec, n, None if tries else possible_combos(probs, spec), tries)
+    combos = _first_distinct(make, spec, n, None, tries, _rest(probs, spec, seed, n))
     return combos.select("cand_id", "balls", "bonus", score.alias("score")).orderBy(F.desc("score"), "cand_id")
 
 

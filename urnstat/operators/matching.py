@@ -2,114 +2,140 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from urnstat.functions import balls as B
-from urnstat.functions import chance
+from urnstat.functions import chance, ranks
 from urnstat.games import G5, GameSpec
-from urnstat.operators import order
 from urnstat.session import materialize
 
-#: Random sets tried per prediction in the first round, and how the number grows.
-FIRST_TRIES, TRIES_FACTOR = 4, 4
-#: Rounds of random sets before the free sets are listed.
-RANDOM_ROUNDS = 3
+#: Random sets that a drawn prediction tries before it takes a place among the free sets.
+TRIES = 8
+#: Columns that an aggregate can hold in a hash table.
+FIXED = {"int", "bigint", "double", "float", "smallint", "tinyint", "boolean", "date", "timestamp"}
+BALL_BITS = 6
 
 
-def history_keys(history: DataFrame, spec: GameSpec = G5) -> DataFrame:
-    """Distinct set keys of a history.
+@dataclass
+class Drawn:
+    """The sets of a history as bitmaps over their places, in one stored row.
 
-    Repeats collapse before the shuffle. No broadcast is asked for: Spark decides by
-    the size it measures, and adaptive execution splits heavy keys of a shuffled join.
+    A game has so many sets and no more: 296 KB for 5 of 50, 2.9 MB for 6 of 52.
     """
-    keys = history.select(B.set_key(F.col("balls"), spec).alias("_key"))
-    return keys.where(F.col("_key").isNotNull()).distinct()
-
 
-def _keyed(df: DataFrame, spec: GameSpec) -> DataFrame:
-    return df.withColumn("_key", B.set_key(F.col("balls"), spec))
+    row: DataFrame
+    spec: GameSpec
+
+    @classmethod
+    def of(cls, history: DataFrame, spec: GameSpec = G5) -> Drawn:
+        """One aggregate; a task sends at most one bitmap for each part of the game."""
+        place = ranks.set_rank(F.col("balls"), spec) + 1
+        placed = history.select(place.alias("_place")).where(F.col("_place").isNotNull())
+        maps = placed.groupBy(F.bitmap_bucket_number("_place").alias("id")).agg(
+            F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias("bits")
+        )
+        legal = ranks.legal_sets(spec)
+        room = F.greatest(F.least(F.lit(ranks.BUCKET), legal - (F.col("id") - 1) * ranks.BUCKET), F.lit(0))
+        free = F.when(room > 0, room - F.coalesce(F.bitmap_count("bits"), F.lit(0))).otherwise(0).cast("bigint")
+        parts = history.sparkSession.range(1, ranks.buckets(spec) + 1).join(maps, "id", "left")
+        one = parts.agg(F.sort_array(F.collect_list(F.struct("id", "bits", free.alias("free")))).alias("_parts"))
+        zero = F.lit(0).cast("bigint")
+        before = F.transform("_parts", lambda p, i: F.aggregate(F.slice("_parts.free", F.lit(1), i), zero, lambda n, f: n + f))
+        total = F.aggregate("_parts.free", zero, lambda n, f: n + f)
+        return cls(materialize(one.select(F.col("_parts.bits").alias("bits"), before.alias("before"), total.alias("free")), "drawn"), spec)
+
+    def has(self, place: Column) -> Column:
+        """Whether the set at a place was drawn: a look into the bitmap, without a join."""
+        bits = F.get(self.row.select("bits").scalar(), F.floor(place / ranks.BUCKET).cast("int"))
+        return F.coalesce(ranks.bit(bits, place % ranks.BUCKET), F.lit(False))
 
 
 def already_drawn(cands: DataFrame, history: DataFrame, spec: GameSpec = G5) -> DataFrame:
     """Add ``drawn``: is this number set in the history, in any order."""
-    keys = history_keys(history, spec).withColumn("_hit", F.lit(True))
-    flagged = _keyed(cands, spec).join(keys, "_key", "left")
-    return flagged.withColumn("drawn", F.coalesce("_hit", F.lit(False))).drop("_key", "_hit")
+    return cands.withColumn("drawn", Drawn.of(history, spec).has(ranks.set_rank(F.col("balls"), spec)))
 
 
 def exclude_drawn(cands: DataFrame, history: DataFrame, spec: GameSpec = G5) -> DataFrame:
     """Candidates whose number set is not in the history."""
-    return _keyed(cands, spec).join(history_keys(history, spec), "_key", "left_anti").drop("_key")
-
-
-def all_sets(spark: SparkSession, spec: GameSpec = G5) -> DataFrame:
-    """Every number set of the game as sorted ``balls``."""
-    sets = spark.range(1).select(F.array().cast("array<int>").alias("balls"))
-    for slot in range(1, spec.slots + 1):
-        last = F.coalesce(F.try_element_at("balls", F.lit(-1)), F.lit(0))
-        following = F.sequence(last + 1, F.lit(spec.high - spec.slots + slot))
-        sets = sets.select("balls", F.explode(following).alias("_next")).select(F.array_append("balls", F.col("_next")).alias("balls"))
-        if slot == min(2, spec.slots - 1):
-            sets = sets.repartition(F.hash("balls"))  # the short beginnings are dealt out, what grows from them stays
-    return sets
+    return cands.where(~Drawn.of(history, spec).has(ranks.set_rank(F.col("balls"), spec)))
 
 
 def avoid_drawn(preds: DataFrame, history: DataFrame, spec: GameSpec = G5, seed: int = 42, key: str = "pred_id") -> DataFrame:
     """Replace predictions that were drawn before by a set that was not.
 
-    Rounds of seeded random sets serve the predictions that are still open; the first
-    unseen set wins. Where nearly all sets are drawn the rest is served from a list of
-    the free ones, each prediction by a seeded place in it. So a prediction gets a free
-    set whenever there is one. ``replaced`` tells who got one, ``exhausted`` who was
-    drawn although the game has no free set; its ``balls`` are null.
+    A drawn prediction takes the first undrawn one of ``TRIES`` seeded random sets, or
+    else the set at a seeded place among all free ones, so it gets a free set whenever
+    there is one. ``replaced`` tells who got one, ``exhausted`` who was drawn although
+    the game has no free set; its ``balls`` are null. All of it happens inside the row.
     """
-    keys = materialize(history_keys(history, spec), "keys")
-    flagged = _keyed(preds, spec).join(keys.withColumn("_hit", F.lit(True)), "_key", "left").drop("_key")
-    left = materialize(flagged.where("_hit").select(key).distinct(), "open")
-    fresh, first, width = [], 1, FIRST_TRIES
-    for _ in range(RANDOM_ROUNDS):
-        if left.isEmpty():
-            break
-        tries = left.select(key, F.explode(F.sequence(F.lit(first), F.lit(first + width - 1))).alias("_try"))
-        mixed = chance.shuffled_domain(spec.high, seed, F.col(key), F.col("_try"))
-        sets = _keyed(tries.withColumn("balls", F.sort_array(F.slice(mixed, 1, spec.slots))), spec)
-        unseen = sets.join(keys, "_key", "left_anti")
-        fresh.append(materialize(unseen.groupBy(key).agg(F.min_by("balls", "_try").alias("_fresh")), "fresh"))
-        left = materialize(left.join(fresh[-1], key, "left_anti"), "open")
-        first, width = first + width, width * TRIES_FACTOR
-    if not left.isEmpty():
-        free = _keyed(all_sets(preds.sparkSession, spec), spec).join(keys, "_key", "left_anti")
-        free = materialize(order.with_seq(free.withColumn("series", F.lit("")), order=("_key",)), "free")
-        if size := free.count():
-            place = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(size)).alias("seq")
-            fresh.append(left.select(key, place).join(free.select("seq", F.col("balls").alias("_fresh")), "seq").select(key, "_fresh"))
-    drawn = F.coalesce("_hit", F.lit(False))
-    if not fresh:
-        return flagged.withColumn("replaced", drawn).withColumn("exhausted", F.lit(False)).drop("_hit")
-    found = fresh[0]
-    for more in fresh[1:]:
-        found = found.unionByName(more)
-    out = flagged.join(found, key, "left").withColumn("balls", F.when(drawn, F.col("_fresh")).otherwise(F.col("balls")))
-    out = out.withColumn("replaced", drawn & F.col("_fresh").isNotNull()).withColumn("exhausted", drawn & F.col("_fresh").isNull())
-    return out.drop("_hit", "_fresh")
+    drawn = Drawn.of(history, spec)
+    rest = preds.columns
+    mixed = lambda t: F.sort_array(F.slice(chance.shuffled_domain(spec.high, seed, F.col(key), t), 1, spec.slots))
+    tries = F.transform(F.transform(F.sequence(F.lit(1), F.lit(TRIES)), mixed), lambda b: F.struct(b.alias("balls"), ranks.set_rank(b, spec).alias("place")))
+
+    def step(df: DataFrame, **new: Column) -> DataFrame:
+        """Going through a generator keeps later uses from repeating what is found here."""
+        return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in new.items()]))))
+
+    now = step(preds, _drawn=drawn.has(ranks.set_rank(F.col("balls"), spec)))
+    now = step(now, _tries=F.when(F.col("_drawn"), tries))
+    each = [F.get("_tries", F.lit(i)) for i in range(TRIES)]
+    now = step(now, _fresh=F.coalesce(*[F.when(t.isNotNull() & ~drawn.has(t["place"]), t["balls"]) for t in each]))
+    left = F.col("_drawn") & F.col("_fresh").isNull() & (drawn.row.select("free").scalar() > 0)
+    place = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), drawn.row.select("free").scalar())
+    now = step(now, _nth=F.when(left, place), _before=F.when(left, drawn.row.select("before").scalar()))
+    # The last part that begins at or before the place; later parts without a free set begin there too.
+    at = F.array_position(F.transform("_before", lambda b: b <= F.col("_nth")), F.lit(False))
+    now = step(now, _part=F.when(left, F.when(at > 0, at - 2).otherwise(F.size("_before") - 1)))
+    now = step(now, _bits=F.when(left, F.get(drawn.row.select("bits").scalar(), F.col("_part").cast("int"))))
+    size = F.least(F.lit(ranks.BUCKET), ranks.legal_sets(spec) - F.col("_part") * ranks.BUCKET).cast("int")
+    free = F.filter(F.sequence(F.lit(0), size - 1), lambda p: ~F.coalesce(ranks.bit(F.col("_bits"), p), F.lit(False)))
+    found = F.get(free, (F.col("_nth") - F.get("_before", F.col("_part").cast("int"))).cast("int")) + F.col("_part") * ranks.BUCKET
+    fresh = F.coalesce("_fresh", F.when(left, ranks.set_at(found, spec)))
+    now = step(now, _new=F.when(F.col("_drawn"), fresh))
+    keep = {"balls": F.when(F.col("_drawn"), F.col("_new")).otherwise(F.col("balls"))}
+    keep["replaced"] = F.col("_drawn") & F.col("_new").isNotNull()
+    keep["exhausted"] = F.col("_drawn") & F.col("_new").isNull()
+    return now.withColumns(keep).select(*dict.fromkeys([*rest, "replaced", "exhausted"]))
+
+
+def _packed(balls: Column, spec: GameSpec) -> Column:
+    """Numbers of a legal set, in their order, as one bigint."""
+    cells = [F.call_function("shiftleft", b.cast("bigint"), F.lit(BALL_BITS * i)) for i, b in enumerate(B.slots(balls, spec))]
+    return reduce(lambda x, y: x.bitwiseOR(y), cells)
+
+
+def _unpacked(packed: Column, spec: GameSpec) -> Column:
+    cells = [F.shiftright(packed, BALL_BITS * i).bitwiseAND(F.lit((1 << BALL_BITS) - 1)).cast("int") for i in range(spec.slots)]
+    return F.array(*cells)
 
 
 def dedupe_combos(cands: DataFrame, spec: GameSpec = G5, key: str = "cand_id") -> DataFrame:
     """One row per (number set, bonus): the one with the lowest ``cand_id``.
 
-    The minimum combines on the map side, so heavily repeated combinations
-    shuffle one row per task.
+    Legal sets are packed into a bigint, so the minimum is a hash aggregate that
+    combines on the map side: heavily repeated combinations shuffle one row per task.
+    Other sets, and rows with columns that have no fixed width, are ranked in their
+    group, which also leaves one row per task and group before the shuffle.
     """
-    rest = [c for c in cands.columns if c != key]
-    keyed = _keyed(cands, spec).withColumn(
-        "_text", F.when(F.col("_key").isNull(), F.array_join(F.sort_array(F.array_distinct("balls")), " "))
-    )
-    return (
-        keyed.groupBy("_key", "_text", "bonus")
-        .agg(F.min(key).alias(key), F.min_by(F.struct(*rest), key).alias("_row"))
-        .select(key, *[F.col(f"_row.{c}").alias(c) for c in rest])
-    )
+    columns = cands.columns
+    kinds = dict(cands.dtypes)
+    rest = [c for c in columns if c not in (key, "balls", "bonus")]
+    keyed = cands.withColumn("_key", B.set_key(F.col("balls"), spec))
+    legal = F.col("_key").isNotNull()
+    if any(kinds[c] not in FIXED for c in rest) or spec.slots * BALL_BITS > 60:
+        legal = F.lit(False)
+    held = keyed.where(legal).withColumn("_balls", _packed(F.col("balls"), spec)).groupBy("_key", "bonus")
+    first = held.agg(F.min(key).alias(key), *[F.min_by(c, key).alias(c) for c in ["_balls", *rest]])
+    first = first.withColumn("balls", _unpacked(F.col("_balls"), spec).cast(kinds["balls"])).select(*columns)
+    numbers = F.array_join(F.array_sort(F.array_distinct("balls")), " ")
+    ranked = Window.partitionBy(F.coalesce(F.col("_key").cast("string"), numbers), "bonus").orderBy(key)
+    others = keyed.where(~legal).withColumn("_nth", F.row_number().over(ranked)).where("_nth = 1")
+    return first.unionByName(others.select(*columns))
 
 
 def complete_prediction(preds: DataFrame, spec: GameSpec = G5, seed: int = 42, key: str = "pred_id") -> DataFrame:
