@@ -337,6 +337,71 @@ def test_a_crash_before_the_coverage_leaves_no_trace(spark, tmp_path, monkeypatc
     same_as_at_once(spark, paths, rows, tmp_path, "whole")
 
 
+def _history(spark, start, stop):
+    """Draws of two series by date; the ids follow the dates."""
+    rows = [("ab"[i % 2], i, f"2020-{1 + i // 28:02d}-{1 + i % 28:02d}", [1 + (i * k) % 46 + k for k in range(1, 5)] + [50], 1 + i % 20) for i in range(start, stop)]
+    df = spark.createDataFrame(rows, "series string, draw_id bigint, day string, balls array<int>, bonus int")
+    blank = F.lit(None).cast("string")
+    df = df.select("series", "draw_id", F.col("day").cast("date").alias("draw_date"), F.sort_array("balls").alias("balls"), "bonus", blank.alias("jackpot"), blank.alias("outcome"))
+    return df
+
+
+def _folders(path):
+    return sorted(f.name for f in path.iterdir() if f.name.startswith("batch="))
+
+
+def _named(spark, paths, kind):
+    covered = pipeline.load_coverage(spark, paths)[0]
+    return sorted({f"batch={r['name']}" for r in covered.where(F.col("kind") == kind).collect()})
+
+
+def test_of_two_writers_one_commits_and_the_other_goes_on(spark, tmp_path, monkeypatch):
+    paths = pipeline.Paths(str(tmp_path))
+    store.append_draws(paths.history, _history(spark, 0, 20), "a")
+    pipeline.refresh(spark, paths)
+    store.append_draws(paths.history, _history(spark, 20, 30), "b")
+    save, calls = pipeline._save_coverage, []
+
+    def meanwhile(rows, places, version):
+        calls.append(version)
+        if len(calls) == 1:
+            store.append_draws(paths.history, _history(spark, 30, 40), "c")
+            assert pipeline.extend(spark, paths)
+        save(rows, places, version)
+
+    monkeypatch.setattr(pipeline, "_save_coverage", meanwhile)
+    assert pipeline.extend(spark, paths)
+    # The loser found its batches done by the winner; what it had written is gone.
+    assert calls == [1, 1] and pipeline.load_coverage(spark, paths)[1] == 1
+    assert _folders(tmp_path / "calculated") == _named(spark, paths, pipeline.CALCULATED)
+    assert _folders(tmp_path / "frequency") == _named(spark, paths, pipeline.FREQUENCY)
+    grown = pipeline.load_calculated(spark, paths).drop("batch")
+    whole = pipeline.calculate(_history(spark, 0, 40))
+    assert sorted(map(str, grown.select(*whole.columns).collect())) == sorted(map(str, whole.collect()))
+
+
+def test_parts_are_merged_and_dead_ones_removed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(pipeline, "MOST_PARTS", 3)
+    paths = pipeline.Paths(str(tmp_path))
+    store.append_draws(paths.history, _history(spark, 0, 20), "a")
+    pipeline.refresh(spark, paths)
+    before = pipeline.load_calculated(spark, paths)
+    for n in range(2, 9):
+        store.append_draws(paths.history, _history(spark, 10 * n, 10 * n + 10), f"b{n}")
+        if n == 4:
+            reader = pipeline.load_calculated(spark, paths)
+        pipeline.extend(spark, paths, retain=0 if n > 4 else 3600)
+        if n == 4:
+            assert before.count() == 20 and reader.count() == 40  # both began before the merge
+    for table in ("calculated", "frequency"):
+        assert len(_folders(tmp_path / table)) <= 2 * 3
+    assert len(list((tmp_path / "coverage").glob("version=*"))) <= 2 + 3
+    grown, whole = pipeline.load_calculated(spark, paths), pipeline.calculate(_history(spark, 0, 90))
+    assert sorted(map(str, grown.select(*whole.columns).collect())) == sorted(map(str, whole.collect()))
+    counts = {r.number: r.frequency for r in pipeline.load_frequency(spark, paths).collect() if r.frequency}
+    assert counts == {r.number: r.frequency for r in freq.frequency(_history(spark, 0, 90)).collect() if r.frequency}
+
+
 def test_dynamic_overwrite_changes_nothing(spark, tmp_path):
     rows = [r for r in brute.make_rows(20, seed=10) if r[2]]
     paths = pipeline.Paths(f"{tmp_path}/dynamic")

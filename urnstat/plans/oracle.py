@@ -638,6 +638,7 @@ GROUP BY 1"""
         "stream_calculated": sql(SUMMARY, NEW, merged("FALSE", "TRUE"), seq("merged"), look()),
         "two_streams": sql(SUMMARY, NEW, merged(*SPLIT), seq("merged"), look()),
         "stream_then_ingest": sql(SUMMARY, NEW, merged(*SPLIT), seq("merged"), look()),
+        "ingest_many": sql(SUMMARY, NEW, merged("TRUE", "FALSE"), seq("merged"), look()),
         "ingest_late": sql(SUMMARY, NEW, merged("TRUE", f"series = '{Q.LATE_SERIES}'"), seq("merged"), look()),
         "read_raw_g5": sql(
             f"SELECT {iso}, COUNT(*) AS draws, CAST(SUM(balls[1] + bonus) AS BIGINT) AS numbers FROM draws "

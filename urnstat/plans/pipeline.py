@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -166,22 +167,81 @@ HISTORY, CALCULATED, FREQUENCY = "history", "calculated", "frequency"
 MOST_FRESH = 1000
 
 
+#: Parts of the calculated table from which they are merged into one.
+MOST_PARTS = 64
+#: Seconds for which readers of a former state find its parts.
+RETAIN = 24 * 3600
+
+
+class LostRace(Exception):
+    """Another writer committed the same version first."""
+
+
 def load_coverage(spark: SparkSession, paths: Paths) -> tuple[DataFrame, int] | None:
-    """The newest complete coverage table and its version; None before the first one."""
-    try:
-        versions = spark.read.schema(f"{COVERAGE}, version bigint, writer string").parquet(paths.coverage)
-    except AnalysisException:
-        return None
-    newest = versions.agg(F.max(F.struct("version", "writer"))).first()[0]
-    if newest is None:
-        return None
-    mine = (F.col("version") == newest["version"]) & (F.col("writer") == newest["writer"])
-    return versions.where(mine).select("kind", "name", "series"), newest["version"]
+    """The newest coverage table and its version; None before the first one."""
+    versions = [v for v, _ in _versions(spark, paths)]
+    return (_coverage(spark, paths, versions[-1]), versions[-1]) if versions else None
+
+
+def _coverage(spark: SparkSession, paths: Paths, version: int) -> DataFrame:
+    return spark.read.schema(COVERAGE).parquet(f"{paths.coverage}/version={version}")
+
+
+def _folders(spark: SparkSession, path: str) -> list[tuple[str, float]]:
+    """Names and times of change, in seconds, of the folders in a folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(place):
+        return []
+    return [(f.getPath().getName(), f.getModificationTime() / 1000) for f in files.listStatus(place) if f.isDirectory()]
+
+
+def _versions(spark: SparkSession, paths: Paths) -> list[tuple[int, float]]:
+    """Committed versions and their times, oldest first."""
+    found = [(int(name.split("=")[1]), at) for name, at in _folders(spark, paths.coverage) if name.startswith("version=")]
+    return sorted(found)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def _save_coverage(rows: DataFrame, paths: Paths, version: int) -> None:
-    """A table is readable once it is complete; two writers of a version do not mix."""
-    rows.coalesce(1).write.parquet(f"{paths.coverage}/version={version}/writer={uuid.uuid4().hex}")
+    """Commit a version: it is written aside and renamed, which only one writer can do.
+
+    Needs a file system whose rename fails where the target exists, as HDFS and local
+    ones do. Raises ``LostRace`` where another writer was first.
+    """
+    spark = rows.sparkSession
+    aside = f"{paths.coverage}/_aside/{uuid.uuid4().hex}"
+    rows.coalesce(1).write.parquet(aside)
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    qualified = path(aside).getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified
+    source, target = qualified(path(aside)), qualified(path(f"{paths.coverage}/version={version}"))
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(source.toUri(), spark._jsc.hadoopConfiguration())
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.NONE
+    try:
+        files.rename(source, target, how)
+    except Py4JJavaError as error:
+        if not files.util().exists(target):
+            raise
+        _remove(spark, aside)
+        raise LostRace(version) from error
+
+
+def _committed(spark: SparkSession, paths: Paths, work) -> bool:
+    """Run ``work(part)`` until its commit is the first of its version; what a lost run wrote is removed."""
+    while True:
+        part = uuid.uuid4().hex
+        try:
+            return work(part)
+        except LostRace:
+            for table in (paths.calculated, paths.frequency):
+                _remove(spark, f"{table}/batch={part}")
 
 
 def _covered(state: DataFrame, kind: str) -> DataFrame:
@@ -203,21 +263,21 @@ def refresh(spark: SparkSession, paths: Paths, spec: GameSpec = G5) -> None:
     The new rows are parts of their own; readers go over to them with the coverage.
     """
     with scratch_scope(spark):
-        _refresh(spark, paths, spec)
+        _committed(spark, paths, lambda part: _refresh(spark, paths, spec, part))
 
 
-def _refresh(spark: SparkSession, paths: Paths, spec: GameSpec) -> None:
+def _refresh(spark: SparkSession, paths: Paths, spec: GameSpec, part: str) -> bool:
     state = load_coverage(spark, paths)
     # A batch that lands meanwhile is neither in the rows nor in the coverage.
     names = materialize(_history(spark, paths).select(F.col("batch").alias("_name")).distinct(), "batches")
     history = _history(spark, paths).join(names, F.col("batch") == F.col("_name"), "left_semi").drop("batch")
-    part = f"full-{uuid.uuid4().hex}"
     store.write_batch(calculate(history, spec), paths.calculated, part, "series")
     store.write_batch(freq.frequency(history, spec).coalesce(1), paths.frequency, part)
     rows = _of_kind(names, HISTORY, F.col("_name"))
     rows = rows.union(_of_kind(history.select("series").distinct(), CALCULATED, F.lit(part), F.col("series")))
     rows = rows.union(_of_kind(spark.range(1), FREQUENCY, F.lit(part)))
     _save_coverage(rows, paths, state[1] + 1 if state else 0)
+    return False
 
 
 def _live(spark: SparkSession, paths: Paths, state: DataFrame) -> DataFrame:
@@ -253,7 +313,7 @@ def _late_series(tail: DataFrame, fresh: DataFrame) -> DataFrame:
     return materialize(late.select("_name"), "late")
 
 
-def extend(spark: SparkSession, paths: Paths, spec: GameSpec = G5, changed: str | None = None) -> bool:
+def extend(spark: SparkSession, paths: Paths, spec: GameSpec = G5, changed: str | None = None, retain: float = RETAIN) -> bool:
     """Bring the calculated and frequency tables up to date with the history.
 
     Takes every history batch that the tables do not cover yet, whoever wrote it.
@@ -261,20 +321,23 @@ def extend(spark: SparkSession, paths: Paths, spec: GameSpec = G5, changed: str
     features need the last few rows of the series, so only new rows are written. A
     series with an earlier draw is written anew; other series keep their files.
     Counts add up in either case. Nothing shows before the coverage is written, so a
-    crash leaves the tables as they were.
+    crash leaves the tables as they were. Of two writers at a time one commits; the other
+    takes back its rows and goes on from the new state. Small parts are merged when there
+    are many, and parts that no state of the last ``retain`` seconds names are removed.
 
     Rebuilds everything, and returns False, without a coverage, or when the batch
     ``changed`` was written again after it had been covered.
     """
     with scratch_scope(spark):
-        return _extend(spark, paths, spec, changed)
+        grown = _committed(spark, paths, lambda part: _extend(spark, paths, spec, changed, part))
+        merge_parts(spark, paths, retain=retain)
+    return grown
 
 
-def _extend(spark: SparkSession, paths: Paths, spec: GameSpec, changed: str | None) -> bool:
+def _extend(spark: SparkSession, paths: Paths, spec: GameSpec, changed: str | None, part: str) -> bool:
     state = load_coverage(spark, paths)
     if state is None or (changed and not state[0].where((F.col("kind") == HISTORY) & (F.col("name") == changed)).isEmpty()):
-        refresh(spark, paths, spec)
-        return False
+        return _refresh(spark, paths, spec, part)
     covered, version = state
     known = _covered(covered, HISTORY).select("name")
     missing = _history(spark, paths).join(known, F.col("batch") == F.col("name"), "left_anti").select("batch").distinct()
@@ -282,8 +345,7 @@ def _extend(spark: SparkSession, paths: Paths, spec: GameSpec, changed: str | No
     if not names:
         return True
     if len(names) > MOST_FRESH:
-        refresh(spark, paths, spec)
-        return False
+        return _refresh(spark, paths, spec, part)
     fresh = _history(spark, paths).where(F.col("batch").isin(names)).drop("batch")
     base = [*DRAWS.names, "seq"]
     tail = materialize(order.newest_rows(_live(spark, paths, covered).select(*base), order.HIT_ROWS), "tail")
@@ -298,7 +360,6 @@ def _extend(spark: SparkSession, paths: Paths, spec: GameSpec, changed: str | No
         rest = _history(spark, paths).join(known, F.col("batch") == F.col("name"), "left_semi").drop("batch")
         whole = rest.unionByName(fresh).join(late, _same_series(), "left_semi")
         rows = rows.unionByName(calculate(whole, spec).select(*rows.columns))
-    part = f"part-{uuid.uuid4().hex}"
     store.write_batch(rows, paths.calculated, part, "series")
     store.write_batch(freq.frequency(fresh, spec).coalesce(1), paths.frequency, part)
     moved = covered.join(late, _same_series() & (F.col("kind") == CALCULATED), "left_anti")
@@ -308,10 +369,67 @@ def _extend(spark: SparkSession, paths: Paths, spec: GameSpec, changed: str | No
     return True
 
 
-def ingest(spark: SparkSession, new: DataFrame, paths: Paths, spec: GameSpec = G5, batch: str | None = None) -> None:
+def merge_parts(spark: SparkSession, paths: Paths, most: int | None = None, retain: float = RETAIN) -> bool:
+    """Merge the parts of the tables into one if there are more than ``most``; true if it did.
+
+    A merge gives up when another writer commits meanwhile; the next one will do. Readers
+    of a former state keep their files for ``retain`` seconds.
+    """
+    most = MOST_PARTS if most is None else most
+    state = load_coverage(spark, paths)
+    if state is None or _covered(state[0], CALCULATED).select("name").distinct().count() <= most:
+        return False
+    covered, version = state
+    part = uuid.uuid4().hex
+    rows = _live(spark, paths, covered).drop("batch")
+    # One file a series and task; a series of any size keeps its tasks.
+    store.write_batch(rows, paths.calculated, part, "series")
+    store.write_batch(load_frequency(spark, paths).coalesce(1), paths.frequency, part)
+    series = _covered(covered, CALCULATED).select("series").distinct()
+    merged = _covered(covered, HISTORY).select("kind", "name", "series")
+    merged = merged.union(_of_kind(series, CALCULATED, F.lit(part), F.col("series")))
+    merged = merged.union(_of_kind(spark.range(1), FREQUENCY, F.lit(part)))
+    try:
+        _save_coverage(merged, paths, version + 1)
+    except LostRace:
+        for table in (paths.calculated, paths.frequency):
+            _remove(spark, f"{table}/batch={part}")
+        return False
+    remove_dead(spark, paths, retain)
+    return True
+
+
+def remove_dead(spark: SparkSession, paths: Paths, retain: float = RETAIN) -> int:
+    """Remove parts that no coverage of the last ``retain`` seconds names, and older coverages.
+
+    The newest two coverages always stay, and so does a part that was written in that
+    time, as its writer may not have committed yet.
+    """
+    versions = _versions(spark, paths)
+    until = time.time() - retain
+    # A state can be read until the one after it is old enough.
+    ends = [at for _, at in versions[1:]] + [float("inf")]
+    kept = [v for (v, _), end in zip(versions, ends) if end > until]
+    kept = sorted({*kept, *(v for v, _ in versions[-2:])})
+    names = {r["name"] for v in kept for r in _coverage(spark, paths, v).where(F.col("kind") != HISTORY).select("name").distinct().collect()}
+    removed = 0
+    for table in (paths.calculated, paths.frequency):
+        for folder, at in _folders(spark, table):
+            if folder.startswith("batch=") and folder[len("batch=") :] not in names and at <= until:
+                _remove(spark, f"{table}/{folder}")
+                removed += 1
+    for v, _ in versions:
+        if v not in kept:
+            _remove(spark, f"{paths.coverage}/version={v}")
+    return removed
+
+
+def ingest(
+    spark: SparkSession, new: DataFrame, paths: Paths, spec: GameSpec = G5, batch: str | None = None, retain: float = RETAIN
+) -> None:
     """Validate, append what passes, keep what does not, bring the tables up to date."""
     batch = batch or uuid.uuid4().hex
     checked = quality.validate_draws(new, spec)
     store.append_draws(paths.history, typed(checked), batch)
     store.write_batch(quality.rejected(checked), paths.rejects, batch)
-    extend(spark, paths, spec, changed=batch)
+    extend(spark, paths, spec, changed=batch, retain=retain)

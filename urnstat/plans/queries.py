@@ -862,6 +862,20 @@ def ingest_late(spark, sf_dir):
     return _summary(pipeline.load_calculated(spark, paths))
 
 
+@query("ingest_many")
+def ingest_many(spark, sf_dir):
+    """All draws in batches by id; small parts are merged on the way and dead ones removed."""
+    draws = T.stored_draws(spark, sf_dir)
+    paths = pipeline.Paths(scratch_path(spark, "ingest"))
+    store.append_draws(paths.history, _money(draws.where(F.col("draw_id") % 8 == 0)))
+    pipeline.refresh(spark, paths)
+    for n in range(1, 8):
+        store.append_draws(paths.history, _money(draws.where(F.col("draw_id") % 8 == n)))
+        pipeline.extend(spark, paths, retain=0)
+        pipeline.merge_parts(spark, paths, most=2, retain=0)
+    return _summary(pipeline.load_calculated(spark, paths))
+
+
 # ---- files written and read back -------------------------------------------
 
 
