@@ -5,6 +5,7 @@ import collections
 import hashlib
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -147,6 +148,48 @@ def test_best_run_is_the_best_of_all():
         assert sum(scores[first:stop]) == max([0, *sums])
 
 
+def test_names_that_call_something_else():
+    page = "<article><p>The first paragraph of the article has words.</p><div class='{}'>Other words.</div></article>"
+    out = "post-comments comment-content page-footer related-article entry-share content-sidebar story-promo article-ads postComments comments".split()
+    kept = "share-price related-work has-sidebar with-comments article-body story-content price banner-year notice-period".split()
+    for name in out + kept:
+        assert ("Other words." in main_text.extract(page.format(name), main_text.Weights())) == (name in kept), name
+
+
+def test_deep_and_unclosed_elements_take_linear_time():
+    began = time.time()
+    page = "<article>" + "<div>some words here " * 100_000 + "</span></section>" * 50_000
+    assert main_text.extract(page, main_text.Weights()).count("some words here") == 100_000
+    assert time.time() - began < 60
+
+
+def test_the_element_around_a_run_by_walking_up():
+    """Numbers of elements tell what lies inside, like the chains of parents do."""
+    rng = random.Random(8)
+    for _ in range(200):
+        page = "".join(rng.choice(["<div>", "</div>", "<p>", "<li>", "<section>", "</section>", "w ", "<article>", "</article>"]) for _ in range(40))
+        tokens = main_text.read(page)
+        elements = {t.element.number: t.element for t in tokens}
+        for a in elements.values():
+            for b in elements.values():
+                chain, at = [], b
+                while at is not None:
+                    chain.append(at.number)
+                    at = at.parent
+                assert (a.number <= b.number <= a.last) == (a.number in chain)
+
+
+def test_weights_come_from_the_smallest_hashes(spark):
+    names = ["k" + a + b for a in "abcdef" for b in "vwxyz"]
+    rows = [(i, f"u{i}", f"<article><p class='{n}'>one two</p></article><div class='o{n}'>x</div>") for i, n in enumerate(names)] * 2
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert len([k for k in main_text.learn(pages, rows=30).learnt if k.startswith("p.k")]) == 30
+    few = main_text.learn(pages, rows=7)
+    assert len([k for k in few.learnt if k.startswith("p.k")]) == 7
+    assert few.learnt == main_text.learn(pages.repartition(5), rows=7).learnt
+    assert main_text.learn(empty(pages)).learnt == {}
+
+
 def test_broken_markup_ends_soon():
     for page in ("<" * 50_000, "<a " * 30_000, "<a b='" * 20_000, "<p>" * 3_000 + "x", "<!--" * 20_000):
         main_text.extract(page, main_text.Weights())

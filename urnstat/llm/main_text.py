@@ -6,7 +6,10 @@ how often an element's words, or a tag, stand inside it and outside. One linear
 finds the contiguous run with the largest sum. Where the ends of the run share an
 article or section, the run grows to that element, so short last paragraphs stay.
 Elements that never hold main text (menus, forms, scripts, comments …) are told by
-their tag, role or class; their words score below zero and are never returned.
+their tag, role or class; their words score below zero and are never returned. A class
+or id is read name by name, and the last part of a name counts (post-comments, but not
+has-comments), or the first one before a word for text (comment-content). Memory grows
+with the length of a page, however deep its elements are nested.
 
 Blocks of the run are decoded, white space inside one becomes one space (a line break
 element too), and they are joined by line feeds. Null, empty and wordless pages give
@@ -20,7 +23,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,9 +32,8 @@ from pyspark.sql import types as T
 
 from urnstat.llm.common import slices, texts_of
 
-#: Most labelled pages that weights are learnt from, and most weights kept.
+#: Most labelled pages that weights are learnt from.
 SAMPLE_PAGES = 2_000
-MOST_WEIGHTS = 5_000
 #: Rows that a task turns into Python objects at once; pages can be long.
 PAGE_ROWS = 32
 
@@ -51,8 +53,16 @@ DROP_PARTS = frozenset(
     "notice notices popup modal overlay newsletter subscribe signup login comment comments reply replies disqus footer "
     "masthead toolbar pagination pager".split()
 )
-#: A class or id with one of these names the place of the main text, whatever else it says.
+#: A name of its own in a class or id that tells the place of the main text, whatever the other names say.
 KEEP_PARTS = frozenset("article content entry main page post story wrapper container layout".split())
+#: First parts of a name that make main text of something else (comment-content, related-article), and what they stand before.
+FOREIGN_PARTS = frozenset(
+    "ad ads advert adverts advertisement sponsor sponsored promoted comment comments reply replies related recommended cookie "
+    "cookies newsletter".split()
+)
+TEXT_PARTS = frozenset("article articles body content entry entries main post posts story stories text".split())
+#: First parts of a name that only tell what stands beside (has-sidebar).
+BESIDE_PARTS = frozenset("has with without no is".split())
 NEVER_DROPPED = frozenset("html body main article".split())
 #: Elements that a run may grow to.
 HOLDERS = frozenset("article main section div td".split())
@@ -69,48 +79,78 @@ _attribute = re.compile(r"""([a-zA-Z-]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 _parts = re.compile(r"[A-Z]?[a-z]+|[A-Z]+").findall
 
 
+class Element:
+    """An open or closed element; ``number`` and ``last`` are the first and last element inside, itself included."""
+
+    __slots__ = ("number", "tag", "key", "dropped", "parent", "depth", "in_article", "in_main", "last")
+
+    def __init__(self, number: int, tag: str, key: str, dropped: bool, parent: Element | None):
+        self.number, self.tag, self.key, self.parent, self.last = number, tag, key, parent, number
+        self.dropped = dropped or (parent is not None and parent.dropped)
+        self.depth = parent.depth + 1 if parent else 0
+        self.in_article = tag == "article" or (parent is not None and parent.in_article)
+        self.in_main = tag in ("article", "main") or (parent is not None and parent.in_main)
+
+
 class Token:
     """A tag or a run of text, with the element it stands in."""
 
-    __slots__ = ("text", "words", "key", "dropped", "path", "block")
+    __slots__ = ("text", "words", "key", "dropped", "element", "block")
+
+    def __init__(self, text: str, words: int, key: str, element: Element, block: int):
+        self.text, self.words, self.key, self.element, self.block = text, words, key, element, block
+        self.dropped = element.dropped
 
-    def __init__(self, text: str, words: int, key: str, dropped: bool, path: tuple, block: int):
-        self.text, self.words, self.key, self.dropped, self.path, self.block = text, words, key, dropped, path, block
 
+def _foreign(name: str) -> bool:
+    """Whether a name in a class or id, like post-comments, calls something that is no main text.
 
-def _look(name: str, rest: str, path: tuple) -> tuple[str, bool]:
+    The last part says what it is; before a word for main text the first part does.
+    """
+    parts = [p.lower() for p in _parts(name)]
+    if not parts or parts[0] in BESIDE_PARTS:
+        return False
+    return parts[-1] in DROP_PARTS or (len(parts) > 1 and parts[0] in FOREIGN_PARTS and parts[-1] in TEXT_PARTS)
+
+
+def _look(name: str, rest: str, parent: Element) -> tuple[str, bool]:
     """Key of an element (tag, and what its class or id calls it) and whether it is dropped."""
     if not rest.strip(" /\t\n\r\f"):
         if name == "header":
-            return name, not any(e[1] in ("article", "main") for e in path)
+            return name, not parent.in_main
         return name, name in DROP_TAGS
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _attribute.finditer(rest)}
-    parts = [p.lower() for p in _parts(f"{found.get('class', '')} {found.get('id', '')}")]
+    names = f"{found.get('class', '')} {found.get('id', '')}".split()
+    parts = [p.lower() for n in names for p in _parts(n)]
     key = ".".join([name, *sorted(set(parts))[:3]])
     if name in NEVER_DROPPED:
         return key, False
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
     if hidden or found.get("role", "").lower() in DROP_ROLES or name in DROP_TAGS:
         return key, True
-    if (name == "header" or "header" in parts) and not any(e[1] in ("article", "main") for e in path):
-        return key, not KEEP_PARTS.intersection(parts)
-    return key, bool(DROP_PARTS.intersection(parts)) and not KEEP_PARTS.intersection(parts)
+    kept = any(n.lower() in KEEP_PARTS for n in names)
+    if (name == "header" or "header" in parts) and not parent.in_main:
+        return key, not kept
+    return key, not kept and any(map(_foreign, names))
 
 
 def read(page: str) -> list[Token]:
-    """Tokens of a page in order; ``path`` holds (number, tag, key, dropped) of the open elements."""
+    """Tokens of a page in order, each in its element; elements know their parents."""
     out: list[Token] = []
-    path: tuple = ()
-    last = opened = block = 0
+    now = root = Element(0, "", "", False, None)
+    opened: Counter[str] = Counter()
+    last = count = block = 0
     size = len(page)
 
     def text_until(stop: int) -> None:
         if stop > last:
             text = page[last:stop]
-            words = len(text.split())
-            inner = path[-1] if path else (0, "", "", False)
-            if text:
-                out.append(Token(text, words, inner[2], inner[3], path, block))
+            out.append(Token(text, len(text.split()), now.key, now, block))
+
+    def close() -> Element:
+        opened[now.tag] -= 1
+        now.last = count
+        return now.parent
 
     while last < size:
         m = _markup.search(page, last)
@@ -125,33 +165,33 @@ def read(page: str) -> list[Token]:
         ends = bool(m["end"])
         inline = name not in BLOCK and name not in RAW
         if name in RAW and not ends:
-            close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, last)
-            last = close.end() if close else size
+            stop = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, last)
+            last = stop.end() if stop else size
             block += name not in ("svg", "math", "object")
             continue
         if inline and name not in ("button", "select"):
-            dropped = path[-1][3] if path else False
-            out.append(Token(" " if name == "br" else "", -1, name, dropped, path, block))
+            out.append(Token(" " if name == "br" else "", -1, name, now, block))
             continue
         block += 1
         if ends:
-            if name == "p" and not any(e[1] == "p" for e in path):
-                pass
-            elif any(e[1] == name for e in path):
-                while path[-1][1] != name:
-                    path = path[:-1]
-                path = path[:-1]
+            if opened[name] > 0:
+                while now.tag != name:
+                    now = close()
+                now = close()
         else:
-            if path and path[-1][1] in CLOSED_BY_BLOCK and name in BLOCK:
-                path = path[:-1]
-            if name in CLOSED_BY_SAME and path and path[-1][1] == name:
-                path = path[:-1]
+            if now.tag in CLOSED_BY_BLOCK and name in BLOCK:
+                now = close()
+            if name in CLOSED_BY_SAME and now.tag == name:
+                now = close()
             if name not in VOID:
-                opened += 1
-                key, dropped = _look(name, m["rest"], path)
-                path = (*path, (opened, name, key, dropped or bool(path and path[-1][3])))
-        dropped = path[-1][3] if path else False
-        out.append(Token("", -1, name, dropped, path, block))
+                key, dropped = _look(name, m["rest"], now)
+                count += 1
+                now = Element(count, name, key, dropped, now)
+                opened[name] += 1
+        out.append(Token("", -1, name, now, block))
+    while now is not root:
+        now = close()
+    root.last = count
     return out
 
 
@@ -195,18 +235,21 @@ def extract(page: str, weights: Weights) -> str:
     inside = [t for t in tokens[first:stop] if t.words > 0]
     if not inside:
         return ""
-    shared = inside[0].path
-    for t in inside[1:]:
-        n = 0
-        for a, b in zip(shared, t.path):
-            if a[0] != b[0]:
-                break
-            n += 1
-        shared = shared[:n]
-    around = [e for e in reversed(shared) if e[1] in HOLDERS]
-    around.sort(key=lambda e: e[1] not in ("article", "main"))  # the nearest of these two before any other
-    holder = around[0][0] if around else None
-    chosen = tokens[first:stop] if holder is None else [t for t in tokens if any(e[0] == holder for e in t.path)]
+    # The element around all of them is the one around the first and the last opened.
+    low, high = (f((t.element for t in inside), key=lambda e: e.number) for f in (min, max))
+    while low is not high:
+        if low.depth > high.depth:
+            low = low.parent
+        else:
+            high = high.parent
+    around = []
+    while low is not None:
+        if low.tag in HOLDERS:
+            around.append(low)
+        low = low.parent
+    around.sort(key=lambda e: e.tag not in ("article", "main"))  # the nearest of these two before any other
+    holder = around[0] if around else None
+    chosen = tokens[first:stop] if holder is None else [t for t in tokens if holder.number <= t.element.number <= holder.last]
     blocks: dict[int, list[str]] = defaultdict(list)
     for t in chosen:
         if t.text and not t.dropped:
@@ -221,16 +264,22 @@ def labelled(page: str) -> list[tuple[str, int, int]]:
         return []
     counts: dict[str, list[int]] = defaultdict(lambda: [0, 0])
     for t in read(page):
-        outside = not any(e[1] == "article" for e in t.path)
+        outside = not t.element.in_article
         counts[f"<{t.key}>" if t.words < 0 else t.key][outside] += abs(t.words)
     return [(k, a, b) for k, (a, b) in counts.items()]
 
 
 def learn(pages: DataFrame, html_column: str = "html", id_column: str = "page_id", rows: int = SAMPLE_PAGES) -> Weights:
-    """Weights from at most ``rows`` pages that mark their article, the smallest by a hash of the id and page."""
+    """Weights from the ``rows`` pages that mark their article and are smallest by a hash of id and page.
+
+    The hashes are chosen first; pages are counted where they are, and are not moved.
+    """
     marked = pages.where(F.lower(html_column).contains("<article"))
-    order = F.xxhash64(F.col(id_column).cast("string"), F.length(html_column))
-    sample = marked.select(F.col(html_column).alias("html"), order.alias("h")).orderBy("h", "html").limit(rows)
+    order = F.xxhash64(F.col(id_column).cast("string"), html_column)
+    marked = marked.select(F.col(html_column).alias("html"), order.alias("h"))
+    # Equal hashes are repeated rows, which a cut-off takes all or none of; so it is the last of different ones.
+    last = marked.select("h").distinct().orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    sample = marked.where(F.col("h") <= F.lit(last).cast("bigint"))
 
     def run(batches):
         for batch in slices(batches, PAGE_ROWS):
@@ -241,8 +290,7 @@ def learn(pages: DataFrame, html_column: str = "html", id_column: str = "page_id
 
     counts = sample.select("html").mapInArrow(run, "key string, inside bigint, outside bigint")
     summed = counts.groupBy("key").agg(F.sum("inside").alias("a"), F.sum("outside").alias("b"))
-    top = summed.orderBy(F.desc(F.col("a") + F.col("b")), "key").limit(MOST_WEIGHTS).collect()
-    return Weights({r["key"]: (r["a"], r["b"]) for r in top})
+    return Weights({r["key"]: (r["a"], r["b"]) for r in summed.collect()})  # keys of ``rows`` pages at most
 
 
 def main_text(pages: DataFrame, weights: Weights, html_column: str = "html", text_column: str = "text") -> DataFrame:
