@@ -864,13 +864,14 @@ def ingest_late(spark, sf_dir):
 
 @query("ingest_many")
 def ingest_many(spark, sf_dir):
-    """All draws in batches by id; small parts are merged on the way and dead ones removed."""
+    """All draws in batches by date; small parts are merged on the way and dead ones removed."""
     draws = T.stored_draws(spark, sf_dir)
     paths = pipeline.Paths(scratch_path(spark, "ingest"))
-    store.append_draws(paths.history, _money(draws.where(F.col("draw_id") % 8 == 0)))
+    year = F.year("draw_date")
+    store.append_draws(paths.history, _money(draws.where(year < 1995)))
     pipeline.refresh(spark, paths)
-    for n in range(1, 8):
-        store.append_draws(paths.history, _money(draws.where(F.col("draw_id") % 8 == n)))
+    for first, last in ((1995, 1995), (1996, 1997), (1998, 9999)):
+        store.append_draws(paths.history, _money(draws.where(year.between(first, last))))
         pipeline.extend(spark, paths, retain=0)
         pipeline.merge_parts(spark, paths, most=2, retain=0)
     return _summary(pipeline.load_calculated(spark, paths))
