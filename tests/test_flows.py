@@ -192,6 +192,18 @@ def test_hypothetical_scores(models, calculated):
     assert scored.where("score < 0 or score > 100 or score is null").isEmpty()
 
 
+def test_forests_on_the_draw_before(calculated):
+    """Inputs of the draw before say next to nothing about a draw, so the first slot is no longer read off."""
+    names = ["min", "max", "sum_with_bonus", "has_consecutive"]
+    lagged = order.lagged(calculated, names)
+    rows = {r.seq: r for r in lagged.collect()}
+    assert rows[0].prev_min is None and all(rows[i].prev_min == rows[i - 1]["min"] for i in range(1, len(rows)))
+    models = forest.fit_slots(lagged, num_trees=10, features=[f"prev_{n}" for n in names])
+    held = forest.train_split(lagged).where("not is_train and seq > 0")
+    found = {r.slot: r for r in forest.evaluate(models, held).collect()}
+    assert found[1].rows == held.count() and found[1].accuracy < 0.4
+
+
 def test_training_on_slices(calculated):
     models, report = pipeline.train_on_slice(calculated, pipeline.Recent(50), **SMALL)
     row = report.first()

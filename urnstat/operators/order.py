@@ -125,6 +125,15 @@ def history_features(df: DataFrame, spec: GameSpec = G5, direction: str = "past"
     return look_back(df, columns, HIT_ROWS, direction, **layout)
 
 
+def lagged(df: DataFrame, columns: Sequence[str], direction: str = "past", **layout) -> DataFrame:
+    """``prev_c`` for each column c: its value in the preceding draw, null for the first.
+
+    Inputs that are known before a draw is made, unlike the features of the draw itself.
+    """
+    before = {f"prev_{c}": (lambda window, c=c: F.lag(c).over(window)) for c in columns}
+    return look_back(df, before, 1, direction, **layout)
+
+
 def trend_table(df: DataFrame, numbers: Sequence[int], rows: int = ROLLING_ROWS, direction: str = "past", **layout) -> DataFrame:
     """One column ``frequency_n`` per number: draws with n among the last ``rows``
     draws, null until there are that many."""

@@ -723,6 +723,11 @@ GROUP BY 1"""
             seq(),
             look(),
         )
+    names = feature_columns(14)
+    before = ", ".join(f'LAG("{n}") OVER (PARTITION BY series ORDER BY seq) AS "prev_{n}"' for n in names)
+    out["lagged_matrix"] = sql(
+        f"SELECT {keys}, {before}, {wide()}, bonus FROM (SELECT {keys}, seq, balls, bonus, {calculated(G5, names)} FROM looked)", seq(), look()
+    )
     out["calculated_file"] = out["calculated_draws"]
     out["prediction_file"] = f"SELECT number, likelihood, '2025-04-26' AS run_date FROM ({out['number_likelihood']})"
     return out

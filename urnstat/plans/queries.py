@@ -292,6 +292,15 @@ def feature_matrix(spark, sf_dir, kind):
     return matrix.select(*KEYS, *show(names), *[f"b{i + 1}" for i in range(5)], "bonus")
 
 
+@query("lagged_matrix")
+def lagged_matrix(spark, sf_dir):
+    """Model inputs that are known before the draw: the features of the draw before."""
+    names = features.feature_columns(14)
+    lagged = order.lagged(_model_table(spark, sf_dir), names)
+    real = [F.round(f"prev_{n}", PLACES).alias(f"prev_{n}") if n in REAL else F.col(f"prev_{n}") for n in names]
+    return lagged.select(*KEYS, *real, *B.wide(F.col("balls"), G5), "bonus")
+
+
 @query("scoring_row", which="latest")
 @query("scoring_row_oldest", which="oldest")
 def scoring_row(spark, sf_dir, which):
