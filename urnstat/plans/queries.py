@@ -877,9 +877,9 @@ def ingest_many(spark, sf_dir):
     draws = T.stored_draws(spark, sf_dir)
     paths = pipeline.Paths(scratch_path(spark, "ingest"))
     year = F.year("draw_date")
-    store.append_draws(paths.history, _money(draws.where(year < 1995)))
+    store.append_draws(paths.history, _money(draws.where(year < 1997)))
     pipeline.refresh(spark, paths)
-    for first, last in ((1995, 1995), (1996, 1997), (1998, 9999)):
+    for first, last in ((1997, 1997), (1998, 1999), (2000, 9999)):
         store.append_draws(paths.history, _money(draws.where(year.between(first, last))))
         pipeline.extend(spark, paths, retain=0)
         pipeline.merge_parts(spark, paths, most=2, retain=0)
