@@ -414,6 +414,24 @@ def test_parts_are_merged_and_dead_ones_removed(spark, tmp_path, monkeypatch):
     assert counts == {r.number: r.frequency for r in freq.frequency(_history(spark, 0, 90)).collect() if r.frequency}
 
 
+def test_slices_read_only_the_parts_of_their_dates(spark, tmp_path):
+    paths = pipeline.Paths(str(tmp_path))
+    store.append_draws(paths.history, _history(spark, 0, 28), "a")
+    pipeline.refresh(spark, paths)
+    for n in (1, 2):
+        store.append_draws(paths.history, _history(spark, 28 * n, 28 * n + 28), f"b{n}")
+        pipeline.extend(spark, paths)
+    whole = pipeline.load_calculated(spark, paths).drop("batch").cache()
+    parts = [n.removeprefix("batch=") for n in _named(spark, paths, pipeline.CALCULATED)]
+    plans = [pipeline.load_slice(spark, paths, p)._jdf.queryExecution().executedPlan().toString() for p in (pipeline.DateRange("2020-01-05", "2020-01-20"), pipeline.Recent(10))]
+    first, last = [[n for n in parts if n in text] for text in plans]
+    assert len(parts) == 3 and len(first) == len(last) == 1 and first != last
+    assert all("PartitionFilters: [isnotnull(batch" in text for text in plans)
+    for part in (pipeline.DateRange("2020-01-05", "2020-02-10"), pipeline.DateRange("2021-01-01", "2021-02-01"), pipeline.Recent(10), pipeline.Recent(20), pipeline.Recent(1000)):
+        got = pipeline.load_slice(spark, paths, part).select(*whole.columns)
+        assert sorted(map(str, got.collect())) == sorted(map(str, part.apply(whole).select(*whole.columns).collect()))
+
+
 def test_dynamic_overwrite_changes_nothing(spark, tmp_path):
     rows = [r for r in brute.make_rows(20, seed=10) if r[2]]
     paths = pipeline.Paths(f"{tmp_path}/dynamic")

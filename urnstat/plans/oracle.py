@@ -728,6 +728,7 @@ GROUP BY 1"""
     out["lagged_matrix"] = sql(
         f"SELECT {keys}, {before}, {wide()}, bonus FROM (SELECT {keys}, seq, balls, bonus, {calculated(G5, names)} FROM looked)", seq(), look()
     )
+    out["stored_range"], out["stored_recent"] = out["filter_dates"], out["filter_recent"]
     out["calculated_file"] = out["calculated_draws"]
     out["prediction_file"] = f"SELECT number, likelihood, '2025-04-26' AS run_date FROM ({out['number_likelihood']})"
     return out

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -141,10 +141,19 @@ class Paths:
     def frequency(self) -> str:
         return f"{self.root}/frequency"
 
+    @property
+    def dates(self) -> str:
+        return f"{self.root}/dates"
+
     @property
     def coverage(self) -> str:
         return f"{self.root}/coverage"
 
+    @property
+    def derived(self) -> tuple[str, ...]:
+        """Tables whose parts a coverage names."""
+        return self.calculated, self.frequency, self.dates
+
 
 def typed(checked: DataFrame) -> DataFrame:
     """Accepted typed-in draws as history rows."""
@@ -240,7 +249,7 @@ def _committed(spark: SparkSession, paths: Paths, work) -> bool:
         try:
             return work(part)
         except LostRace:
-            for table in (paths.calculated, paths.frequency):
+            for table in paths.derived:
                 _remove(spark, f"{table}/batch={part}")
 
 
@@ -266,13 +275,23 @@ def refresh(spark: SparkSession, paths: Paths, spec: GameSpec = G5) -> None:
         _committed(spark, paths, lambda part: _refresh(spark, paths, spec, part))
 
 
+def _write_part(rows: DataFrame, counts: DataFrame, paths: Paths, part: str) -> None:
+    """One part of the tables: rows by series, frequencies, and draws of each series and date."""
+    spark = rows.sparkSession
+    store.write_batch(rows, paths.calculated, part, "series")
+    store.write_batch(counts.coalesce(1), paths.frequency, part)
+    path = f"{paths.calculated}/batch={part}"
+    written = store.load_draws(spark, path, schema=None) if _folders(spark, path) else rows
+    dates = written.groupBy(F.col("series").cast("string").alias("series"), "draw_date").agg(F.count("*").alias("rows"))
+    store.write_batch(dates.coalesce(1), paths.dates, part)
+
+
 def _refresh(spark: SparkSession, paths: Paths, spec: GameSpec, part: str) -> bool:
     state = load_coverage(spark, paths)
     # A batch that lands meanwhile is neither in the rows nor in the coverage.
     names = materialize(_history(spark, paths).select(F.col("batch").alias("_name")).distinct(), "batches")
     history = _history(spark, paths).join(names, F.col("batch") == F.col("_name"), "left_semi").drop("batch")
-    store.write_batch(calculate(history, spec), paths.calculated, part, "series")
-    store.write_batch(freq.frequency(history, spec).coalesce(1), paths.frequency, part)
+    _write_part(calculate(history, spec), freq.frequency(history, spec), paths, part)
     rows = _of_kind(names, HISTORY, F.col("_name"))
     rows = rows.union(_of_kind(history.select("series").distinct(), CALCULATED, F.lit(part), F.col("series")))
     rows = rows.union(_of_kind(spark.range(1), FREQUENCY, F.lit(part)))
@@ -292,6 +311,33 @@ def load_calculated(spark: SparkSession, paths: Paths) -> DataFrame:
     return store.load_draws(spark, paths.calculated, schema=None) if state is None else _live(spark, paths, state[0])
 
 
+def load_slice(spark: SparkSession, paths: Paths, part: DateRange | Recent) -> DataFrame:
+    """A slice of the calculated draws, read from the parts that hold its dates.
+
+    The table of dates, one row per part, series and date, names them before any draw is
+    read; merging keeps the parts few.
+    """
+    state = load_coverage(spark, paths)
+    if state is None:
+        return part.apply(load_calculated(spark, paths))
+    live = _covered(state[0], CALCULATED).select("name", F.col("series").alias("_name"))
+    dates = spark.read.schema("series string, draw_date date, rows bigint, batch string").parquet(paths.dates)
+    dates = dates.join(live, (F.col("batch") == F.col("name")) & _same_series(), "left_semi")
+    if isinstance(part, DateRange):
+        wanted = filters.filter_dates(dates, part.start, part.end)
+    else:
+        # Dates until the newer ones alone are enough; undated draws are the oldest.
+        newest = Window.partitionBy("series").orderBy(F.col("draw_date").desc_nulls_last())
+        days = dates.groupBy("series", "draw_date").agg(F.sum("rows").alias("rows"))
+        newer = F.coalesce(F.sum("rows").over(newest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        days = days.withColumn("_newer", newer).where(F.col("_newer") < part.n)
+        days = days.select(F.col("series").alias("_name"), F.col("draw_date").alias("_date"))
+        wanted = dates.join(days, _same_series() & F.col("draw_date").eqNullSafe(F.col("_date")), "left_semi")
+    names = sorted(r["batch"] for r in wanted.select("batch").distinct().collect())
+    rows = _live(spark, paths, state[0]).where(F.col("batch").isin(names))
+    return part.apply(rows.drop("batch"))
+
+
 def load_frequency(spark: SparkSession, paths: Paths) -> DataFrame:
     """Frequencies over all live parts; every part holds one row per number."""
     counts = spark.read.parquet(paths.frequency)
@@ -360,8 +406,7 @@ def _extend(spark: SparkSession, paths: Paths, spec: GameSpec, changed: str | No
         rest = _history(spark, paths).join(known, F.col("batch") == F.col("name"), "left_semi").drop("batch")
         whole = rest.unionByName(fresh).join(late, _same_series(), "left_semi")
         rows = rows.unionByName(calculate(whole, spec).select(*rows.columns))
-    store.write_batch(rows, paths.calculated, part, "series")
-    store.write_batch(freq.frequency(fresh, spec).coalesce(1), paths.frequency, part)
+    _write_part(rows, freq.frequency(fresh, spec), paths, part)
     moved = covered.join(late, _same_series() & (F.col("kind") == CALCULATED), "left_anti")
     added = spark.createDataFrame([(HISTORY, n, None) for n in names] + [(FREQUENCY, part, None)], COVERAGE)
     added = added.union(_of_kind(fresh.select("series").distinct(), CALCULATED, F.lit(part), F.col("series")))
@@ -383,8 +428,7 @@ def merge_parts(spark: SparkSession, paths: Paths, most: int | None = None, reta
     part = uuid.uuid4().hex
     rows = _live(spark, paths, covered).drop("batch")
     # One file a series and task; a series of any size keeps its tasks.
-    store.write_batch(rows, paths.calculated, part, "series")
-    store.write_batch(load_frequency(spark, paths).coalesce(1), paths.frequency, part)
+    _write_part(rows, load_frequency(spark, paths), paths, part)
     series = _covered(covered, CALCULATED).select("series").distinct()
     merged = _covered(covered, HISTORY).select("kind", "name", "series")
     merged = merged.union(_of_kind(series, CALCULATED, F.lit(part), F.col("series")))
@@ -392,7 +436,7 @@ def merge_parts(spark: SparkSession, paths: Paths, most: int | None = None, reta
     try:
         _save_coverage(merged, paths, version + 1)
     except LostRace:
-        for table in (paths.calculated, paths.frequency):
+        for table in paths.derived:
             _remove(spark, f"{table}/batch={part}")
         return False
     remove_dead(spark, paths, retain)
@@ -413,7 +457,7 @@ def remove_dead(spark: SparkSession, paths: Paths, retain: float = RETAIN) -> in
     kept = sorted({*kept, *(v for v, _ in versions[-2:])})
     names = {r["name"] for v in kept for r in _coverage(spark, paths, v).where(F.col("kind") != HISTORY).select("name").distinct().collect()}
     removed = 0
-    for table in (paths.calculated, paths.frequency):
+    for table in paths.derived:
         for folder, at in _folders(spark, table):
             if folder.startswith("batch=") and folder[len("batch=") :] not in names and at <= until:
                 _remove(spark, f"{table}/{folder}")

@@ -871,6 +871,20 @@ def ingest_late(spark, sf_dir):
     return _summary(pipeline.load_calculated(spark, paths))
 
 
+@query("stored_range", part=pipeline.DateRange(SLICE_START, SLICE_END))
+@query("stored_recent", part=pipeline.Recent(500))
+def stored_slice(spark, sf_dir, part):
+    """A slice of stored tables that hold the draws in two parts."""
+    draws = T.stored_draws(spark, sf_dir)
+    paths = pipeline.Paths(scratch_path(spark, "ingest"))
+    late = F.col("draw_date") >= F.lit(SPLIT_DAY).cast("date")
+    store.append_draws(paths.history, _money(draws.where(~late)))
+    pipeline.refresh(spark, paths)
+    store.append_draws(paths.history, _money(draws.where(late)))
+    pipeline.extend(spark, paths)
+    return pipeline.load_slice(spark, paths, part).select(*KEYS, iso())
+
+
 @query("ingest_many")
 def ingest_many(spark, sf_dir):
     """All draws in batches by date; small parts are merged on the way and dead ones removed."""
