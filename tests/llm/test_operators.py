@@ -581,6 +581,48 @@ def test_vectors_equal_brute_force(spark):
     assert embeddings.near_duplicates(empty(df)).count() == 0
 
 
+def test_vectors_in_many_blocks_equal_brute_force(spark):
+    rng = np.random.default_rng(16)
+    centers = rng.normal(size=(30, 20))
+    # One label of chains through many bands, another with few rows.
+    rows = [(i, (centers[i % 30] + rng.normal(size=20) * (0.02 + 0.25 * (i % 3))).tolist(), int(i % 9 == 0)) for i in range(420)]
+    steps = np.linspace(0, math.pi, 60)
+    rows += [(1000 + i, [math.cos(s), math.sin(s), *[0.0] * 18], 0) for i, s in enumerate(steps)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int").repartition(5)
+    expected = slow_vectors(rows)
+    assert any(n > 3 for _, n, _, _ in expected)
+    # Blocks split within bands, blocks sent for two others each; leading axes alone as for wide vectors.
+    assert rows_of(embeddings.near_duplicates(df, tile=4, block=9, partners=2)) == expected
+    assert rows_of(embeddings.near_duplicates(df, tile=16, block=64, whole=19)) == expected
+
+
+def test_wide_vectors_keep_the_principal_order(spark):
+    rng = np.random.default_rng(26)
+    scale = np.where(np.arange(200) % 50 == 7, 4.0, 0.3)
+    x = rng.normal(size=(500, 200)) * scale
+    df = spark.createDataFrame([(v.tolist(),) for v in x], "vector array<double>").repartition(4)
+    at = embeddings.frame(df, 200, whole=100)
+    unit = embeddings._unit(x)
+    turned = at.turn(unit)
+    assert np.allclose((turned**2).sum(axis=1), ((unit - unit.mean(axis=0)) ** 2).sum(axis=1))
+    exact = np.linalg.eigvalsh(np.cov(unit.T, bias=True))[::-1][:4].sum()
+    assert turned[:, :4].var(axis=0).sum() > 0.99 * exact
+
+
+def test_blocks_meet_by_label_and_band(spark):
+    rng = np.random.default_rng(36)
+    rows = [(i, v.tolist(), i % 3, 1) for i, v in enumerate(rng.normal(size=(300, 6)))]
+    df = spark.createDataFrame(rows, "rep bigint, vector array<double>, label int, copies bigint")
+    at = embeddings.frame(df, 6)
+    cut = embeddings.blocks(embeddings.lead(df, at), 10)
+    sizes = cut.groupBy("label", "band", "block").count().collect()
+    assert sum(r["count"] for r in sizes) == 300 and max(r["count"] for r in sizes) <= 10
+    pairs = embeddings.block_pairs(cut, 6, partners=2).collect()
+    assert all(0 <= r["to_band"] - r["band"] <= 1 for r in pairs)
+    assert len({(r["label"], r["band"], r["block"], r["to_band"], r["to_block"]) for r in pairs}) == len(pairs)
+    assert max(collections.Counter(r["task"] for r in pairs).values()) <= 2
+
+
 def test_tile_comparison_loses_no_pair():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(60, 20))
