@@ -8,6 +8,7 @@ import random
 import time
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -348,10 +349,54 @@ def test_trust_settles_on_long_chains_and_rings(spark):
     assert [n for n in names[:16] if got[n]["distrust"] >= url_filter.LEAST_DISTRUST] == names[:7]
 
 
-def test_url_filter_runs_no_python(spark):
-    df = spark.createDataFrame([(1, "http://a.org/", "")], "page_id bigint, url string, html string")
-    plan = url_filter.judge(df)._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+def linked_pages():
+    """Pages of hosts in a chain, a ring and around a hub, and hosts of the rules among them."""
+    link = lambda *hosts: "".join(f'<a href="https://{h}/x">x</a>' for h in hosts)
+    chain = [f"c{i}.com" for i in range(16)]
+    ring = [f"r{i}.com" for i in range(13)]
+    spokes = [f"s{i}.com" for i in range(40)]
+    rows = [(f"http://{a}/", link(b, b)) for a, b in zip(chain, ["bad.net", *chain])]
+    rows += [(f"http://{a}/p", link(b)) for a, b in zip(ring, [*ring[1:], ring[0]])]
+    rows += [("http://r3.com/q", link("worse.net")), ("http://good.org/fr/", link("r8.com", "hub.com"))]
+    rows += [(f"http://{a}/", link("hub.com")) for a in spokes] + [("http://hub.com/", link("bad.net", *spokes[:5]))]
+    rows += [(f"http://g{i}.org/fr/", link("saved.com")) for i in range(5)] + [("http://saved.com/", link("worst.net"))]
+    rows += [("http://bad.net/", None), ("http://x.example.net/en/a", link("s1.com")), (None, link("bad.net")), ("no url", "")]
+    return [(i, u, h) for i, (u, h) in enumerate(rows)]
+
+
+def test_verdicts_by_trust_equal_the_sql(spark):
+    rows = linked_pages()
+    rows += rows[:20] + [(None, "http://c1.com/", None), (None, None, None)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id bigint, url string, html string, host string, rule_path int").repartition(3)
+    got = rows_of(url_filter.judge(df))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    assert got == sorted(con.sql(url_filter.oracle_sql()).fetchall(), key=repr)
+    by_trust = {r[1] for r in got if r[3] is None and r[4] == "block"}
+    # c0 (its page stands twice) has four fifths of the links to bad.net: 0.15 * 0.8 * 0.85 ** (i + 1) >= 0.05 up to i = 4.
+    assert by_trust >= {f"c{i}.com" for i in range(5)} and not by_trust & {f"c{i}.com" for i in range(5, 16)}
+    # Both have distrust 0.1275, but saved.com has five times as much trust.
+    assert "r3.com" in by_trust and "saved.com" not in by_trust
+
+
+def test_rules_of_equal_length_block_first(spark):
+    rules = (url_filter.Rule("allow", "a.com", "/x"), url_filter.Rule("block", "a.com", "/x"), url_filter.Rule("allow", "com", "/x/yz"))
+    df = spark.createDataFrame([(1, "http://a.com/x", ""), (2, "http://a.com/x/yz", ""), (3, "http://b.com/x/yz/", "")], "page_id bigint, url string, html string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge(df, rules).collect()}
+    assert got == {1: ("a.com/x", "block"), 2: ("com/x/yz", "allow"), 3: ("com/x/yz", "allow")}
+
+
+def test_url_filter_runs_no_python(spark, monkeypatch):
+    plans, keep = [], url_filter.materialize
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(url_filter, "materialize", lambda df, label: (plans.append(plan(df)), keep(df, label))[1])
+    df = spark.createDataFrame(linked_pages(), "page_id bigint, url string, html string")
+    plans.append(plan(url_filter.judge(df)))
+    # The rounds among them.
+    assert len(plans) > 8
+    for text in plans:
+        assert "Python" not in text and "Arrow" not in text and "Cartesian" not in text
 
 
 # Packing.

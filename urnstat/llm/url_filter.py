@@ -17,6 +17,7 @@ empty table gives no rows, and columns beside the three named ones are not read.
 
 from __future__ import annotations
 
+import math
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -34,8 +35,8 @@ ROUNDS = 400
 STEP = 5
 SETTLED = 1e-9
 DAMPING = 0.85
-#: Rounds that the oracle SQL writes out, from 1 on the seeds: exact only where hosts do not link to each other.
-ORACLE_ROUNDS = 10
+#: Rounds of the oracle SQL; after them no host is further than ``SETTLED`` from where it settles.
+ORACLE_ROUNDS = math.ceil(math.log(SETTLED) / math.log(DAMPING))
 #: Least distrust of a host that goes; a blocked host that no other one distrusts has 1 - DAMPING.
 LEAST_DISTRUST = 0.05
 
@@ -149,24 +150,13 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, least: float = LEAS
 
 
 def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:
-    """The same verdicts in DuckDB, the rounds written out one by one."""
+    """The same verdicts in DuckDB, the rounds as a recursion from the same start."""
     values = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in rules)
     keep, give = 1 - DAMPING, DAMPING
-    rounds = "".join(
-        f"""
-r{i + 1} AS MATERIALIZED (
-  SELECT s.host, {keep} * trusted + {give} * coalesce(t, 0) AS trust, {keep} * blocked + {give} * coalesce(d, 0) AS distrust
-  FROM seeds s LEFT JOIN (
-    SELECT host, sum(t) AS t, sum(d) AS d FROM (
-      SELECT dst AS host, r.trust * w.o AS t, 0.0::DOUBLE AS d FROM weights w JOIN r{i} r ON r.host = w.src
-      UNION ALL SELECT src, 0.0::DOUBLE, r.distrust * w.i FROM weights w JOIN r{i} r ON r.host = w.dst) GROUP BY host
-  ) m USING (host)),"""
-        for i in range(ORACLE_ROUNDS)
-    )
     lower = f"translate(coalesce({{}}, ''), '{UPPER}', '{LOWER}')"
     link = LINK.replace("'", "''")
     return f"""
-WITH rules(rv, rh, rp) AS (VALUES {values}),
+WITH RECURSIVE rules(rv, rh, rp) AS (VALUES {values}),
 p AS MATERIALIZED (
   SELECT row_number() OVER () AS r, page_id, html, {lower.format(f"regexp_extract(url, '{URL}', 1)")} AS host,
          coalesce(regexp_extract(url, '{URL}', 2), '') AS path
@@ -185,10 +175,18 @@ seeds AS MATERIALIZED (
     SELECT host, max(CASE WHEN rv = 'block' AND rp = '/' THEN 1 ELSE 0 END) AS blocked,
            max(CASE WHEN rv = 'allow' THEN 1 ELSE 0 END) AS allowed FROM fits GROUP BY host) USING (host)
   WHERE host <> ''),
-r0 AS (SELECT host, trusted::DOUBLE AS trust, blocked::DOUBLE AS distrust FROM seeds),{rounds}
+ranks AS (
+  SELECT 0 AS round, host, ({keep} * trusted)::DOUBLE AS trust, ({keep} * blocked)::DOUBLE AS distrust FROM seeds
+  UNION ALL
+  SELECT now.round + 1, s.host, ({keep} * trusted + {give} * coalesce(t, 0))::DOUBLE, ({keep} * blocked + {give} * coalesce(d, 0))::DOUBLE
+  FROM (SELECT max(round) AS round FROM ranks) now JOIN seeds s ON now.round < {ORACLE_ROUNDS} LEFT JOIN (
+    SELECT host, sum(t) AS t, sum(d) AS d FROM (
+      SELECT dst AS host, k.trust * w.o AS t, 0.0::DOUBLE AS d FROM weights w JOIN ranks k ON k.host = w.src
+      UNION ALL SELECT src, 0.0::DOUBLE, k.distrust * w.i FROM weights w JOIN ranks k ON k.host = w.dst) GROUP BY host
+  ) m USING (host)),
 best AS (
   SELECT r, rh || rp AS rule, rv FROM p JOIN fits USING (host) WHERE starts_with(path, rp)
   QUALIFY row_number() OVER (PARTITION BY r ORDER BY length(rh) + length(rp) DESC, rv <> 'block', rh, rp) = 1)
 SELECT page_id, p.host, path, rule,
        coalesce(rv, CASE WHEN distrust >= {LEAST_DISTRUST} AND distrust > trust THEN 'block' ELSE 'allow' END) AS verdict
-FROM p LEFT JOIN best USING (r) LEFT JOIN r{ORACLE_ROUNDS} k ON k.host = p.host"""
+FROM p LEFT JOIN best USING (r) LEFT JOIN ranks k ON k.host = p.host AND k.round = {ORACLE_ROUNDS}"""
