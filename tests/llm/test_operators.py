@@ -87,6 +87,47 @@ def test_quality_line_rules():
     assert not fails("A plain sentence, as one would write it.")
 
 
+BOILERPLATE = [
+    "Wir verwenden Cookies, um Ihnen das beste Erlebnis zu bieten.",
+    "© 2021 Verlag GmbH. Alle Rechte vorbehalten.",
+    "Tous droits réservés.",
+    "Nous utilisons des cookies pour améliorer votre visite.",
+    "Todos los derechos reservados.",
+    "Utilizamos cookies, acepte para continuar.",
+    "Click here to subscribe to our newsletter!",
+    "Privacy policy, terms of use.",
+    "Home News Sport Wetter Kontakt.",
+    "Accueil, Actualités, Recherche.",
+    "Inicio. Noticias. Contacto. Ayuda.",
+    "Impressum, Datenschutz.",
+    "Click here. Click here.",
+]
+PROSE = [
+    "Read the privacy policy debate in parliament, it went on for hours.",
+    "She came home with news about the contact that nobody had expected.",
+    "The newsletter, printed since 1902, is read by farmers in the valley.",
+    "Der Datenschutz ist ein Thema, das alle Parteien im Landtag bewegt.",
+    "Il a cherché de l'aide, mais personne n'est venu.",
+    "El archivo de la ciudad guarda cartas, mapas y sellos.",
+    "Cookies, baked slowly, taste best.",
+]
+
+
+def test_boilerplate_in_four_languages_and_prose_beside_it(spark):
+    fails = lambda line: quality.line_fails(line, find_words(line), quality.may_hold_phrase(line))
+    assert [x for x in BOILERPLATE if not fails(x)] == []
+    assert [x for x in BOILERPLATE if not fails(x.replace(" ", "\t").upper() if x.isascii() else x)] == []
+    assert [x for x in PROSE if fails(x)] == []
+    rng = random.Random(14)
+    texts = ["\n".join(rng.choice(BOILERPLATE + PROSE * 3 + ["", "  ", "No mark here", "x | y | z"]) for _ in range(rng.randint(0, 12))) for _ in range(150)]
+    rows = [(k, t) for k, t in enumerate([*texts, *BOILERPLATE, *PROSE, "", None])]
+    got = rows_of(quality.digest(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert got == sorted(con.sql(quality.oracle_sql()).fetchall(), key=repr)
+
+
 def test_cleaning_removes_lines_and_documents(docs):
     left = {r["doc_id"]: r["text"] for r in quality.clean(docs).collect()}
     assert left[7].startswith("This is a fine sentence")

@@ -32,26 +32,69 @@ SENTENCE_MARKS = ".!?,;:…。！？、，؟।"
 SYMBOLS = "#*$%&|<>"
 #: Navigation rule: words that separate menu entries.
 SEPARATORS = ("|", "»", "›", ">", "/", "·", "•", "::")
-#: Boilerplate rule, fixed phrases in lower case.
-PHRASES = (
-    "all rights reserved",
-    "cookie policy",
-    "enable javascript",
-    "lorem ipsum",
-    "privacy policy",
-    "terms of service",
-    "terms of use",
-    "use cookies",
-)
+#: Words are compared in A-Z lower case and without these characters at their ends.
+EDGES = "\"'()[].,;:!?…«»„“”’-–|"
+#: Boilerplate rule, by language: notices, which tell a line by themselves.
+NOTICES = {
+    "en": ("all rights reserved", "lorem ipsum", "we use cookies", "uses cookies", "accept cookies", "accept all cookies", "enable javascript", "terms of service apply"),
+    "de": ("alle rechte vorbehalten", "wir verwenden cookies", "verwendet cookies", "cookies akzeptieren", "javascript aktivieren"),
+    "fr": ("tous droits réservés", "nous utilisons des cookies", "utilise des cookies", "accepter les cookies", "activer javascript"),
+    "es": ("todos los derechos reservados", "utilizamos cookies", "usamos cookies", "utiliza cookies", "aceptar cookies", "active javascript"),
+}
+#: Calls and names of house pages, which are ordinary words inside longer prose: a line goes
+#: when they make up a ``LEAST_CALLS``-th of its words or more.
+CALLS = {
+    "en": ("privacy policy", "cookie policy", "terms of use", "terms of service", "terms and conditions", "click here", "read more", "sign up", "log in", "subscribe", "newsletter", "share this", "follow us", "back to top", "contact us"),
+    "de": ("datenschutz", "datenschutzerklärung", "nutzungsbedingungen", "impressum", "klicken sie hier", "hier klicken", "mehr lesen", "weiterlesen", "abonnieren", "folgen sie uns", "nach oben", "anmelden"),
+    "fr": ("politique de confidentialité", "mentions légales", "conditions d'utilisation", "cliquez ici", "lire la suite", "abonnez-vous", "s'abonner", "suivez-nous", "haut de page", "contactez-nous"),
+    "es": ("política de privacidad", "aviso legal", "condiciones de uso", "haga clic aquí", "haz clic aquí", "leer más", "suscríbete", "suscribirse", "síguenos", "volver arriba", "boletín"),
+}
+LEAST_CALLS = 3
+#: Navigation rule: names of menu entries. A line goes when it has ``LEAST_MENU`` of them and they are half of its words.
+MENU = {
+    "en": ("home", "news", "about", "contact", "login", "register", "search", "sitemap", "menu", "help", "faq", "blog", "shop", "archive"),
+    "de": ("startseite", "nachrichten", "kontakt", "suche", "hilfe", "archiv", "menü", "über uns"),
+    "fr": ("accueil", "actualités", "recherche", "aide", "archives", "boutique", "à propos"),
+    "es": ("inicio", "noticias", "contacto", "buscar", "ayuda", "archivo", "tienda", "acerca de"),
+}
+LEAST_MENU = 3
 
 _has_mark = re.compile(f"[{SENTENCE_MARKS}]").search
-_has_phrase = re.compile("|".join(PHRASES)).search
 _ascii_lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 _codes = np.random.default_rng(8).integers(1, 1 << 62, WINDOW, np.int64).astype(np.uint64) | np.uint64(1)
 
 
-def line_fails(line: str, words: list[str]) -> bool:
-    """Whether a line with words breaks one of the rules for lines."""
+def _spaced(words: list[str]) -> str:
+    """Each word between two spaces of its own, so that neighbouring phrases are both found."""
+    return "".join(f" {w} " for w in words)
+
+
+def _phrases(by_language: dict[str, tuple[str, ...]]) -> dict[str, int]:
+    """Each different phrase, spaced, and its number of words."""
+    return {_spaced(p.split()): len(p.split()) for phrases in by_language.values() for p in phrases}
+
+
+_notices, _calls, _menu = map(_phrases, (NOTICES, CALLS, MENU))
+#: The longest word of every phrase; a text without any of them has no phrase.
+_keys = sorted({max(p.split(), key=len) for p in (*_notices, *_calls, *_menu)})
+
+
+def may_hold_phrase(text: str) -> bool:
+    low = text.lower()  # quicker than A-Z alone, and letters of the keys stay as they are
+    return any(k in low for k in _keys)
+
+
+def is_boilerplate(words: list[str]) -> bool:
+    """Whether a line of these words is a notice, a call or a menu."""
+    line = _spaced([w.translate(_ascii_lower).strip(EDGES) for w in words])
+    if any(p in line for p in _notices):
+        return True
+    calls, entries = (sum(line.count(p) * k for p, k in kind.items()) for kind in (_calls, _menu))
+    return 0 < len(words) <= LEAST_CALLS * calls or (entries >= LEAST_MENU and 2 * entries >= len(words))
+
+
+def line_fails(line: str, words: list[str], phrases: bool = True) -> bool:
+    """Whether a line with words breaks one of the rules for lines; phrases are looked for if asked."""
     n = len(words)
     if n >= LEAST_SENTENCE and not _has_mark(line):
         return True
@@ -61,7 +104,7 @@ def line_fails(line: str, words: list[str]) -> bool:
         return True
     if 4 * (bars := sum(map(words.count, SEPARATORS))) >= n and bars >= 2:
         return True
-    return _has_phrase(line.translate(_ascii_lower)) is not None
+    return phrases and is_boilerplate(words)
 
 
 def repeated_words(words: list[str], window: int = WINDOW) -> int:
@@ -99,6 +142,7 @@ def judge(text: str) -> tuple:
     seen: set[str] = set()
     duplicate = lost = failed = 0
     keep: list[str] = []
+    phrases = may_hold_phrase(text)
     for line in text.split("\n"):
         own = find_words(line)
         if own:
@@ -106,7 +150,7 @@ def judge(text: str) -> tuple:
                 duplicate += 1
             else:
                 seen.add(line)
-            if line_fails(line, own):
+            if line_fails(line, own, phrases):
                 lost += len(own)
                 failed += 1
                 continue
@@ -177,7 +221,12 @@ def oracle_sql() -> str:
     word = "[^ \\x09-\\x0D]+"
     marks = "strlen(regexp_replace(line, '[^{0}]', '', 'g'))"
     bars = " + ".join(f"len(list_filter(lw, lambda x: x = '{s}'))" for s in SEPARATORS)
-    phrases = " OR ".join(f"contains(low, '{_sql_text(p)}')" for p in PHRASES)
+    count = lambda kind: " + ".join(
+        f"{k} * ((length(low) - length(replace(low, '{_sql_text(p)}', ''))) // {len(p)})" for p, k in kind.items()
+    )
+    phrases = " OR ".join(f"contains(low, '{_sql_text(p)}')" for p in _notices)
+    phrases += f" OR (len(lw) <= {LEAST_CALLS} * ({count(_calls)}))"
+    phrases += f" OR (({count(_menu)}) >= greatest({LEAST_MENU}, len(lw) / 2))"
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return f"""
 WITH d AS (
@@ -185,8 +234,10 @@ WITH d AS (
          regexp_extract_all(coalesce(text, ''), '{word}') AS w
   FROM documents),
 lines AS (
-  SELECT r, line, regexp_extract_all(line, '{word}') AS lw, translate(line, '{upper}', '{lower}') AS low
-  FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)),
+  SELECT r, line, lw, array_to_string(list_transform(lw, lambda x:
+           ' ' || trim(translate(x, '{upper}', '{lower}'), '{_sql_text(EDGES)}') || ' '), '') AS low
+  FROM (SELECT r, line, regexp_extract_all(line, '{word}') AS lw
+        FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d))),
 rules AS (
   SELECT r, line, len(lw) AS n,
          (len(lw) >= {LEAST_SENTENCE} AND NOT regexp_matches(line, '[{SENTENCE_MARKS}]'))
