@@ -75,13 +75,14 @@ def _phrases(by_language: dict[str, tuple[str, ...]]) -> dict[str, int]:
 
 
 _notices, _calls, _menu = map(_phrases, (NOTICES, CALLS, MENU))
-#: The longest word of every phrase; a text without any of them has no phrase.
-_keys = sorted({max(p.split(), key=len) for p in (*_notices, *_calls, *_menu)})
+#: The longest word of every phrase; where none of them stands there is no phrase.
+KEYS = tuple(sorted({max(p.split(), key=len) for p in (*_notices, *_calls, *_menu)}))
 
 
-def may_hold_phrase(text: str) -> bool:
+def keys_in(text: str) -> tuple[str, ...]:
+    """The keys that a text holds: its lines need not be searched for others."""
     low = text.lower()  # quicker than A-Z alone, and letters of the keys stay as they are
-    return any(k in low for k in _keys)
+    return tuple(k for k in KEYS if k in low)
 
 
 def is_boilerplate(words: list[str]) -> bool:
@@ -93,8 +94,8 @@ def is_boilerplate(words: list[str]) -> bool:
     return 0 < len(words) <= LEAST_CALLS * calls or (entries >= LEAST_MENU and 2 * entries >= len(words))
 
 
-def line_fails(line: str, words: list[str], phrases: bool = True) -> bool:
-    """Whether a line with words breaks one of the rules for lines; phrases are looked for if asked."""
+def line_fails(line: str, words: list[str], keys: tuple[str, ...] = KEYS) -> bool:
+    """Whether a line with words breaks one of the rules for lines; ``keys`` are those that it may hold."""
     n = len(words)
     if n >= LEAST_SENTENCE and not _has_mark(line):
         return True
@@ -104,7 +105,10 @@ def line_fails(line: str, words: list[str], phrases: bool = True) -> bool:
         return True
     if 4 * (bars := sum(map(words.count, SEPARATORS))) >= n and bars >= 2:
         return True
-    return phrases and is_boilerplate(words)
+    if not keys:
+        return False
+    low = line.lower()
+    return any(k in low for k in keys) and is_boilerplate(words)
 
 
 def repeated_words(words: list[str], window: int = WINDOW) -> int:
@@ -142,7 +146,7 @@ def judge(text: str) -> tuple:
     seen: set[str] = set()
     duplicate = lost = failed = 0
     keep: list[str] = []
-    phrases = may_hold_phrase(text)
+    keys = keys_in(text)
     for line in text.split("\n"):
         own = find_words(line)
         if own:
@@ -150,7 +154,7 @@ def judge(text: str) -> tuple:
                 duplicate += 1
             else:
                 seen.add(line)
-            if line_fails(line, own, phrases):
+            if line_fails(line, own, keys):
                 lost += len(own)
                 failed += 1
                 continue
