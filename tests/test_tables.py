@@ -184,3 +184,23 @@ def test_predictions_become_legal(spark):
         assert row.balls == sorted(set(row.balls)) and len(row.balls) == 5
         assert set(balls) <= set(row.balls) and all(1 <= n <= G5.high for n in row.balls)
         assert 1 <= row.bonus <= 20 and (row.bonus == bonus or not 1 <= bonus <= 20)
+
+
+def test_free_places_are_found_without_a_list_of_places(spark):
+    held = [0, 1, 7, 8, 9, 300, 32766]
+    df = spark.createDataFrame([(p + 1,) for p in held], "p bigint").agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    free = [p for p in range(1 << 15) if p not in held]
+    asked = spark.createDataFrame([(n,) for n in (0, 1, 4, 5, 290, 293, 294, len(free) - 1)], "n bigint")
+    found = asked.crossJoin(df).select("n", ranks.free_place(F.col("bits"), F.col("n")).alias("p")).collect()
+    assert {r.n: r.p for r in found} == {n: free[n] for n in (0, 1, 4, 5, 290, 293, 294, len(free) - 1)}
+    none = asked.select("n", ranks.free_place(F.lit(None).cast("binary"), F.col("n")).alias("p")).collect()
+    assert all(r.n == r.p for r in none)
+
+
+def test_tries_are_made_one_after_another(spark, draws_of):
+    """A later try waits for the one before, and no row lists the places of a part."""
+    history = draws_of([("a", i, "2020-01-01", [1, 2, 3, 4, i], 1) for i in range(5, 9)])
+    text = matching.avoid_drawn(history.withColumnRenamed("draw_id", "pred_id"), history)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_try7" in text and "sequence(0, (_size" not in text
+    lists = [line for line in text.splitlines() if "filter(sequence(0, (least(32768" in line]
+    assert not lists
