@@ -458,3 +458,45 @@ def test_flows_leave_nothing_in_the_scratch_area(spark, tmp_path):
     for part in (rows[:10], rows[10:20], rows[5:15], rows[20:]):
         pipeline.ingest(spark, typed_rows(spark, part), paths)
         assert count() == before
+
+
+def test_trees_travel_thin(models):
+    for row in models.trees.collect():
+        tree = trees.Tree.unpacked([row[p] for p in forest.PARTS])
+        sent = tree.thin()
+        again = trees.Tree.thick(sent)
+        assert all(np.array_equal(getattr(tree, p), getattr(again, p)) for p in forest.PARTS)
+        if row.nodes > 100:
+            assert len(sent) * 3 < sum(len(row[p]) for p in forest.PARTS)
+
+
+def test_rows_with_the_same_inputs_are_walked_once(monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 5, (300, 3)).astype(float)
+    y, w = rng.integers(1, 5, 300), np.ones(300, int)
+    tree = trees.grow(x, y, w, 5, 2, rng)[0]
+    walked, walker = [], trees._walker
+
+    def counted(tree):
+        walk = walker(tree)
+        return lambda rows: walked.append(len(rows)) or walk(rows)
+
+    monkeypatch.setattr(trees, "_walker", counted)
+    mask = rng.random((300, 2)) < 0.5
+    found = trees.votes(trees.grove([tree, tree], 5), x, mask)
+    assert sum(walked) == 2 * len(np.unique(x, axis=0)) < 300
+    one = trees.votes(trees.grove([tree], 5), x)
+    assert np.allclose(found, one * mask.sum(1)[:, None])
+
+
+def test_made_up_combinations_are_scored_by_their_different_inputs(calculated, monkeypatch):
+    models13 = forest.fit_slots(calculated, kind=13, **SMALL)
+    cands = calculated.select(F.col("draw_id").alias("cand_id"), "balls", "bonus")
+    inputs = combos.hypothetical_features(cands, calculated)
+    whole = {r.cand_id: r.score for r in forest.score_hypothetical(models13, inputs).collect()}
+    asked, scored = [], forest.scored
+    monkeypatch.setattr(forest, "scored", lambda models, rows, *more, **named: asked.append(rows.count()) or scored(models, rows, *more, **named))
+    twice = inputs.union(inputs.withColumn("cand_id", F.col("cand_id") + 10_000))
+    found = {r.cand_id: r.score for r in forest.score_hypothetical(models13, twice).collect()}
+    assert asked == [inputs.select(*models13.features).distinct().count()]
+    assert len(found) == 2 * len(whole) and all(found[i] == found[i + 10_000] == whole[i] for i in whole)
