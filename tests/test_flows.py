@@ -500,3 +500,43 @@ def test_made_up_combinations_are_scored_by_their_different_inputs(calculated, m
     found = {r.cand_id: r.score for r in forest.score_hypothetical(models13, twice).collect()}
     assert asked == [inputs.select(*models13.features).distinct().count()]
     assert len(found) == 2 * len(whole) and all(found[i] == found[i + 10_000] == whole[i] for i in whole)
+
+
+def test_every_tree_is_grown_in_a_task_of_its_own(calculated):
+    trees_ = forest.fit_slots(calculated, num_trees=20).trees
+    found = trees_.groupBy(F.input_file_name().alias("file")).agg(F.countDistinct("tree").alias("n")).collect()
+    assert [r.n for r in found] == [1] * 20
+
+
+def test_trees_equal_those_of_all_rows_of_their_samples(calculated):
+    """Rows leave in blocks, by their codes, those alike as one: nothing of it shows in a tree."""
+    twice = calculated.unionByName(calculated.withColumn("draw_id", F.col("draw_id") + 100_000))
+    models = forest.fit_slots(twice, num_trees=35, sample_rows=150)
+    rows = forest.train_split(twice).where("is_train").withColumn("w", forest.bootstrap_weights(35, models.rate)).collect()
+    assert models.rate < 1
+    x = np.array([[float(r[c]) for c in models.features] for r in rows])
+    grown = {(r.slot, r.tree): r for r in models.trees.collect()}
+    assert len(grown) == 35 * 6
+    for number in (0, 34):
+        w = np.array([r.w[number] for r in rows])
+        for slot in (1, 6):
+            y = np.array([r.bonus if slot == 6 else r.balls[slot - 1] for r in rows])
+            tree, depth = trees.grow(x[w > 0], y[w > 0], w[w > 0], models.classes[slot], 3, np.random.default_rng([42, number, slot]))
+            row = grown[slot, number]
+            assert depth == row.depth and tree.packed() == tuple(bytes(row[p]) for p in forest.PARTS)
+
+
+def test_rows_alike_are_put_together():
+    rng = np.random.default_rng(5)
+    x, y, w = rng.integers(0, 3, (200, 3)) / 7, rng.integers(0, 4, 200), rng.integers(1, 5, 200)
+    inputs, which = trees.Coded.of(x).different()
+    few, label, weight = trees.together(inputs, which, y, w, 4)
+    value = lambda c: tuple(c.values[f][p] for f, p in enumerate(c.code[i]))
+    found = {}
+    for i in range(len(label)):
+        assert (value(few), label[i]) not in found
+        found[value(few), label[i]] = weight[i]
+    want = {}
+    for row, c, n in zip(x, y, w):
+        want[tuple(row), c] = want.get((tuple(row), c), 0) + n
+    assert found == want and len(found) < 200
