@@ -619,6 +619,22 @@ def test_contexts_do_not_fall_out_as_the_corpus_grows(spark):
     assert scored[held[0]] == pytest.approx(whole.score([b"qu7%v@!" * 4])[0], rel=1e-5)
 
 
+def test_strings_are_summed_before_they_leave_a_task(spark):
+    # Several chunks of the same strings: one row a string, whatever the text is cut into.
+    texts = ["abcde fgh " * 250_000, "abcde fgh " * 250_000, "abcde", None]
+    docs = spark.createDataFrame([(i % 2 == 0, t) for i, t in enumerate(texts)], "held_out boolean, text string").coalesce(1)
+    got = {r["code"]: (r["n"], r["m"]) for r in context_tree.strings(docs).collect()}
+    assert context_tree.strings(docs).count() == len(got)
+    want = collections.Counter(), collections.Counter()
+    for i, t in enumerate(texts):
+        coded = bytes([context_tree.PAD]) * 5 + (t or "").encode() + bytes([context_tree.STOP])
+        found = collections.Counter(int.from_bytes(coded[k : k + 6]) for k in range(len(coded) - 5))
+        want[1].update(found)
+        if i % 2:
+            want[0].update(found)
+    assert got == {c: (want[0][c], m) for c, m in want[1].items()}
+
+
 def test_untrained_model_is_uniform(docs, spark):
     model = context_tree.learn(empty(docs))
     assert model.score([b"ab"])[0] == pytest.approx(3 * 8 * math.log10(0.5))

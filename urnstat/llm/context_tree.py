@@ -54,6 +54,10 @@ TREE_ROWS = 100_000
 HELD_OUT, REMAINDER = 7, 2
 #: Text bytes that a task gathers before it counts or scores them.
 CHUNK = 2 << 20
+#: Counted strings that a task gathers before it adds up equal ones; half as many different ones leave it.
+RUN_ROWS = 1 << 20
+#: Different words that a task counts before they leave it.
+WORD_ROWS = 1 << 17
 
 
 def lowered(text: str) -> bytes:
@@ -74,24 +78,36 @@ def _groups(texts: list[bytes]):
 
 def coded_strings(texts: list[bytes], depth: int = DEPTH) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Strings of ``depth + 1`` bytes, the newest lowest, and the text each is of, ``CHUNK`` bytes at a time."""
-    pad = bytes([PAD]) * depth
-    joined = np.frombuffer(b"".join([pad + t + bytes([STOP]) for t in texts]), np.uint8)
-    # A string belongs to the text that holds its newest byte, ``depth`` bytes on.
-    edges = np.cumsum([0] + [depth + len(t) + 1 for t in texts]) - depth
-    for at in range(0, len(joined) - depth, CHUNK):
-        part = joined[at : at + CHUNK + depth]
-        code = np.zeros(len(part) - depth, np.int64)
-        for i in range(depth + 1):
-            code = code << 8 | part[i : i + len(code)]
-        owner = np.repeat(np.arange(len(texts)), np.diff(np.clip(edges, at, at + len(code))))
-        real = (code & 0xFF) != PAD  # a pad is never coded, so no string crosses texts
-        yield code[real], owner[real]
+    pad, stop, more = bytes([PAD]) * depth, bytes([STOP]), 7 - depth
+    joined = b"".join([*(pad + t + stop for t in texts), bytes(more)])
+    size = max(0, len(joined) - 7)
+    # The eight bytes from every place on, of which the string is the first ``depth + 1``.
+    eights = np.ndarray(size, "<u8", joined, strides=(1,))
+    # A string belongs to the text that holds its newest byte. A pad is never coded, so no string crosses texts.
+    ends = np.cumsum([len(t) + 1 for t in texts]) + depth * np.arange(len(texts))
+    firsts = ends - [len(t) + 1 for t in texts]
+    for at in range(0, size, CHUNK):
+        code = eights[at : at + CHUNK].copy().byteswap(inplace=True)
+        code >>= np.uint64(8 * more)
+        first, end = np.clip(firsts - at, 0, len(code)), np.clip(ends - at, 0, len(code))
+        parts = [code[a:b] for a, b in zip(first.tolist(), end.tolist())]
+        yield np.concatenate(parts).view(np.int64), np.repeat(np.arange(len(texts)), end - first)
+
+
+def _added(runs: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
+    """Runs of (codes in order, numbers …) as one, the numbers of a code added up."""
+    code, *numbers = (np.concatenate(c) for c in zip(*runs))
+    order = np.argsort(code, kind="stable")  # which merges what is in order
+    code = code[order]
+    begins = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    return [code[begins], *(np.add.reduceat(n[order], begins) for n in numbers)]
 
 
 def strings(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """``code, n, m`` over all whole texts, not yet summed: times in texts that are not held out, times in all."""
+    """``code, n, m`` over all whole texts, summed in parts: times in texts that are not held out, times in all."""
 
     def run(batches):
+        runs, rows = [], 0
         for batch in slices(batches, 4096):
             texts, held = [lowered(t) for t in texts_of(batch, "text")], batch.column("held_out").to_pylist()
             for kind in (False, True):
@@ -99,9 +115,16 @@ def strings(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
                 for a, b in _groups(chosen):
                     for code, _ in coded_strings(chosen[a:b], depth):
                         code, m = np.unique(code, return_counts=True)
-                        m = pa.array(m.astype(np.int64))
-                        n = pa.array(np.zeros(len(code), np.int64)) if kind else m
-                        yield pa.RecordBatch.from_arrays([pa.array(code), n, m], ["code", "n", "m"])
+                        runs.append((code, np.zeros_like(m) if kind else m, m))
+                        rows += len(code)
+                        if rows >= RUN_ROWS:
+                            runs = [_added(runs)]
+                            rows = len(runs[0][0])
+                        if rows >= RUN_ROWS // 2 and len(runs) == 1:
+                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in runs[0]], ["code", "n", "m"])
+                            runs, rows = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in _added(runs)], ["code", "n", "m"])
 
     return docs.select("text", "held_out").mapInArrow(run, "code bigint, n bigint, m bigint")
 
@@ -404,16 +427,18 @@ def score_strings(texts: list[bytes], lookup: Lookup, depth: int = DEPTH) -> tup
 def word_counts(docs: DataFrame) -> DataFrame:
     """``word binary, c``: how often each word occurs in all whole texts."""
 
+    def counted_so_far(counts):
+        return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "c"])
+
     def run(batches):
-        for batch in slices(batches, 4096):
-            texts = [lowered(t) for t in texts_of(batch, "text")]
-            for a, b in _groups(texts):
-                counts = Counter()
-                for t in texts[a:b]:
-                    counts.update(find_byte_words(t))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "c"]
-                )
+        counts = Counter()
+        for batch in slices(batches):
+            for t in texts_of(batch, "text"):
+                counts.update(find_byte_words(lowered(t)))
+                if len(counts) >= WORD_ROWS:
+                    yield counted_so_far(counts)
+                    counts = Counter()
+        yield counted_so_far(counts)
 
     counted = docs.select("text").mapInArrow(run, "word binary, c bigint")
     return counted.groupBy("word").agg(F.sum("c").alias("c"))
@@ -453,18 +478,12 @@ def score(docs: DataFrame, depth: int = DEPTH, common_strings: int = COMMON_STRI
             tokens, found, logs, rare = [], [], [], []
             for t in texts:
                 words = find_byte_words(t)
-                sure, total, other = int(ends > 0), end_score, []
-                for word, times in Counter(words).items():
-                    value = known.get(word)
-                    if value is None:
-                        other.append((word, times))
-                    else:
-                        sure += times
-                        total += times * value
+                values = list(map(known.get, words))
+                others = [w for w, v in zip(words, values) if v is None]
                 tokens.append(len(words) + 1)
-                found.append(sure)
-                logs.append(total)
-                rare.append(other)
+                found.append(int(ends > 0) + len(words) - len(others))
+                logs.append(end_score + sum(filter(None, values)))  # logs of counts above 0 are not 0
+                rare.append(Counter(others).items())
             n = batch.num_rows
             flat = [pair for other in rare for pair in other]
             offsets = np.concatenate([[0], np.cumsum([len(other) for other in rare])]).astype(np.int32)
