@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests import brute
+from urnstat.functions import chance
 from urnstat.operators import combos, forest, order, quality, trees
 from urnstat.operators import frequency as freq
 from urnstat.operators import likelihood as L
@@ -526,6 +527,15 @@ def test_trees_equal_those_of_all_rows_of_their_samples(calculated):
             assert depth == row.depth and tree.packed() == tuple(bytes(row[p]) for p in forest.PARTS)
 
 
+def test_bootstrap_digests_are_compiled(spark, capsys):
+    """They are plain columns without a lambda, and say what ``chance.digest`` says, also of null keys."""
+    keys = spark.createDataFrame([(7,), (-3,), (None,), (10**12,)], "k bigint")
+    found = keys.select(F.array(*forest._digests(9, 42, "k")).alias("d"), F.array(*[chance.digest(42, F.col("k"), F.lit(i)) for i in range(3)]).alias("want"))
+    assert all(r.d == r.want and len(r.d) == 3 for r in found.collect())
+    found.select("d").explain()
+    assert "lambda" not in capsys.readouterr().out
+
+
 def test_rows_alike_are_put_together():
     rng = np.random.default_rng(5)
     x, y, w = rng.integers(0, 3, (200, 3)) / 7, rng.integers(0, 4, 200), rng.integers(1, 5, 200)
