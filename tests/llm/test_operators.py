@@ -513,6 +513,18 @@ def test_word_encoder_equals_the_tokenizer():
         assert encoder.encode(text).tolist() == packing.tokenizer(WORD_BPE).encode(text, add_special_tokens=False).ids
 
 
+def test_word_encoder_asks_for_common_words_once(monkeypatch):
+    monkeypatch.setattr(packing, "MEMO_ROWS", 40)
+    encoder, asked = packing.WordEncoder(WORD_BPE), collections.Counter()
+    ids = encoder.ids
+    encoder.memo.ids = lambda part: asked.update([part]) or ids(part)
+    for i in range(100):
+        text = f"The house, it's {chr(97 + i % 26) * (i + 2)}. And {i}%. The end" + "\x1cx" * (i % 2)
+        assert encoder.encode(text).tolist() == reference_ids(text)[:-1]
+    assert asked["the"] == asked["house"] == asked[","] == asked["end"] == 1 and len(encoder.memo) <= 40
+    assert packing.encoder(WORD_BPE) is packing.encoder(WORD_BPE)
+
+
 # Language model.
 
 

@@ -23,7 +23,7 @@ import re
 import unicodedata
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,15 +43,18 @@ CELLS = 256
 PATTERN_DOCS = 3
 #: The fit ends when nothing gains more than this share of the first gain; repeats are whole numbers anyway.
 FIT_SLACK = 1e-4
-#: Word parts that one Python worker remembers; it starts anew when full.
+#: Words and word parts that one Python worker remembers.
 MEMO_ROWS = 400_000
 MEMO_CHARS = 64
 
 #: Letters below U+0250. In normalised text made of such characters only, the end
 #: of a run of letters always ends a token, whatever follows.
 _LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
-_NARROW = re.compile("[\x00-ɏ]*").fullmatch
+#: Without the four separators that Python splits at and the tokenizer does not.
+_NARROW = re.compile("[\x00-\x1b\x20-ɏ]*").fullmatch
 _PARTS = re.compile(f"[^ \\t\\n\\r\\f\\v{_LETTERS}]*[{_LETTERS}]+|[^ \\t\\n\\r\\f\\v{_LETTERS}]+").findall
+#: Marks after a letter and before white space, which are words of their own.
+_FREE = re.compile(f"([.,;:!?])(?<=[{_LETTERS}].)(?!\\S)").sub
 #: Byte-level tokenizers spell bytes that do not print as characters from U+0100 on.
 _PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 BYTE_LETTERS = {b: 0x100 + i for i, b in enumerate(b for b in range(0x100) if b not in _PRINTED)}
@@ -67,42 +70,59 @@ def tokenizer(path: str) -> Tokenizer:
 class WordEncoder:
     """Ids of whole texts for tokenizers that never join tokens across white space.
 
-    Texts fall into parts at places where such a tokenizer always ends a token;
-    each distinct part is encoded by the tokenizer once and remembered.
+    Texts fall into words, and unknown words into parts, at places where such a tokenizer
+    always ends a token; what a word or part gave is remembered.
     """
 
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
         self.model = self.tokenizer.model
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo(self.ids)
 
     def encode(self, text: str) -> np.ndarray:
         if _NARROW(text) and unicodedata.is_normalized("NFC", text):
-            parts = _PARTS(text.lower())
+            words = _FREE(r" \1", text.lower()).split()
         else:
-            parts = [p for p in re.split("[ \n]+", text) if p]
-        known, long = self.memo, {}
-        new = set(parts).difference(known)
-        if new:
-            if len(known) + len(new) > MEMO_ROWS:
-                known.clear()
-                new = set(parts)
-            for p in new:
-                (known if len(p) <= MEMO_CHARS else long)[p] = array("I", self.ids(p)).tobytes()
-        if long:
-            found = [long[p] if len(p) > MEMO_CHARS else known[p] for p in parts]
-        else:
-            found = map(known.__getitem__, parts)
-        return np.frombuffer(b"".join(found), np.uint32)
+            words = [p for p in re.split("[ \n]+", text) if p]
+        return np.frombuffer(b"".join(map(self.memo.__getitem__, words)), np.uint32)
 
     def ids(self, part: str) -> list[int]:
-        if part.isalpha() and _NARROW(part) and part == part.lower():
+        if part.isalpha() and part.islower() and (part.isascii() or _NARROW(part) and part == part.lower()):
             # Letters only: neither the normaliser nor the split would change it.
             spelled = part if part.isascii() else part.encode().decode("latin-1").translate(BYTE_LETTERS)
             return [t.id for t in self.model.tokenize(spelled)]
         return self.tokenizer.encode(part, add_special_tokens=False).ids
 
 
+class Memo(dict):
+    """Ids as bytes by word or part, made when first asked for.
+
+    When full the later half goes: common words come early, so they stay.
+    """
+
+    def __init__(self, ids: Callable[[str], list[int]]):
+        super().__init__()
+        self.ids = ids
+
+    def __missing__(self, word: str) -> bytes:
+        parts = [word]
+        if not word.isalpha() and _NARROW(word) and word == word.lower() and unicodedata.is_normalized("NFC", word):
+            parts = _PARTS(word)
+        made = b"".join(map(self.__getitem__, parts)) if len(parts) > 1 else array("I", self.ids(word)).tobytes()
+        if len(word) <= MEMO_CHARS:
+            if len(self) >= MEMO_ROWS:
+                for late in list(self)[MEMO_ROWS // 2 :]:
+                    del self[late]
+            self[word] = made
+        return made
+
+
+@functools.cache
+def encoder(path: str) -> WordEncoder:
+    """One for all tasks of a Python worker."""
+    return WordEncoder(path)
+
+
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """Token pieces ``doc_id, piece, start, length, ids_crc32, part, nth``.
 
@@ -113,13 +133,13 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = WordEncoder(path), TaskContext.get().partitionId()
+        encode, part = encoder(path).encode, TaskContext.get().partitionId()
         seen: dict[int, int] = {}
         for batch in slices(batches):
             rows: list[list] = [[] for _ in names]
             origin = []
             for row, text in enumerate(texts_of(batch, "text")):
-                data = encoder.encode(text).tobytes() + tail
+                data = encode(text).tobytes() + tail
                 for piece, at in enumerate(range(0, len(data), 4 * capacity)):
                     cut = data[at : at + 4 * capacity]
                     length = len(cut) // 4
