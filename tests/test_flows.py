@@ -490,6 +490,25 @@ def test_rows_with_the_same_inputs_are_walked_once(monkeypatch):
     assert np.allclose(found, one * mask.sum(1)[:, None])
 
 
+def test_equal_rows_are_voted_on_once():
+    rng = np.random.default_rng(4)
+    different = rng.random((40, 3))
+    same = rng.permutation(np.arange(200) % 40)
+    tree = trees.grow(different, rng.integers(0, 5, 40), np.ones(40), 5, 2, rng)[0]
+    want = trees.votes(trees.grove([tree, tree], 5), different, np.ones((40, 2), bool))
+    asked, size = [], tree.size
+
+    class Counted:
+        def __getitem__(self, leaf):
+            asked.append(len(leaf))
+            return size[leaf]
+
+    tree.size = Counted()
+    assert (trees.votes(trees.grove([tree, tree], 5), different[same]) == want[same]).all()
+    assert asked == [40, 40]
+    assert trees.votes(trees.grove([tree], 5), np.empty((0, 3))).shape == (0, 5)
+
+
 def test_made_up_combinations_are_scored_by_their_different_inputs(calculated, monkeypatch):
     models13 = forest.fit_slots(calculated, kind=13, **SMALL)
     cands = calculated.select(F.col("draw_id").alias("cand_id"), "balls", "bonus")

@@ -264,7 +264,7 @@ def _best_cuts(code, label, weight, own, node, total, squares, classes):
 def votes(trees: Grove, x: np.ndarray, mask: np.ndarray | None = None) -> np.ndarray:
     """Sum over the trees of the class shares of every row's leaf; only of the trees that ``mask`` allows a row.
 
-    Rows with the same inputs are walked once.
+    Rows with the same inputs are walked once, and without a mask also voted on once.
     """
     x = np.ascontiguousarray(x, "float64")
     same = np.empty(len(x), "int64")
@@ -273,18 +273,21 @@ def votes(trees: Grove, x: np.ndarray, mask: np.ndarray | None = None) -> np.nda
     new[1:] = (x[order[1:]] != x[order[:-1]]).any(1)
     same[order] = np.cumsum(new) - 1
     different = x[order[new]]
-    sums = np.zeros(len(x) * trees.classes)
-    first = np.arange(len(x)) * trees.classes
+    first = np.arange(len(different) if mask is None else len(x)) * trees.classes
+    sums = np.zeros(len(first) * trees.classes)
     for i, tree in enumerate(trees.trees):
         walk = _walker(tree)
         leaf = np.concatenate([np.empty(0, "int64"), *(walk(different[at : at + STEP_ROWS]) for at in range(0, len(different), STEP_ROWS))])
-        rows = slice(None) if mask is None else np.flatnonzero(mask[:, i])
-        leaf, cell = leaf[same[rows]], first[rows]
+        cell = first
+        if mask is not None:
+            rows = np.flatnonzero(mask[:, i])
+            leaf, cell = leaf[same[rows]], first[rows]
         size, entry = tree.size[leaf], tree.left[leaf]
         for k in range(int(size.max(initial=0))):  # no row meets a class of its leaf twice
             held = slice(None) if size.min() > k else np.flatnonzero(size > k)
             sums[cell[held] + tree.label[entry[held] + k]] += tree.share[entry[held] + k]
-    return sums.reshape(len(x), trees.classes)
+    sums = sums.reshape(-1, trees.classes)
+    return sums[same] if mask is None else sums
 
 
 def _walker(tree: Tree):
