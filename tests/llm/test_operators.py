@@ -291,6 +291,12 @@ def test_every_close_pair_of_codes_is_linked(spark):
     assert set(got) == want and len(got) == len(want)
 
 
+def test_variants_of_codes_are_not_broadcast(spark, capsys):
+    """Explode makes 67 rows of each code, which Spark's estimate of the size leaves out."""
+    simhash.links(spark.range(50).selectExpr("id * id AS code")).explain()
+    assert "Broadcast" not in capsys.readouterr().out
+
+
 def test_deduplicate_keeps_one_of_each_group(docs):
     left = simhash.deduplicate(docs)
     assert left.columns == docs.columns
@@ -479,6 +485,12 @@ def test_packing_places_every_token(docs, capacity):
     assert packing.pack(empty(docs), WORD_BPE).count() == 0
 
 
+def test_counts_of_lengths_are_not_broadcast(docs, capsys):
+    """They are a row for each length and task, and Parquet packs them tightly."""
+    packing.pack(docs, WORD_BPE).explain()
+    assert "Broadcast" not in capsys.readouterr().out
+
+
 def test_plan_is_close_to_the_least_possible():
     rng = np.random.default_rng(1)
     for lengths in (rng.integers(1, 4097, 3000), rng.geometric(0.002, 5000).clip(1, 4096), np.full(1000, 1400), np.full(7, 4096)):

@@ -98,7 +98,8 @@ def links(codes: DataFrame, limit: int = LIMIT) -> DataFrame:
     A pair can agree on many keys; only one of them passes it on: of the first segment
     with at most one difference, the whole segment or the variant without that bit.
     """
-    keyed = codes.select("code", F.explode(variants(F.col("code"), limit)).alias("key"))
+    # Spark sizes the keys like the codes they are exploded from, some sixty times too low: never broadcast.
+    keyed = codes.select("code", F.explode(variants(F.col("code"), limit)).alias("key")).hint("merge")
     one, two = keyed.alias("one"), keyed.alias("two")
     both = F.col("one.code").bitwiseXOR(F.col("two.code"))
     # From both sides, so that no filter of one side alone keeps them from sharing a shuffle.
