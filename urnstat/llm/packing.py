@@ -331,7 +331,8 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -
     slots = np.array(sorted(plan(histogram, capacity).slots), np.int64).reshape(-1, 6)
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("length", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    numbered = cut.join(bases, ["length", "part"]).select(
+    # The stored counts are many times smaller than their rows, so Spark would broadcast too many.
+    numbered = cut.join(bases.hint("merge"), ["length", "part"]).select(
         "doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("nth")
     )
 
