@@ -169,6 +169,36 @@ def test_longer_histories_are_sampled(calculated):
     assert small.rate < 0.3 and whole.rate == 1.0 and nodes(small) < 0.6 * nodes(whole)
 
 
+def test_samples_are_as_large_as_a_long_history(spark):
+    n = 210_000
+    draw = lambda i, top: (F.pmod(F.xxhash64("draw_id", F.lit(i)), F.lit(top)) + 1).cast("int")
+    rows = spark.range(n).withColumnRenamed("id", "draw_id")
+    rows = rows.select("draw_id", F.array(*[draw(i, 50) for i in range(5)]).alias("balls"), draw(5, 20).alias("bonus"), draw(6, 300).alias("a"))
+    models = forest.fit_slots(rows, num_trees=1, max_depth=2, ratio=None, features=["a"])
+    seen = rows.select("a", "bonus", forest.bootstrap_weights(1)[0].alias("w")).where("w > 0").toArrow()
+    x, y, w = (c.to_numpy() for c in seen.columns)
+    tree, _ = trees.grow(x[:, None].astype(float), y, w, 21, 1, np.random.default_rng([42, 0, 6]), 2)
+    row = models.trees.where("slot = 6").first()
+    assert models.rate == 1.0 and 0.99 * n < w.sum() < 1.01 * n
+    assert tree.packed() == tuple(bytes(row[p]) for p in forest.PARTS)
+
+
+def test_samples_travel_as_codes():
+    """Columns of few, of over 256 and of over 65,536 different values, in blocks that have different ones."""
+    rng = np.random.default_rng(6)
+    blocks, want = [], []
+    for n, least in ((70_000, 0.0), (300, -5.5), (1, 9.0), (0, 0.0)):
+        x = np.stack([rng.integers(0, 3, n) / 7 + least, rng.integers(0, 3000, n) / 8, np.arange(n) * 0.1 + least])
+        y, w = rng.integers(1, 51, (2, n)), rng.integers(1, 9, n).astype("uint8")
+        head, planes = forest._coded_block(np.concatenate([x, y]))
+        blocks.append((head, w.tobytes() + planes.tobytes()))
+        want.append((x, y, w))
+    found, y, w = forest._uncoded(blocks, 3, 2)
+    x, *rest = (np.concatenate(c, -1) for c in zip(*want))
+    assert all((found.values[f][found.code[:, f]] == x[f]).all() for f in range(3))
+    assert (y == rest[0]).all() and (w == rest[1]).all()
+
+
 def test_split_is_stable_and_near_its_ratio(calculated):
     split = forest.train_split(calculated)
     ids = {r.draw_id for r in split.where("is_train").collect()}
